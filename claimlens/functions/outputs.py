@@ -14,14 +14,16 @@ from claimlens.functions.text import cut, is_blank, strip
 def balanced_block(text: Column) -> Column:
     """First ``{...}`` with matching braces (braces inside strings count), else null.
 
-    The text is cut after every brace, so the fold runs over braces, not characters.
+    The text is cut after every brace, so the fold runs over braces, not characters, and the
+    cut looks at one character only, which keeps it linear in the text.
     """
     tail = F.substring(text, F.instr(text, "{"), F.length(text))
-    pieces = F.regexp_extract_all(tail, F.lit(r"[^{}]*[{}]"), F.lit(0))
+    pieces = F.split(tail, "(?<=[{}])")
     start = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("used"), F.lit(False).alias("done"))
 
     def step(acc: Column, piece: Column) -> Column:
-        depth = acc["depth"] + F.when(F.endswith(piece, F.lit("{")), 1).otherwise(-1)
+        opened = F.when(F.endswith(piece, F.lit("{")), 1)
+        depth = acc["depth"] + opened.when(F.endswith(piece, F.lit("}")), -1).otherwise(0)
         return F.when(acc["done"], acc).otherwise(
             F.struct(
                 depth.alias("depth"),
@@ -170,8 +172,16 @@ def parse_output(raw: Column) -> Column:
 
 def fenced_json(raw: Column) -> Column:
     """VARIANT object from text with optional code fences; null when there is none."""
+
+    def outermost(bare: Column) -> Column:
+        first, from_end = F.instr(bare, "{"), F.instr(F.reverse(bare), "}")
+        length = F.length(bare) - from_end - first + 2
+        return F.when(
+            (first > 0) & (from_end > 0) & (length > 0), F.substring(bare, first, length)
+        )
+
     bare = strip(F.regexp_replace(raw, r"```(?:json)?\s*", ""))
-    return whole_object(F.regexp_extract(bare, r"(?s)\{.*\}", 0))
+    return whole_object(let(bare, outermost))
 
 
 def coerce_output(label: Column, error_type: Column, decision: Column) -> Column:
