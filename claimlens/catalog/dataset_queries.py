@@ -117,8 +117,7 @@ def _(spark, d):
     """select line, e.error from (select line, unnest(errs) as e from checked) where
     e.field = ''""", checked=_CHECKED))
 def _(spark, d):
-    checked = va.cross_field_errors(va.field_errors(v.examples(spark, d)))
-    rows = checked.select("line", F.explode("errors").alias("e")).where("e.field = ''")
+    rows = va.validate(v.examples(spark, d)).select("line", F.explode("errors").alias("e")).where("e.field = ''")
     return rows.select("line", "e.error")
 
 

@@ -19,8 +19,8 @@ from claimlens.operators import metrics as m
 from claimlens.plans.evaluate import aligned, evaluate, report_lines
 
 
-def both(spark, d):
-    return aligned(v.gold_records(spark, d), v.pred_records(spark, d))
+def both(spark, d, texts=False):
+    return aligned(v.gold_records(spark, d), v.pred_records(spark, d), texts)
 
 
 @query("prediction_fields", q.with_views("select * from pred_fields"))
@@ -31,7 +31,7 @@ def _(spark, d):
 @query("align_predictions", q.with_views("""select id, gold, pred, score, gold_span, pred_span,
     md5(context) as context_md5, parse_error, latency_ms from aligned"""))
 def _(spark, d):
-    rows = both(spark, d)
+    rows = both(spark, d, True)
     return rows.select(
         "id", "gold", "pred", "score", "gold_span", "pred_span",
         F.md5("context").alias("context_md5"), "parse_error", "latency_ms",
@@ -135,7 +135,7 @@ def _(spark, d):
           from (select {q.strip('gold_span')} as g, {q.strip('pred_span')} as p, context
                 from aligned) where g <> '')"""))
 def _(spark, d):
-    return m.span_metrics(both(spark, d))
+    return m.span_metrics(both(spark, d, True))
 
 
 @query("json_validity", q.with_views(

@@ -205,7 +205,11 @@ def pred_records(spark: Spark, d: str) -> DataFrame:
 
 
 def examples(spark: Spark, d: str) -> DataFrame:
-    """Documents as claim-level examples with planted faults."""
+    return as_examples(table(spark, d, "documents"))
+
+
+def as_examples(documents: DataFrame) -> DataFrame:
+    """Documents as claim-level examples with planted faults; works on a stream, too."""
     i = F.col("doc_id")
     at = i % 5
     label = pick(fv.LABELS, at)
@@ -217,7 +221,7 @@ def examples(spark: Spark, d: str) -> DataFrame:
     ).otherwise("")
     count = F.when(i % 41 == 1, F.lit(0)).when(i % 43 == 2, F.lit(1)).otherwise(F.lit(3))
     number = i.cast("string")
-    return table(spark, d, "documents").select(
+    return documents.select(
         (i + 1).alias("line"),
         F.when(i % 50 == 7, F.concat(F.lit("bad_"), number))
         .when(i % 97 == 5, F.lit("trrag_5"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from claimlens import fixed_values as fv
+from claimlens.functions.arrays import let
 from claimlens.functions.labels import label_attr, label_dim
 from claimlens.functions.numbers import ratio, round_to
 from claimlens.functions.text import is_blank
@@ -71,42 +72,48 @@ def _rules(df: DataFrame) -> list[Column]:
     return out
 
 
+def _cross_rules() -> list[Column]:
+    label = F.col("label")
+    return [
+        F.when(
+            (label == "supported") & (F.col("error_type") != "none"),
+            F.concat(F.lit("label='supported' requires error_type='none', got '"),
+                     F.col("error_type"), F.lit("'")),
+        ),
+        F.when(
+            label.isin("supported", "contradicted") & is_blank(F.col("evidence_span")),
+            F.concat(F.lit("label='"), label, F.lit("' requires a non-empty evidence_span")),
+        ),
+        F.when(
+            F.col("claim_index") >= F.col("claim_count_in_answer"),
+            F.format_string("claim_index (%d) must be < claim_count_in_answer (%d)",
+                            "claim_index", "claim_count_in_answer"),
+        ),
+    ]
+
+
 def field_errors(df: DataFrame) -> DataFrame:
     """Add ``errors`` array<struct<field,error>> of single-field rules."""
     return df.withColumn("errors", F.array_compact(F.array(*_rules(df))))
 
 
-def cross_field_errors(df: DataFrame) -> DataFrame:
-    """Add the one combined cross-field error, only for rows without field errors."""
-    label = F.col("label")
-    parts = F.array_compact(
-        F.array(
-            F.when(
-                (label == "supported") & (F.col("error_type") != "none"),
-                F.concat(F.lit("label='supported' requires error_type='none', got '"),
-                         F.col("error_type"), F.lit("'")),
-            ),
-            F.when(
-                label.isin("supported", "contradicted") & is_blank(F.col("evidence_span")),
-                F.concat(F.lit("label='"), label, F.lit("' requires a non-empty evidence_span")),
-            ),
-            F.when(
-                F.col("claim_index") >= F.col("claim_count_in_answer"),
-                F.format_string("claim_index (%d) must be < claim_count_in_answer (%d)",
-                                "claim_index", "claim_count_in_answer"),
-            ),
-        )
-    )
-    combined = F.struct(
-        F.lit("").alias("field"),
-        F.concat(F.lit("Value error, "), F.array_join("_cross", "; ")).alias("error"),
-    )
-    gate = (F.size("errors") == 0) & (F.size("_cross") > 0)
-    return (
-        df.withColumn("_cross", parts)
-        .withColumn("errors", F.when(gate, F.array(combined)).otherwise(F.col("errors")))
-        .drop("_cross")
-    )
+def row_errors(df: DataFrame) -> Column:
+    """Field errors, or the one combined cross-field error of a row without field errors.
+
+    One bound expression: the rules appear once however often the result is referenced, so
+    filters that the optimizer derives from a later explode stay small.
+    """
+
+    def combined(parts: Column) -> Column:
+        message = F.concat(F.lit("Value error, "), F.array_join(parts, "; "))
+        one = F.struct(F.lit("").alias("field"), message.alias("error"))
+        return F.filter(F.array(one), lambda _: F.size(parts) > 0)
+
+    def gated(found: Column) -> Column:
+        cross = let(F.array_compact(F.array(*_cross_rules())), combined)
+        return F.when(F.size(found) > 0, found).otherwise(cross)
+
+    return let(F.array_compact(F.array(*_rules(df))), gated)
 
 
 def score_range_warning(label: Column, score: Column) -> Column:
@@ -125,7 +132,7 @@ def score_range_warning(label: Column, score: Column) -> Column:
 
 def validate(df: DataFrame) -> DataFrame:
     """Rows with ``errors``, ``is_valid`` and ``score_warning``."""
-    out = cross_field_errors(field_errors(df))
+    out = df.withColumn("errors", row_errors(df))
     ok = F.size("errors") == 0
     return out.withColumns(
         {
