@@ -109,16 +109,15 @@ _WARN = f"""case when len(errs) = 0 and not (hallucination_score between
     """select line, e.field, e.error from (select line, unnest(fe) as e from checked)""",
     checked=_CHECKED))
 def _(spark, d):
-    rows = va.field_errors(v.examples(spark, d)).select("line", F.explode("errors").alias("e"))
-    return rows.select("line", "e.field", "e.error")
+    return va.explode_errors(va.field_errors(v.examples(spark, d)), "line")
 
 
 @query("cross_field_errors", q.with_views(
     """select line, e.error from (select line, unnest(errs) as e from checked) where
     e.field = ''""", checked=_CHECKED))
 def _(spark, d):
-    rows = va.validate(v.examples(spark, d)).select("line", F.explode("errors").alias("e")).where("e.field = ''")
-    return rows.select("line", "e.error")
+    rows = va.explode_errors(va.validate(v.examples(spark, d)), "line")
+    return rows.where("field = ''").drop("field")
 
 
 @query("score_range_warnings", q.with_views(

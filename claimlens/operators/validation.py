@@ -144,6 +144,16 @@ def validate(df: DataFrame) -> DataFrame:
     )
 
 
+def explode_errors(df: DataFrame, *keep: str | Column) -> DataFrame:
+    """One row per entry of ``errors``: the kept columns, field and error.
+
+    The outer form matters: for a plain explode the optimizer derives a filter on the whole
+    rule array and pushes it through every projection below, which can take minutes to plan.
+    """
+    rows = df.select(*keep, F.explode_outer("errors").alias("e"))
+    return rows.where(F.col("e").isNotNull()).select("*", "e.field", "e.error").drop("e")
+
+
 def duplicate_ids(df: DataFrame, id_col: str = "id", seq: str = "line") -> DataFrame:
     """Second and later occurrences of an id.
 
@@ -158,10 +168,7 @@ def duplicate_ids(df: DataFrame, id_col: str = "id", seq: str = "line") -> DataF
 def validation_errors(df: DataFrame, corrupt: DataFrame | None = None) -> DataFrame:
     """One row per problem: line, id, field, error.  ``corrupt`` has line and message."""
     shown_id = F.coalesce("id", F.concat(F.lit("line_"), F.col("line").cast("string")))
-    rules = (
-        validate(df).select("line", shown_id.alias("id"), F.explode("errors").alias("e"))
-        .select("line", "id", "e.field", "e.error")
-    )
+    rules = explode_errors(validate(df), "line", shown_id.alias("id"))
     again = duplicate_ids(df.select("id", "line")).select(
         "line", "id", F.lit("id").alias("field"),
         F.concat(F.lit("Duplicate ID: '"), F.col("id"), F.lit("'")).alias("error"),
