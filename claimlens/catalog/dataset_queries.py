@@ -14,7 +14,7 @@ from claimlens.operators import alignment as al
 from claimlens.operators import splits as sp
 from claimlens.operators import training as tr
 from claimlens.operators import validation as va
-from claimlens.session import work_dir
+from claimlens.session import cut_lineage, work_dir
 from claimlens.sources import jsonl
 from claimlens.sources.fingerprint import dataset_fingerprint
 
@@ -305,6 +305,7 @@ def _(spark, d):
             "paragraph_id"
         )
     )
+    paragraphs = cut_lineage(paragraphs, "paragraphs")
     goal = paragraphs.agg(F.expr("count(*) * 2 + count(*) div 2").alias("n")).scalar()
     return sp.generation_plan(paragraphs, goal).select(
         "plan_id", "paragraph_id", "target_label", "error_type", "error_hint"

@@ -10,12 +10,18 @@ from claimlens.catalog.lists import CLAIM_LISTS
 from claimlens.functions.arrays import literal_array
 from claimlens.functions.scores import nli_policy
 from claimlens.plans.verify import with_claims
+from claimlens.session import spread
 
 Spark = SparkSession
 
 
+# Long texts are costly per row, so these tables should reach all cores.
+TEXT_TABLES = ("documents", "conversations")
+
+
 def table(spark: Spark, d: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/{name}.parquet")
+    df = spark.read.parquet(f"{d}/{name}.parquet")
+    return spread(df) if name in TEXT_TABLES else df
 
 
 def pick(values, at: Column) -> Column:

@@ -128,7 +128,8 @@ def generation_plan(paragraphs: DataFrame, n_target: int | Column, id_col: str =
     """Round-robin plan: plan_id, paragraph id, target label, error type and hint.
 
     Paragraph r of N serves plan ids r, r+N, r+2N, ... below ``n_target``; each row makes
-    its own ids, so nothing is joined.
+    its own ids, so nothing is joined.  The paragraphs are read three times (counts, total,
+    ranks): hand in a written table, not an expensive plan.
     """
     keyed = paragraphs.withColumn("_key", hash_key(F.lit(seed), F.col(id_col)))
     ranked = exact_rank(keyed, "_key", None, "slot").drop("_key")

@@ -38,6 +38,17 @@ def work_dir(spark: SparkSession, purpose: str) -> str:
     return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Use all cores when a table comes in fewer pieces than there are cores.
+
+    One small file is one task however costly the text work on it is.  Tables of cluster size
+    have more pieces than cores and pass unchanged, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    pieces = cores if df.isStreaming else df.rdd.getNumPartitions()
+    return df if pieces >= cores else df.repartition(cores)
+
+
 def cut_lineage(df: DataFrame, purpose: str) -> DataFrame:
     """Write to the shared folder and read back: survives executor loss, unlike a cache."""
     spark = df.sparkSession
