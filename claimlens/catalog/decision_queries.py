@@ -814,7 +814,7 @@ def _tally(score: str = "score") -> str:
     counts = ", ".join(
         f"count(*) filter (label = '{x}') as n_{x}" for x in an.COUNTED
     )
-    return f"count(*) as n_claims, avg({score}) as s, {counts}"
+    return f"count(*) as n_claims, {q.mean(score)} as s, {counts}"
 
 
 def _policy_case(at: int) -> str:

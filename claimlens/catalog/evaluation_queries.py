@@ -103,8 +103,8 @@ def _(spark, d):
 _TRUTH = q.label_case("gold", "typical", "0.5e0")
 _EDGES = "[" + ", ".join(f"{e!r}::double" for e in m.bin_edges(10)) + "]"
 _BINNED = f"""
-  select bin, count(*) as n, avg(score) as conf, avg(truth) as acc,
-         sum((score - truth) * (score - truth)) as sq
+  select bin, count(*) as n, {q.mean('score')} as conf, {q.mean('truth')} as acc,
+         sum(((score - truth) * (score - truth))::decimal(18,9))::double as sq
   from (select score, {_TRUTH} as truth, least(10, len(list_filter({_EDGES}, lambda e:
           e <= score))) as bin from aligned) group by 1"""
 
@@ -128,7 +128,7 @@ def _(spark, d):
 
 @query("span_metrics", q.with_views(
     f"""select count(*) as n_evaluated, {q.rnd('avg(e::int)', 4)} as exact_match_rate,
-    {q.rnd('avg(f)', 4)} as token_f1_mean, {q.rnd('stddev_pop(f)', 4)} as token_f1_std,
+    {q.rnd(q.mean('f'), 4)} as token_f1_mean, {q.rnd('stddev_pop(f)', 4)} as token_f1_std,
     {q.rnd('avg(c::int)', 4)} as span_in_context_rate
     from (select lower(g) = lower(p) as e, {token_f1_sql('p', 'g')} as f,
             {span_found_sql('p', 'context')} as c
@@ -148,7 +148,7 @@ def _(spark, d):
 
 
 @query("latency_stats", q.with_views(
-    f"""select {q.rnd('avg(latency_ms)', 1)} as mean_ms,
+    f"""select {q.rnd(q.mean('latency_ms'), 1)} as mean_ms,
     {q.rnd('quantile_cont(latency_ms, 0.5)', 1)} as median_ms,
     {q.rnd('quantile_cont(latency_ms, 0.95)', 1)} as p95_ms,
     {q.rnd('max(latency_ms)', 1)} as max_ms from aligned"""))
@@ -268,7 +268,7 @@ def _nli_ok() -> str:
     f"""select batch, count(*) as n_total,
     {', '.join(f"count(*) filter (nli_decision = '{x}') as n_{x}" for x in
                ('accept', 'warn', 'revise', 'insufficient_context'))},
-    {q.rnd('avg(sup)', 4)} as avg_support_score, {q.rnd('avg(con)', 4)}
+    {q.rnd(q.mean('sup'), 4)} as avg_support_score, {q.rnd(q.mean('con'), 4)}
       as avg_contradiction_score, {_GOLD_PART}
     from (select *, {_nli_ok()} as is_correct from batches) group by 1""", batches=_BATCH))
 def _(spark, d):
@@ -282,7 +282,7 @@ def _(spark, d):
 
 @query("hybrid_batch_summary", q.with_views(
     f"""select event_id % 7 as batch, count(*) as n_total,
-    {q.rnd('avg(hallucination_score)', 4)} as avg_hallucination_score,
+    {q.rnd(q.mean('hallucination_score'), 4)} as avg_hallucination_score,
     {q.rnd('max(hallucination_score)', 4)} as max_hallucination_score, {_GOLD_PART}
     from det group by 1""", det=DETECT_SQL))
 def _(spark, d):

@@ -66,6 +66,10 @@ def ratio(a: str, b: str) -> str:
     return f"(case when ({b}) > 0 then ({a})::double / ({b})::double else 0e0 end)"
 
 
+def mean(x: str) -> str:
+    return f"(sum(({x})::decimal(18,9))::double / count({x}))"
+
+
 def two(x: str) -> str:
     return f"printf('%.2f', {rnd(x, 2)})"
 

@@ -37,8 +37,8 @@ def _(spark, d):
 
 @query(
     "window_summary",
-    q.with_views("""select date_trunc('day', ts) as window_start, decision, count(*) as n,
-        floor(avg(hallucination_score) * 1e6 + 0.5e0) / 1e6 as avg_score,
+    q.with_views(f"""select date_trunc('day', ts) as window_start, decision, count(*) as n,
+        {q.rnd(q.mean('hallucination_score'), 6)} as avg_score,
         max(hallucination_score) as max_score, count(is_correct) as n_with_gold,
         count(*) filter (is_correct) as n_correct from requests group by 1, 2"""),
 )

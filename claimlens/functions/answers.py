@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from claimlens import fixed_values as fv
 from claimlens.functions.arrays import let
-from claimlens.functions.numbers import ratio, round_to
+from claimlens.functions.numbers import EXACT, ratio, round_to
 from claimlens.functions.scores import two_digits
 from claimlens.functions.text import strip
 
@@ -125,7 +125,10 @@ def answer_policy(claims: Column, policy: fv.AnswerPolicy = fv.AnswerPolicy()) -
             ),
         )
 
-    total = F.aggregate(claims, F.lit(0.0), lambda acc, c: acc + c["score"])
+    total = F.aggregate(
+        claims, F.lit(0).cast("decimal(28,9)"),
+        lambda acc, c: (acc + c["score"].cast(EXACT)).cast("decimal(28,9)"),
+    )
     tally = F.struct(
         F.size(claims).alias("n_claims"),
         F.when(F.size(claims) > 0, ratio(total, F.size(claims))).otherwise(0.5).alias("score"),

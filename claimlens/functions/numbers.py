@@ -22,6 +22,18 @@ def ratio(num: Column, den: Column) -> Column:
     return F.when(den > 0, num.cast("double") / den).otherwise(F.lit(0.0))
 
 
+EXACT = "decimal(18,9)"
+
+
+def exact_mean(c: Column) -> Column:
+    """Mean (aggregate) that does not depend on the order in which partitions are merged.
+
+    Sums of doubles differ in the last bits between runs, which shows where a rounded mean
+    sits on a tie; sums of nine-digit decimals do not.
+    """
+    return F.sum(c.cast(EXACT)).cast("double") / F.count(c)
+
+
 def clean_logit(x: Column) -> Column:
     """NaN -> 0, +-Infinity -> +-10."""
     return (

@@ -9,7 +9,7 @@ from claimlens import fixed_values as fv
 from claimlens.functions.answers import COUNTED, counted_label, policy_rule
 from claimlens.functions.arrays import let
 from claimlens.functions.fusion import claim_contradicted, claim_unsupported
-from claimlens.functions.numbers import round_to
+from claimlens.functions.numbers import exact_mean, round_to
 
 
 def claim_rollup(claim_scores: DataFrame, key: str,
@@ -28,7 +28,7 @@ def policy_by_answer(claims: DataFrame, key: str,
     label = counted_label(F.col("label"))
     tally = claims.groupBy(key).agg(
         F.count("*").alias("n_claims"),
-        F.avg("score").alias("_score"),
+        exact_mean(F.col("score")).alias("_score"),
         F.count(F.when(F.col("score") >= policy.flag_claim_score, 1)).alias("n_flagged"),
         *[F.count(F.when(label == name, 1)).alias(f"n_{name}") for name in COUNTED],
     )

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from claimlens import fixed_values as fv
 from claimlens.functions.labels import label_attr, to_binary, to_nli3
-from claimlens.functions.numbers import ratio, round_to
+from claimlens.functions.numbers import EXACT, exact_mean, ratio, round_to
 from claimlens.functions.text import is_blank, span_in_context, strip, token_f1
 
 
@@ -156,10 +156,11 @@ def _binned(df: DataFrame, n_bins: int) -> DataFrame:
         df.select(F.col("score"), truth.alias("truth"), _bin(F.col("score"), n_bins).alias("bin"))
         .groupBy("bin")
         .agg(
-            F.count("*").alias("n"), F.avg("score").alias("conf"), F.avg("truth").alias("acc"),
-            F.sum((F.col("score") - F.col("truth")) * (F.col("score") - F.col("truth"))).alias(
-                "sq"
-            ),
+            F.count("*").alias("n"), exact_mean(F.col("score")).alias("conf"),
+            exact_mean(F.col("truth")).alias("acc"),
+            F.sum(
+                ((F.col("score") - F.col("truth")) * (F.col("score") - F.col("truth"))).cast(EXACT)
+            ).cast("double").alias("sq"),
         )
     )
 
@@ -198,7 +199,7 @@ def span_metrics(df: DataFrame) -> DataFrame:
     return rows.agg(
         F.count("*").alias("n_evaluated"),
         round_to(F.avg("exact"), 4).alias("exact_match_rate"),
-        round_to(F.avg("f1"), 4).alias("token_f1_mean"),
+        round_to(exact_mean(F.col("f1")), 4).alias("token_f1_mean"),
         round_to(F.stddev_pop("f1"), 4).alias("token_f1_std"),
         round_to(F.avg("found"), 4).alias("span_in_context_rate"),
     )
@@ -220,7 +221,7 @@ def latency_stats(df: DataFrame, approximate: bool = False) -> DataFrame:
     """
     fn = F.percentile_approx if approximate else F.percentile
     return df.where(F.col("latency_ms").isNotNull()).agg(
-        round_to(F.avg("latency_ms"), 1).alias("mean_ms"),
+        round_to(exact_mean(F.col("latency_ms")), 1).alias("mean_ms"),
         round_to(fn("latency_ms", F.lit(0.5)), 1).alias("median_ms"),
         round_to(fn("latency_ms", F.lit(0.95)), 1).alias("p95_ms"),
         round_to(F.max("latency_ms"), 1).alias("max_ms"),
@@ -297,8 +298,8 @@ def nli_batch_summary(df: DataFrame, *keys: str) -> DataFrame:
             F.count(F.when(F.col("decision") == d, 1)).alias(f"n_{d}")
             for d in ("accept", "warn", "revise", "insufficient_context")
         ],
-        round_to(F.avg("sup"), 4).alias("avg_support_score"),
-        round_to(F.avg("con"), 4).alias("avg_contradiction_score"),
+        round_to(exact_mean(F.col("sup")), 4).alias("avg_support_score"),
+        round_to(exact_mean(F.col("con")), 4).alias("avg_contradiction_score"),
         *_accuracy_on_gold(),
     )
 
@@ -307,7 +308,7 @@ def hybrid_batch_summary(df: DataFrame, *keys: str) -> DataFrame:
     """Columns hallucination_score, is_correct -> scores and accuracy per batch key."""
     return df.groupBy(*keys).agg(
         F.count("*").alias("n_total"),
-        F.coalesce(round_to(F.avg("hallucination_score"), 4), F.lit(0.0)).alias(
+        F.coalesce(round_to(exact_mean(F.col("hallucination_score")), 4), F.lit(0.0)).alias(
             "avg_hallucination_score"
         ),
         F.coalesce(round_to(F.max("hallucination_score"), 4), F.lit(0.0)).alias(

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from claimlens.functions.numbers import exact_mean
 from claimlens.operators.validation import validate
 from claimlens.plans.detect import detect
 
@@ -33,7 +34,7 @@ def stream_summary(decisions: DataFrame, ts: str = "ts", window: str = "1 day",
         bounded = decisions.withWatermark(ts, late)
     grouped = bounded.groupBy(F.window(ts, window, slide), *keys).agg(
         F.count("*").alias("n"),
-        F.avg("hallucination_score").alias("avg_score"),
+        exact_mean(F.col("hallucination_score")).alias("avg_score"),
         F.max("hallucination_score").alias("max_score"),
         F.count("is_correct").alias("n_with_gold"),
         F.count(F.when(F.col("is_correct"), 1)).alias("n_correct"),
