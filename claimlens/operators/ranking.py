@@ -1,8 +1,8 @@
 """Exact ranks and order statistics over hash keys without a one-task window.
 
 Keys are MD5 hex strings of unique values, so their first characters spread rows evenly
-over at most 16**PREFIX buckets.  Only per-bucket counts (a few thousand rows at most)
-ever meet in one task.
+over at most 16**PREFIX buckets.  Only per-bucket counts (65,536 rows at most) ever meet
+in one task.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-PREFIX = 3
+PREFIX = 4
 
 
 def _bucket(key: Column) -> Column:
