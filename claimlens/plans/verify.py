@@ -16,8 +16,13 @@ from claimlens.operators.scorers import LexicalScorer, cascade_verdict, lexical_
 
 
 def with_claims(df: DataFrame, **lists) -> DataFrame:
-    """Add ``claims`` array<string>; the whole answer stands in when none is found."""
+    """Set ``claims`` array<string>; given ones are kept, null means extract them.
+
+    The whole answer stands in when there is none.
+    """
     found = extract_claims(F.col("answer"), **lists)
+    if "claims" in df.columns:
+        found = F.coalesce(F.col("claims"), found)
     return df.withColumn("claims", let(found, lambda c: claims_or_answer(c, F.col("answer"))))
 
 
@@ -58,7 +63,7 @@ def verify_answers(df: DataFrame, strategy: str = "drop", threshold: float = 0.8
     Columns question, answer, context (and optional claims) are needed.  Claims stay an
     array of their row from extraction to rewriting, so the plan is map-only.
     """
-    rows = df if "claims" in df.columns else with_claims(df, **lists)
+    rows = with_claims(df, **lists)
     evidence = passthrough_evidence(F.col("context"), max_chars)
 
     def judge(e: Column) -> Column:
@@ -87,8 +92,10 @@ def verify_answers_with_corpus(df: DataFrame, corpus: DataFrame, key: str,
     ``key`` is unique per answer row.  Claims leave the row for the search and come back
     grouped by it, so a group never holds more than one answer's claims.
     """
-    rows = df if "claims" in df.columns else with_claims(df, **lists)
-    claims = rows.select(key, F.posexplode("claims").alias("claim_index", "claim")).withColumn(
+    rows = with_claims(df, **lists)
+    # the array is never empty; a plain explode would add a filter that extracts claims twice
+    exploded = rows.select(key, F.posexplode_outer("claims").alias("claim_index", "claim"))
+    claims = exploded.withColumn(
         "claim_id", F.concat_ws("#", F.col(key).cast("string"), F.col("claim_index"))
     )
     found = retrieve_local(claims, corpus, k, max_chars)

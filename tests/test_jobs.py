@@ -176,6 +176,16 @@ def test_verify_answers_is_map_only(spark):
     assert got[2]["verdicts"][0]["error_type"] == "retrieval_failure"
 
 
+def test_given_claims_are_used(spark):
+    rows = spark.createDataFrame(
+        [(1, "Uzun bir cevap metni.", "bağlam", ["Verilen iddia."]), (2, " Cevap ", "bağlam", []),
+         (3, "İlk cümle burada. İkinci cümle de burada.", "bağlam", None)],
+        "qa_id int, answer string, context string, claims array<string>")
+    got = {r["qa_id"]: [c["claim"] for c in r["verdicts"]] for r in verify_answers(rows).collect()}
+    assert got == {1: ["Verilen iddia."], 2: ["Cevap"],
+                   3: ["İlk cümle burada.", "İkinci cümle de burada."]}
+
+
 def test_grouped_split_never_moves_rows(spark, sf_dir):
     rows = v.examples(spark, sf_dir).select("line", "context")
     written = work_dir(spark, "ex")
