@@ -84,8 +84,11 @@ def token_set(c: Column, min_len: int = 1, stopwords=()) -> Column:
 
 
 def share_of(a: Column, b: Column) -> Column:
-    """|A intersect B| / |A| for two token sets, 0 when A is empty."""
-    return ratio(F.size(F.array_intersect(a, b)), F.size(a))
+    """|A intersect B| / |A| for two token sets, 0 when A is empty.
+
+    The second argument of array_intersect is hashed; A is the short one here.
+    """
+    return ratio(F.size(F.array_intersect(b, a)), F.size(a))
 
 
 def keyword_overlap(text: Column, context: Column, min_len: int = 4,
