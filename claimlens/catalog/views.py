@@ -332,18 +332,20 @@ def guard_rows(spark: Spark, d: str) -> DataFrame:
 
 
 def requests(spark: Spark, d: str) -> DataFrame:
-    return event_requests(table(spark, d, "events"))
+    """Batch form; the zone-less event time stays as it is."""
+    return event_requests(table(spark, d, "events"), F.col("ts"))
 
 
-def event_requests(events: DataFrame) -> DataFrame:
-    """Events as decided requests; works on a stream, too."""
+def event_requests(events: DataFrame, ts: Column | None = None) -> DataFrame:
+    """Events as decided requests; works on a stream, whose watermark needs a zoned time."""
+    ts = F.col("ts").cast("timestamp") if ts is None else ts
     kinds = {"purchase": "accept", "signup": "warn", "view": "warn", "click": "revise",
              "error": "insufficient_context"}
     decision = F.lit(None).cast("string")
     for event_type, name in kinds.items():
         decision = F.when(F.col("event_type") == event_type, F.lit(name)).otherwise(decision)
     return events.select(
-        "event_id", F.col("ts").cast("timestamp").alias("ts"), "user_id", "event_type",
+        "event_id", ts.alias("ts"), "user_id", "event_type",
         decision.alias("decision"),
         (F.least("value", F.lit(100e0)) / F.lit(100e0)).alias("hallucination_score"),
         F.when(F.col("event_id") % 3 == 0, decision == "warn").alias("is_correct"),
