@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from claimlens.catalog.registry import Query
-from claimlens.llm import bpe, token_shards
+from claimlens.llm import bpe, decontaminate, language, token_shards
 
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
@@ -40,7 +40,32 @@ def op1(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id", "start", "n_tokens", "ids_crc32", "shard", "slot")
 
 
+@query("op4_decontaminate")
+def op4(spark: SparkSession, folder: str) -> DataFrame:
+    """Words of every document that windows of benchmark items hit."""
+    found = decontaminate.matches(table(spark, folder, "documents"),
+                                  table(spark, folder, "benchmark"), keep=["doc_id"])
+    return found.select(
+        "doc_id", "n_words", decontaminate.n_hit().alias("n_hit"),
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        decontaminate.contaminated().alias("contaminated"))
+
+
 @query("op8_bpe")
 def op8(spark: SparkSession, folder: str) -> DataFrame:
     """Every document encoded and decoded."""
     return bpe.encode_decode(table(spark, folder, "documents"), byte_bpe())
+
+
+def held_out(doc_id: str = "doc_id"):
+    return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 4 == 2, F.lit(False))
+
+
+@query("op10_language")
+def op10(spark: SparkSession, folder: str) -> DataFrame:
+    """Language of every document, learnt from those that are not held out."""
+    docs = table(spark, folder, "documents")
+    learnt = language.fit(docs.where(~held_out()))
+    return language.predict(docs, learnt).select(
+        "doc_id", held_out().alias("held_out"), "lang_pred", "score")
