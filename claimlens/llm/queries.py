@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from claimlens.catalog.registry import Query
-from claimlens.llm import bpe, decontaminate, language, token_shards
+from claimlens.llm import bpe, decontaminate, language, licenses, ngram_join, token_shards, topk
 
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
@@ -40,6 +40,12 @@ def op1(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id", "start", "n_tokens", "ids_crc32", "shard", "slot")
 
 
+@query("op3_ngram_join")
+def op3(spark: SparkSession, folder: str) -> DataFrame:
+    """Class and number of near copies of every document."""
+    return ngram_join.join(table(spark, folder, "documents"))
+
+
 @query("op4_decontaminate")
 def op4(spark: SparkSession, folder: str) -> DataFrame:
     """Words of every document that windows of benchmark items hit."""
@@ -52,12 +58,31 @@ def op4(spark: SparkSession, folder: str) -> DataFrame:
         decontaminate.contaminated().alias("contaminated"))
 
 
+@query("op7_topk", """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS q
+  FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+  AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+pairs AS (SELECT a.vec_id AS query_id, b.vec_id, CAST(list_sum(list_transform(list_zip(a.q, b.q),
+  lambda z: z[1] * z[2])) AS BIGINT) AS score FROM v a JOIN v b ON a.vec_id % 20 = 0 AND a.vec_id != b.vec_id),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS r FROM pairs)
+SELECT query_id, CAST(r AS INTEGER) AS rank, vec_id, score FROM ranked WHERE r <= 20""")
+def op7(spark: SparkSession, folder: str) -> DataFrame:
+    """The twenty best vectors of every twentieth one."""
+    return topk.top_k(table(spark, folder, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 @query("op8_bpe")
 def op8(spark: SparkSession, folder: str) -> DataFrame:
     """Every document encoded and decoded."""
     return bpe.encode_decode(table(spark, folder, "documents"), byte_bpe())
 
 
+@query("op9_licenses", licenses.scan_sql())
+def op9(spark: SparkSession, folder: str) -> DataFrame:
+    """Known licences that a whole document, or a line of it, is."""
+    return licenses.scan(table(spark, folder, "documents"))
+
+
 def held_out(doc_id: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 4 == 2, F.lit(False))
 

@@ -138,7 +138,8 @@ def word_shingles(data: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.
     length = np.minimum(counts[row], size)
     total = np.zeros(len(first), np.uint64)
     for k in range(size):
-        term = mix(hashes[np.minimum(first + k, len(hashes) - 1)] + np.uint64(k + 1) * GOLDEN)
+        place = np.uint64((k + 1) * int(GOLDEN) & 0xFFFFFFFFFFFFFFFF)
+        term = mix(hashes[np.minimum(first + k, len(hashes) - 1)] + place)
         total += np.where(length > k, term, np.uint64(0))
     return mix(total), out_at
 
