@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from claimlens.catalog.registry import Query
-from claimlens.llm import bpe, decontaminate, language, licenses, ngram_join, token_shards, topk
+from claimlens.llm import (
+    bpe, decontaminate, language, licenses, ngram_join, suffix_dedup, token_shards, topk,
+)
 
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
@@ -40,6 +42,12 @@ def op1(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id", "start", "n_tokens", "ids_crc32", "shard", "slot")
 
 
+@query("op2_suffix_dedup")
+def op2(spark: SparkSession, folder: str) -> DataFrame:
+    """Bytes of every document that repeat an earlier string of 100 bytes."""
+    return suffix_dedup.removed(table(spark, folder, "documents"))
+
+
 @query("op3_ngram_join")
 def op3(spark: SparkSession, folder: str) -> DataFrame:
     """Class and number of near copies of every document."""
