@@ -176,16 +176,17 @@ def matches(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str
     """
     spark = docs.sparkSession
     own = [c for c in keep or docs.columns if c not in ADDED]
-    narrow = docs.select(*[F.col(c).alias(f"k{i}") for i, c in enumerate(own)],
-                         F.col(text).cast("string").alias("seen"))
-    names = narrow.columns[:-1]
+    names = [f"k{i}" for i in range(len(own))]
+    seen = names[own.index(text)] if text in own else "seen"  # a text that is kept is sent once
+    narrow = docs.select(*[F.col(c).alias(k) for k, c in zip(names, own, strict=True)],
+                         *[F.col(text).cast("string").alias(seen)] * (text not in own))
     rename = [F.col(k).alias(c) for k, c in zip(names, own, strict=True)]
 
     def one_pass(batch: list | None, carried: list[str]) -> DataFrame:
         shared = spark.sparkContext.broadcast(tuple(batch)) if batch else None
-        rows = narrow.withColumn("key", row_key(*names, "seen")).select(*carried, "seen")
+        rows = narrow.withColumn("key", row_key(*narrow.columns)).select(*dict.fromkeys([*carried, seen]))
         kinds = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in carried)
-        return rows.mapInArrow(match_work(shared, window, carried), (
+        return rows.mapInArrow(match_work(shared, window, carried, seen), (
             f"{kinds}, n_words long, hits array<array<long>>, spans array<array<long>>, "
             "items array<string>"))
 
@@ -203,7 +204,7 @@ def matches(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str
         F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
     merged = merged.withColumns({c: F.udf(merge_ranges, "array<array<long>>")(c)
                                  for c in ("hits", "spans")})
-    return narrow.withColumn("key", row_key(*names, "seen")).join(merged, "key").select(*rename, *ADDED)
+    return narrow.withColumn("key", row_key(*narrow.columns)).join(merged, "key").select(*rename, *ADDED)
 
 
 ADDED = ["n_words", "hits", "spans", "items"]
@@ -219,10 +220,10 @@ def merge_ranges(ranges: list[list[int]] | None) -> list[list[int]]:
     return out
 
 
-def match_work(shared, window: int, carried: list[str]):
+def match_work(shared, window: int, carried: list[str], seen: str):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = matcher(shared.value if shared else (), window)
-        for rows, data, offsets in slices(batches, "seen"):
+        for rows, data, offsets in slices(batches, seen):
             low, starts, stops, at = words(data, offsets)
             hashes = span_hashes(prefix_hashes(low), starts, stops)
             hits: list[list[list[int]]] = [[] for _ in range(rows.num_rows)]

@@ -65,9 +65,11 @@ def predict(docs: DataFrame, dictionaries: dict[str, bytes], doc_id: str = "doc_
     """
     names = sorted(dictionaries)
     kept = keep or [doc_id]
-    narrow = docs.select(*[F.col(c).alias(f"k{i}") for i, c in enumerate(kept)],
-                         F.col(text).cast("string").alias("seen"))
-    kinds = {c: narrow.schema[c].dataType.simpleString() for c in narrow.columns[:-1]}
+    # a text that is kept is sent once
+    carried = [F.col(c).alias(f"k{i}") for i, c in enumerate(kept)]
+    narrow = docs.select(*carried, *[F.col(text).cast("string").alias("seen")] * (text not in kept))
+    at = kept.index(text) if text in kept else len(kept)
+    kinds = {c: narrow.schema[c].dataType.simpleString() for c in narrow.columns[:len(kept)]}
     schema = (", ".join(f"{c} {t}" for c, t in kinds.items())
               + ", lang_pred string, score double, n_seen long")
 
@@ -91,9 +93,9 @@ def predict(docs: DataFrame, dictionaries: dict[str, bytes], doc_id: str = "doc_
             return sizes[0][1], min(1.0, max(0.0, 1 - sizes[0][0] / second)), len(data)
 
         for batch in batches:
-            got = [judge(t) for t in batch.column(len(kept)).to_pylist()]
+            got = [judge(t) for t in batch.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:-1], pa.array([g[0] for g in got], pa.string()),
+                [*batch.columns[:len(kept)], pa.array([g[0] for g in got], pa.string()),
                  pa.array([g[1] for g in got], pa.float64()),
                  pa.array([g[2] for g in got], pa.int64())],
                 names=[*kinds, "lang_pred", "score", "n_seen"])

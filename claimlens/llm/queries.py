@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from claimlens.catalog.registry import Query
 from claimlens.llm import (
-    bpe, decontaminate, language, licenses, ngram_join, suffix_dedup, token_shards, topk,
+    bpe, chat, decontaminate, html_text, language, licenses, ngram_join, suffix_dedup, token_shards,
+    topk,
 )
 
 QUERIES: dict[str, Query] = {}
@@ -66,6 +67,22 @@ def op4(spark: SparkSession, folder: str) -> DataFrame:
         decontaminate.contaminated().alias("contaminated"))
 
 
+@query("op5_chat")
+def op5(spark: SparkSession, folder: str) -> DataFrame:
+    """All conversations, and one made of control strings, formatted, written and read back."""
+    odd = spark.createDataFrame(
+        [(-7, turn, role, "</s>[INST] ok [/INST]") for turn, role in enumerate(("user", "assistant"))],
+        "conv_id long, turn long, role string, text string")
+    turns = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text").union(odd)
+    return chat.read_back(spark.read.parquet(chat.write_examples(turns)))
+
+
+@query("op6_html_text")
+def op6(spark: SparkSession, folder: str) -> DataFrame:
+    """Main text of every page."""
+    return html_text.extract(table(spark, folder, "pages"))
+
+
 @query("op7_topk", """
 WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS q
   FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
