@@ -174,14 +174,19 @@ def matches(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str
     A larger one is taken in parts of that size, a pass over the documents each, and the
     passes are merged per document; what is in memory at once stays bounded.
     """
-    spark = docs.sparkSession
     own = [c for c in keep or docs.columns if c not in ADDED]
+    found = judged(docs, items, text, item_id, item_text, window, own, part_bytes)
+    return found.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(own)], *ADDED)
+
+
+def judged(docs: DataFrame, items: DataFrame, text: str, item_id: str, item_text: str, window: int,
+           own: list[str], part_bytes: int) -> DataFrame:
+    """The result columns beside k0, k1, ... for the columns ``own``, so that no name clashes."""
+    spark = docs.sparkSession
     names = [f"k{i}" for i in range(len(own))]
     seen = names[own.index(text)] if text in own else "seen"  # a text that is kept is sent once
     narrow = docs.select(*[F.col(c).alias(k) for k, c in zip(names, own, strict=True)],
                          *[F.col(text).cast("string").alias(seen)] * (text not in own))
-    rename = [F.col(k).alias(c) for k, c in zip(names, own, strict=True)]
-
     def one_pass(batch: list | None, carried: list[str]) -> DataFrame:
         shared = spark.sparkContext.broadcast(tuple(batch)) if batch else None
         rows = narrow.withColumn("key", row_key(*narrow.columns)).select(*dict.fromkeys([*carried, seen]))
@@ -192,7 +197,7 @@ def matches(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str
 
     batches = list(parts(items, item_id, item_text, part_bytes))
     if len(batches) < 2:
-        return one_pass(batches[0] if batches else None, names).select(*rename, *ADDED)
+        return one_pass(batches[0] if batches else None, names).select(*names, *ADDED)
     # equal rows have equal results, so passes are merged per distinct row and dealt out again
     found = one_pass(batches[0], ["key"])
     for batch in batches[1:]:
@@ -204,7 +209,7 @@ def matches(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str
         F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
     merged = merged.withColumns({c: F.udf(merge_ranges, "array<array<long>>")(c)
                                  for c in ("hits", "spans")})
-    return narrow.withColumn("key", row_key(*narrow.columns)).join(merged, "key").select(*rename, *ADDED)
+    return narrow.withColumn("key", row_key(*narrow.columns)).join(merged, "key").select(*names, *ADDED)
 
 
 ADDED = ["n_words", "hits", "spans", "items"]
@@ -274,18 +279,20 @@ def without_spans(text: str, spans: Column) -> Column:
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, text: str = "text", share: int | None = 20,
-                  span_words: int | None = None, **options) -> DataFrame:
+                  span_words: int | None = None, item_id: str = "item_id", item_text: str = "text",
+                  window: int = WINDOW, part_bytes: int = PART_BYTES) -> DataFrame:
     """Documents without the benchmark, columns as they were.
 
     A document goes if hits cover at least one word in ``share`` (None: none goes); in the others,
     hit ranges of at least ``span_words`` words are cut out of the text (None: none is cut).
     """
     own = docs.columns
-    found = matches(docs, items, text, **options)
+    found = judged(docs, items, text, item_id, item_text, window, own, part_bytes)
     if share is not None:
         found = found.where(~contaminated(share))
+    new = F.col(at := f"k{own.index(text)}")
     if span_words is not None:
         long = F.transform(F.filter(F.arrays_zip("hits", "spans"), lambda x: (
             x["hits"][1] - x["hits"][0]) >= span_words), lambda x: x["spans"])
-        found = found.withColumn(text, F.when(F.size(long) > 0, without_spans(text, long)).otherwise(F.col(text)))
-    return found.select(*own)
+        new = F.when(F.size(long) > 0, without_spans(at, long)).otherwise(new)
+    return found.select(*[(new if c == text else F.col(f"k{i}")).alias(c) for i, c in enumerate(own)])

@@ -53,7 +53,8 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang",
 
 def predict(docs: DataFrame, dictionaries: dict[str, bytes], doc_id: str = "doc_id",
             text: str = "text", keep: list[str] | None = None, level: int = LEVEL) -> DataFrame:
-    """``lang_pred``, ``score`` and ``n_seen`` of every whole text, beside the key or ``keep``.
+    """``lang_pred``, ``score`` and ``n_seen`` of every whole text, beside the key or ``keep``
+    (columns of these names are replaced).
 
     A text is compressed once per dictionary, in blocks of ``BLOCK`` bytes that do not see each
     other, so that a long text cannot explain itself.  ``score`` is the margin between the
@@ -63,8 +64,17 @@ def predict(docs: DataFrame, dictionaries: dict[str, bytes], doc_id: str = "doc_
     score is its saving against no dictionary.  ``n_seen`` is the number of bytes compressed.
     Repeated rows each give a row.  Map only.
     """
+    kept = [c for c in keep or [doc_id] if c not in RESULT]
+    found = judged(docs, dictionaries, text, kept, level)
+    return found.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(kept)], *RESULT)
+
+
+RESULT = ["lang_pred", "score", "n_seen"]
+
+
+def judged(docs: DataFrame, dictionaries: dict[str, bytes], text: str, kept: list[str], level: int) -> DataFrame:
+    """The result columns beside k0, k1, ... for the columns ``kept``, so that no name clashes."""
     names = sorted(dictionaries)
-    kept = keep or [doc_id]
     # a text that is kept is sent once
     carried = [F.col(c).alias(f"k{i}") for i, c in enumerate(kept)]
     narrow = docs.select(*carried, *[F.col(text).cast("string").alias("seen")] * (text not in kept))
@@ -100,9 +110,7 @@ def predict(docs: DataFrame, dictionaries: dict[str, bytes], doc_id: str = "doc_
                  pa.array([g[2] for g in got], pa.int64())],
                 names=[*kinds, "lang_pred", "score", "n_seen"])
 
-    out = narrow.mapInArrow(work, schema)
-    return out.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(kept)],
-                      "lang_pred", "score", "n_seen")
+    return narrow.mapInArrow(work, schema)
 
 
 def rejected(margin: float = MARGIN, min_bytes: int = MIN_BYTES) -> Column:
@@ -113,3 +121,11 @@ def rejected(margin: float = MARGIN, min_bytes: int = MIN_BYTES) -> Column:
     """
     narrow = (F.col("score") < margin) & (F.col("n_seen") >= min_bytes)
     return (F.col("lang_pred") == UNKNOWN) | narrow
+
+
+def accepted(docs: DataFrame, dictionaries: dict[str, bytes], text: str = "text", level: int = LEVEL,
+             margin: float = MARGIN, min_bytes: int = MIN_BYTES) -> DataFrame:
+    """Documents of an accepted language, columns as they were."""
+    own = docs.columns
+    found = judged(docs, dictionaries, text, own, level).where(~rejected(margin, min_bytes))
+    return found.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(own)])

@@ -23,6 +23,7 @@ from claimlens.llm.texts import mix, powers, prefix_hashes, row_key, slices, spa
 
 LENGTH = 100
 ANCHOR = 40
+HOT = 20_000
 SYMBOLS = 1 << 17
 FLUSH = 1 << 19
 SPAN, ASK, TEXT, WINDOW = 0, 1, 2, 3
@@ -436,10 +437,10 @@ def ordered(df: DataFrame) -> DataFrame:
 
 def removed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH,
             anchor: int = ANCHOR, keep: list[str] | None = None, with_text: bool = False,
-            hot: int = 20_000) -> DataFrame:
+            hot: int = HOT) -> DataFrame:
     """Which bytes of each text repeat an earlier string of ``length`` bytes.
 
-    Columns: those of ``keep`` (default: the key), ``n_bytes``, ``n_removed``, ``n_spans`` (removed
+    Columns: those of ``keep`` (default: the key; result names are replaced), ``n_bytes``, ``n_removed``, ``n_spans`` (removed
     runs), ``kept_sha256`` (of the remaining bytes end to end), and with ``with_text`` ``kept``, the
     remaining characters (a character goes if any of its bytes does).  Texts count as UTF-8; null is
     empty; matches never cross documents.  Documents are ordered by the key, an integer (null
@@ -451,9 +452,20 @@ def removed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length:
     than ``hot`` different contexts is not gathered: its strings are hashed one by one and dealt
     out by that hash, the earliest of each per task buffer.
     """
+    kept = [c for c in keep or [doc_id] if c not in RESULT]
+    found = judged(docs, doc_id, text, length, anchor, kept, with_text, hot)
+    return found.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(kept)], *RESULT[:4],
+                        *["kept"] * with_text)
+
+
+RESULT = ["n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]
+
+
+def judged(docs: DataFrame, doc_id: str, text: str, length: int, anchor: int, kept: list[str],
+           with_text: bool, hot: int) -> DataFrame:
+    """The result columns beside k0, k1, ... for the columns ``kept``, so that no name clashes."""
     spark = docs.sparkSession
     many = buckets(spark)
-    kept = keep or [doc_id]
     rows = docs.select(*[F.col(c).alias(f"k{i}") for i, c in enumerate(kept)],
                        F.coalesce(F.col(doc_id).cast("long"), F.lit(-(1 << 63)).cast("long")).alias("doc"),
                        F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
@@ -473,9 +485,7 @@ def removed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length:
         spans.withColumns(nothing).select(*NAMES, "doc", "tie", *carried))
     kinds = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in carried)
     schema = kinds + ", n_bytes long, n_removed long, n_spans long, kept_sha256 string"
-    out = ordered(both).mapInArrow(apply_spans(carried, with_text), schema + ", kept string" * with_text)
-    return out.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(kept)], "n_bytes", "n_removed",
-                      "n_spans", "kept_sha256", *["kept"] * with_text)
+    return ordered(both).mapInArrow(apply_spans(carried, with_text), schema + ", kept string" * with_text)
 
 
 def pack(rows: DataFrame, carried: list[str], many: int) -> DataFrame:
@@ -548,17 +558,17 @@ def apply_spans(carried: list[str], with_text: bool):
     return work
 
 
-def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
+def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
+                    length: int = LENGTH, anchor: int = ANCHOR, hot: int = HOT) -> DataFrame:
     """Documents whose texts have lost what they repeat, columns as they were.
 
     Documents of which nothing but white space is left go; a text that was empty before stays.
     ``n_chars``, where there is one, is counted anew.
     """
     own = docs.columns
-    found = removed(docs, doc_id, text, keep=own, with_text=True, **options)
-    gone = (F.col("n_removed") > 0) & (F.trim("kept") == "")
-    new = {text: F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col(text))}
-    if "n_chars" in own:
-        new["n_chars"] = F.when(F.col("n_removed") > 0, F.length("kept").cast(
-            docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
-    return found.where(~gone).withColumns(new).select(*own)
+    found = judged(docs, doc_id, text, length, anchor, own, True, hot)
+    found = found.where("n_removed = 0 OR trim(kept) != ''")
+    new = {text: F.col("kept"), "n_chars": F.length("kept")}
+    return found.select(*[
+        F.when(F.col("n_removed") > 0, new[c].cast(docs.schema[c].dataType)).otherwise(F.col(f"k{i}")).alias(c)
+        if c in new else F.col(f"k{i}").alias(c) for i, c in enumerate(own)])
