@@ -20,8 +20,7 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 def accepted_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is told apart; learnt from a bounded sample of labelled rows."""
-    found = language.predict(docs, language.fit(docs), keep=docs.columns)
-    return found.where(~language.rejected()).select(*docs.columns)
+    return language.accepted(docs, language.fit(docs))
 
 
 def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
