@@ -145,6 +145,54 @@ def _(spark, d):
     return va.validation_errors(v.examples(spark, d))
 
 
+def broken_examples(spark, d) -> str:
+    """Examples as JSON lines; every eighth is cut off, every fifth is followed by a blank line."""
+    path = work_dir(spark, "broken-examples")
+    i = F.col("line")
+    record = F.to_json(F.struct(*[c for c in v.examples(spark, d).columns if c != "line"]))
+    cut = F.substring(record, F.lit(1), F.length(record) - 2)
+    line = F.when(i % 8 == 3, cut).otherwise(record)
+    blank = F.when(i % 5 == 0, F.lit("   "))
+    rows = v.examples(spark, d).select(F.explode(F.array_compact(F.array(line, blank))).alias("value"))
+    rows.write.text(path)
+    return path
+
+
+def read_broken(spark, d):
+    rows = jsonl.read_jsonl(spark, broken_examples(spark, d), jsonl.example_schema(), strict=False,
+                            numbered=True)
+    good, broken = jsonl.split_corrupt(rows)
+    return good.fillna(jsonl.EXAMPLE_DEFAULTS), broken
+
+
+_WHOLE = {"sound": "select * from checked where line % 8 <> 3",
+          "again": "select id, count(*) - 1 as n from sound group by 1 having count(*) > 1"}
+
+
+@query("validation_errors_from_file", q.with_views(
+    """select field, error, count(*) as n from (
+      select e.field, e.error from (select unnest(errs) as e from sound)
+      union all select 'id', 'Duplicate ID: ''' || id || ''''
+        from (select id, unnest(range(n)) from again)
+      union all select 'JSON', 'Invalid JSON' from examples where line % 8 = 3) group by 1, 2""",
+    checked=_CHECKED, **_WHOLE))
+def _(spark, d):
+    found = va.validation_errors(*read_broken(spark, d))
+    # the message of a broken line quotes it
+    error = F.when(F.col("field") == "JSON", F.lit("Invalid JSON")).otherwise(F.col("error"))
+    return found.groupBy("field", error.alias("error")).agg(F.count("*").alias("n"))
+
+
+@query("validation_summary_from_file", q.with_views(
+    """select (select count(distinct id) from sound) as n_total,
+      (select count(*) from sound where len(errs) = 0) as n_valid,
+      (select sum(len(errs)) from sound) + (select coalesce(sum(n), 0) from again)
+        + (select count(*) from examples where line % 8 = 3) as n_errors""",
+    checked=_CHECKED, **_WHOLE))
+def _(spark, d):
+    return va.validation_summary(*read_broken(spark, d)).select("n_total", "n_valid", "n_errors")
+
+
 def _leaks(source: str) -> str:
     pairs = {"train_test_leakage": ("train", "test"), "train_val_leakage": ("train", "validation"),
              "val_test_leakage": ("validation", "test")}
@@ -183,11 +231,12 @@ def _(spark, d):
 
 @query("distributions", q.with_views(
     f"""select family, value, sum(n)::bigint as n, case when family = 'label' then
-      floor(sum(n) * 100e0 / (select count(*) from examples) * 10e0 + 0.5e0) / 10e0 end as pct from (
-      {' union all '.join(f"select '{f}' as family, {f} as value, count(*) as n from examples "
+      floor(sum(n) * 100e0 / (select count(*) from valid) * 10e0 + 0.5e0) / 10e0 end as pct from (
+      {' union all '.join(f"select '{f}' as family, {f} as value, count(*) as n from valid "
                           f"where {f} is not null group by 2"
                           for f in ('label', 'split', 'domain', 'source_type'))}
-      union all select 'label', unnest({q.array(fv.LABELS)}), 0) group by 1, 2"""))
+      union all select 'label', unnest({q.array(fv.LABELS)}), 0) group by 1, 2""",
+    checked=_CHECKED, valid="select * from checked where len(errs) = 0"))
 def _(spark, d):
     return va.distributions(v.examples(spark, d))
 

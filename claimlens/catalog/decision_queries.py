@@ -214,18 +214,14 @@ def _(spark, d):
 
 @query(
     "route",
-    f"""select doc_id, case when mode = 'auto' then 'ensemble' else mode end as executed,
-        case when mode <> 'auto' then mode when n < 30 then 'nli' when n > 80 then 'bert'
-             else 'ensemble' end as tiers
-        from (select doc_id, {q.n_words('text')} as n,
-              (['auto', 'auto', 'bert', 'nli', 'ensemble'])[1 + doc_id % 5] as mode
+    f"""select doc_id, case when mode = 'auto' then 'ensemble' else mode end as executed
+        from (select doc_id, (['auto', 'auto', 'bert', 'nli', 'ensemble'])[1 + doc_id % 5] as mode
               from documents)""",
 )
 def _(spark, d):
     mode = v.pick(["auto", "auto", "bert", "nli", "ensemble"], F.col("doc_id") % 5)
     return v.table(spark, d, "documents").select(
-        "doc_id", fu.route(F.col("text"), mode).alias("executed"),
-        fu.route(F.col("text"), mode, "word_tiers").alias("tiers"),
+        "doc_id", fu.route(mode).alias("executed"),
     )
 
 
@@ -446,7 +442,7 @@ _LEX = f"""
           {q.share(q.tokens('claim', 4, ls.STOP), q.tokens('ctx', 4, ls.STOP))} as sup0,
           {q.contains_any('lower(claim)', ls.NEGATIONS)} as neg_c,
           {q.contains_any('lower(ctx)', ls.NEGATIONS)} as neg_x
-        from (select c.*, substr(r.context, 1, 2000) as ctx
+        from (select c.*, r.context as ctx
               from claims c join rag_qa r using (qa_id)))"""
 _LEX_LABEL = """(case when con4 >= 0.3e0 then 'contradicted' when sup4 >= 0.8e0 then 'supported'
   when sup4 >= 0.3e0 then 'partially_supported' when sup4 >= 0.05e0 then 'unsupported'
@@ -472,7 +468,7 @@ _JUDGED = f"""
         {q.nli_policy('sup', 'con', 'sup')} as decision from lex""", lex=_LEX),
 )
 def _(spark, d):
-    qa = v.rag_qa(spark, d).select("qa_id", F.substring("context", 1, 2000).alias("ctx"))
+    qa = v.rag_qa(spark, d).select("qa_id", F.col("context").alias("ctx"))
     rows = v.claims(spark, d).join(qa, "qa_id").select(
         "qa_id", "claim_index", LEXICAL.score_row(F.col("claim"), F.col("ctx")).alias("s")
     )
@@ -985,7 +981,7 @@ def _(spark, d):
 
 @query(
     "retrieve_passthrough",
-    q.with_views(f"""select qa_id, case when c = '' then '' else substr(c, 1, 2000) end as context,
+    q.with_views(f"""select qa_id, c as context,
         case when c = '' then 'none' else 'passthrough' end as source,
         case when c <> '' then 1e0 end as score,
         case when c = '' then {q.quote(fv.NO_CONTEXT_ERROR)} end as error

@@ -9,7 +9,7 @@ from claimlens.catalog import lists as ls
 from claimlens.catalog import sql as q
 from claimlens.catalog import views as v
 from claimlens.catalog.decision_queries import DETECT_SQL, detections
-from claimlens.catalog.registry import query
+from claimlens.catalog.registry import SQL, query
 from claimlens.catalog.text_queries import span_found_sql, token_f1_sql
 from claimlens.functions.claims import extract_claims, sentences
 from claimlens.functions.labels import gold_accepts, label_dim
@@ -177,7 +177,55 @@ def _(spark, d):
     return m.success_gates(both(spark, d))
 
 
-@query("metrics_report")
+def _report_sql() -> str:
+    """The report's lines, read from the SQL of the single tables."""
+    tables = {"acc": "accuracy", "ave": "f1_averages", "cal": "calibration", "js": "json_validity",
+              "lat": "latency_stats", "sp": "span_metrics", "pc": "per_class"}
+
+    def num(table: str, field: str, digits: int = 4, where: str = "true") -> str:
+        return f"(select printf('%.{digits}f', {field}) from {table} where {where})"
+
+    def whole(table: str, field: str, where: str = "true") -> str:
+        return f"(select {field}::varchar from {table} where {where})"
+
+    def recall(label: str) -> str:
+        return num("pc", "recall", where=f"label = '{label}'")
+
+    def text(*parts: str) -> str:
+        return " || ".join(p if p.startswith("(") else q.quote(p) for p in parts)
+
+    lines = [
+        text("# Evaluation Report: tables"), text(""), text("N examples: ", whole("acc", "n")), text(""),
+        text("## Classification Metrics"), text("- Accuracy:    ", num("acc", "accuracy")),
+        text("- Macro F1:    ", num("ave", "macro_f1"), "  (primary metric)"),
+        text("- Weighted F1: ", num("ave", "weighted_f1")), text(""), text("### Key Recall Metrics"),
+        text("- Contradicted recall:         ", recall("contradicted")),
+        text("- Unsupported recall:          ", recall("unsupported")),
+        text("- Insufficient context recall: ", recall("insufficient_context")), text(""),
+        text("### Per-Class Metrics"), text("| Label | Precision | Recall | F1 | Support |"),
+        text("|-------|-----------|--------|----|---------|"),
+    ]
+    for label in sorted(fv.LABELS):
+        at = f"label = '{label}'"
+        lines.append(text(f"| {label} | ", num("pc", "precision", where=at), " | ", num("pc", "recall", where=at), " | ",
+                          num("pc", "f1", where=at), " | ", whole("pc", "support", at), " |"))
+    lines += [
+        text(""), text("## Calibration Metrics (MANDATORY)"),
+        text("- ECE:         ", num("cal", "ece"), "  (target: < 0.15)"), text("- MCE:         ", num("cal", "mce")),
+        text("- Brier Score: ", num("cal", "brier_score")), text(""), text("## JSON Validity"),
+        text("- JSON validity rate: ", num("js", "json_validity_rate"), "  (target: > 0.95)"),
+        text("- Parse errors: ", whole("js", "n_parse_errors")), text(""), text("## Latency"),
+        text("- Mean: ", num("lat", "mean_ms", 1), " ms"), text("- P95:  ", num("lat", "p95_ms", 1), " ms"),
+        text(""), text("## Evidence Span Quality"), text("- Exact match rate: ", num("sp", "exact_match_rate")),
+        text("- Token F1 mean:    ", num("sp", "token_f1_mean")),
+        text("- Span in context:  ", num("sp", "span_in_context_rate")),
+    ]
+    given = ", ".join(f"{k} as ({SQL[n]})" for k, n in tables.items())
+    rows = ", ".join(f"({i}, {line})" for i, line in enumerate(lines))
+    return f"with {given} select * from (values {rows}) r(line_no, line)"
+
+
+@query("metrics_report", _report_sql())
 def _(spark, d):
     tables = evaluate(v.gold_records(spark, d), v.pred_records(spark, d))
     lines = report_lines(tables, "tables")

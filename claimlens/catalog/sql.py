@@ -205,7 +205,7 @@ CTES: dict[str, str] = {
          {pick(fv.LABELS, 'case when qa_id % 4 = 0 then 0 when qa_id % 4 = 1 then 3 else k % 5 end')}
            as label,
          (k * 13 % 101) / 100e0 as score,
-         case when k % 3 = 0 then substr(claim, 1, 30) else '' end as evidence_span,
+         case when k % 3 = 0 then claim else '' end as evidence_span,
          {pick(fv.DECISIONS, 'k % 6')} as decision
   from (select *, qa_id + claim_index * qa_id % 7 as k from claims)""",
     "logits": """
@@ -218,14 +218,14 @@ CTES: dict[str, str] = {
     from documents)""",
     "gold_pred": f"""
   select id, {_label_at('ga')} as gold, {_label_at('pa')} as pred, score, gold_span,
-         case when id % 3 = 0 then gold_span when id % 3 = 1 then substr(context, 20, 40)
+         case when id % 3 = 0 then gold_span when id % 3 = 1 then split_part(context, '.', 2)
               else 'zzz' end as pred_span,
          context, id % 23 = 0 as parse_error, (id * 7 % 400 + 5)::double as latency_ms
   from (select d.doc_id as id, d.doc_id % 5 as ga,
           case when d.doc_id * 13 % 17 < 12 then d.doc_id % 5
                else (d.doc_id * 3 + coalesce(quality, 0) + 1) % 5 end as pa,
           (d.doc_id * 17 % 101) / 100e0 as score,
-          case when d.doc_id % 5 in (0, 3) then substr(text, 1, 40) else '' end as gold_span,
+          case when d.doc_id % 5 in (0, 3) then split_part(text, '.', 1) else '' end as gold_span,
           text as context
         from documents d left join labels l on d.doc_id = l.doc_id)""",
     "pred_rows": """
@@ -252,13 +252,13 @@ CTES: dict[str, str] = {
          else 'trrag_' || doc_id end as id,
     case when doc_id % 37 = 6 then 'Why' else 'What does document ' || doc_id || ' say?' end
       as question,
-    text as context, substr(text, 1, 200) as answer, substr(text, 1, 60) as claim,
+    text as context, text as answer, split_part(text, '.', 1) as claim,
     case when doc_id % 59 = 9 then 'maybe' else {_label_at('doc_id')} end as label,
     case when doc_id % 61 = 3 then 1.5e0 when doc_id % 17 = 4 then 0.18e0
          else {label_case(_label_at('doc_id'), 'typical')} end as hallucination_score,
     case when doc_id % 5 = 0 and doc_id % 35 <> 0 then 'none'
          else {pick(fv.ERROR_TYPES[:10], 'doc_id % 10')} end as error_type,
-    case when doc_id % 45 = 3 then '  ' when doc_id % 5 in (0, 3) then substr(text, 1, 40)
+    case when doc_id % 45 = 3 then '  ' when doc_id % 5 in (0, 3) then split_part(text, '.', 1)
          else '' end as evidence_span,
     'Explanation of row ' || doc_id as explanation,
     {label_case(_label_at('doc_id'), 'default_decision')} as decision,
@@ -272,7 +272,7 @@ CTES: dict[str, str] = {
     case when doc_id % 4 = 0 then 'v2.0' else '' end as prompt_version
   from documents""",
     "span_records": f"""
-  select doc_id, ' Question ' || doc_id as question, substr(text, 1, 100) as context,
+  select doc_id, ' Question ' || doc_id as question, text as context,
          text as answer,
          case when doc_id % 3 = 0 then [{_SPAN('doc_id * 31 % n_chars')}, {_SPAN('doc_id * 57 % n_chars')}]
               else [{_SPAN('doc_id * 31 % n_chars')}] end as labels
@@ -308,13 +308,13 @@ CTES: dict[str, str] = {
                {pick([*fv.LABELS, 'unknown'], 'doc_id % 6')} as lab from documents)""",
     "guard_rows": f"""
   select doc_id,
-    case when doc_id % 2 = 0 then substr(text, 1, 80) else 'the is of qqqqq zzzzz wwwww' end
+    case when doc_id % 2 = 0 then split_part(text, '.', 1) else 'the is of qqqqq zzzzz wwwww' end
       as claim,
     text as context, {_label_at('doc_id')} as label,
     (doc_id * 17 % 101) / 100e0 as hallucination_score,
     case when doc_id % 3 = 0 then '' else 'none' end as error_type,
     case when doc_id % 7 = 0 then '' when doc_id % 7 = 1 then 'zzz qqq www vvv'
-         when doc_id % 7 = 2 then null else substr(text, 5, 60) end as evidence_span,
+         when doc_id % 7 = 2 then null else split_part(text, '.', 2) end as evidence_span,
     case when doc_id % 4 = 0 then '' else 'Because.' end as explanation,
     doc_id % 11 = 0 as parse_error from documents""",
     "requests": """

@@ -1,7 +1,6 @@
 """Streaming queries: the given tables are read as streams and run to completion.
 
-Results that a finished stream writes equal the batch form, except that windows which the
-watermark has not passed yet are held back; those queries have no SQL.
+Results that a finished stream writes equal the batch form.
 """
 
 from __future__ import annotations
@@ -35,24 +34,29 @@ def _(spark, d):
     return run(spark, found.select(*DETECT_COLUMNS), "detect")
 
 
-@query(
-    "window_summary",
-    q.with_views(f"""select date_trunc('day', ts) as window_start, decision, count(*) as n,
+_WINDOWS = q.with_views(
+    f"""select date_trunc('day', ts) as window_start, decision, count(*) as n,
         {q.rnd(q.mean('hallucination_score'), 6)} as avg_score,
         max(hallucination_score) as max_score, count(is_correct) as n_with_gold,
-        count(*) filter (is_correct) as n_correct from requests group by 1, 2"""),
-)
-def _(spark, d):
-    rows = st.stream_summary(v.requests(spark, d))
+        count(*) filter (is_correct) as n_correct from requests group by 1, 2""")
+
+
+def tidy(rows):
     return rows.withColumn("avg_score", F.floor(F.col("avg_score") * 1e6 + 0.5) / 1e6).withColumn(
         "window_start", F.col("window_start").cast("timestamp_ntz")
     )
 
 
-@query("stream_summary")
+@query("window_summary", _WINDOWS)
+def _(spark, d):
+    return tidy(st.stream_summary(v.requests(spark, d)))
+
+
+@query("stream_summary", _WINDOWS)
 def _(spark, d):
     rows = st.stream_summary(v.event_requests(stream(spark, d, "events")))
-    return run(spark, rows, "summary")
+    out = work_dir(spark, "summary")
+    return tidy(st.run_summary(rows, f"{out}/table", f"{out}/checkpoint"))
 
 
 @query("stream_dedupe", "select event_id, user_id from events")

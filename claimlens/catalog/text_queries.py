@@ -218,7 +218,7 @@ def _(spark, d):
         from a qualify domain_rank <= 60""",
 )
 def _(spark, d):
-    return quality.cap_paragraphs(good_paragraphs(spark, d), "doc_id", "lang")
+    return quality.cap_paragraphs(good_paragraphs(spark, d), "doc_id", "lang", 5, 60)
 
 
 def _reason_sql(c: str) -> str:
@@ -424,8 +424,8 @@ def _(spark, d):
 _FIT = f"""with recursive sized as (
     select doc_id, chunk_list, list_transform(chunk_list, lambda c:
              floor({q.n_words('c')} * 1.4e0)::int) as sizes,
-           60 + (doc_id % 90)::int - floor({q.n_words("substr(text, 1, 50)")} * 1.4e0)::int
-             - floor({q.n_words("substr(text, 1, 30)")} * 1.4e0)::int as room
+           60 + (doc_id % 90)::int - floor({q.n_words("split_part(text, '.', 1)")} * 1.4e0)::int
+             - floor({q.n_words("split_part(text, '.', 2)")} * 1.4e0)::int as room
     from (select doc_id, text, string_split(text, chr(10)) as chunk_list from documents)),
   walk as (
     select doc_id, 0 as i, room as free, []::int[] as kept from sized
@@ -434,10 +434,10 @@ _FIT = f"""with recursive sized as (
            case when sizes[i + 1] <= free then list_append(kept, i) else kept end
     from walk w join sized s using (doc_id) where i < len(sizes)),
   chosen as (
-    select s.doc_id, chunk_list, case when room <= 0 or len(kept) = 0 then [0] else kept end as kept
+    select s.doc_id, chunk_list, room, case when room <= 0 or len(kept) = 0 then [0] else kept end as kept
     from sized s join walk w on s.doc_id = w.doc_id and w.i = len(s.sizes))
   select doc_id, {_build_sql('list_transform(kept, lambda k: chunk_list[k + 1])')} as context,
-         len(kept) < len(chunk_list) as was_truncated, len(chunk_list) as original_chunk_count,
+         room <= 0 or len(kept) < len(chunk_list) as was_truncated, len(chunk_list) as original_chunk_count,
          len(kept) as remaining_chunk_count,
          array_to_string(list_filter(range(len(chunk_list)),
            lambda k: not list_contains(kept, k::int)), ',') as removed
@@ -446,13 +446,13 @@ _FIT = f"""with recursive sized as (
 
 @query("truncate_context", _FIT)
 def _(spark, d):
-    i, text = F.col("doc_id"), F.col("text")
+    i = F.col("doc_id")
     rows = docs(spark, d, "text", F.split("text", "\n").alias("chunks"))
     fitted = rows.select(
         "doc_id",
         cx.fit_chunks(
-            F.col("chunks"), (60 + i % 90).cast("int"), F.substring(text, 1, 50),
-            F.substring(text, 1, 30), F.lit(""),
+            F.col("chunks"), (60 + i % 90).cast("int"), v.sentence(1),
+            v.sentence(2), F.lit(""),
         ).alias("r"),
     )
     return fitted.select(

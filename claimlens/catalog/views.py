@@ -10,18 +10,21 @@ from claimlens.catalog.lists import CLAIM_LISTS
 from claimlens.functions.arrays import literal_array
 from claimlens.functions.scores import nli_policy
 from claimlens.plans.verify import with_claims
-from claimlens.session import spread
+from claimlens.session import INPUT_PARTITIONS
 
 Spark = SparkSession
 
 
-# Long texts are costly per row, so these tables should reach all cores.
-TEXT_TABLES = ("documents", "conversations")
-
-
 def table(spark: Spark, d: str, name: str) -> DataFrame:
+    """A table of the folder, dealt out anew only where the caller has set a number of partitions."""
     df = spark.read.parquet(f"{d}/{name}.parquet")
-    return spread(df) if name in TEXT_TABLES else df
+    many = spark.conf.get(INPUT_PARTITIONS, None)
+    return df.repartition(int(many)) if many else df
+
+
+def sentence(n: int, text: str = "text") -> Column:
+    """n-th stretch of a text between full stops."""
+    return F.split_part(F.col(text), F.lit("."), F.lit(n))
 
 
 def pick(values, at: Column) -> Column:
@@ -110,7 +113,7 @@ def verdicts(spark: Spark, d: str) -> DataFrame:
     return claims(spark, d).select(
         "qa_id", "claim_index", "claim", label.alias("label"),
         (F.pmod(key * 13, F.lit(101)) / F.lit(100e0)).alias("score"),
-        F.when(F.pmod(key, F.lit(3)) == 0, F.substring("claim", 1, 30)).otherwise("").alias(
+        F.when(F.pmod(key, F.lit(3)) == 0, F.col("claim")).otherwise("").alias(
             "evidence_span"
         ),
         pick(fv.DECISIONS, F.pmod(key, F.lit(6))).alias("decision"),
@@ -130,7 +133,7 @@ def answer_verdicts(spark: Spark, d: str) -> DataFrame:
             c.alias("claim"), pick(fv.LABELS, at).alias("label"),
             (F.pmod(k * 13, F.lit(101)) / F.lit(100e0)).alias("score"),
             F.lit("none").alias("error_type"),
-            F.when(F.pmod(k, F.lit(3)) == 0, F.substring(c, 1, 30)).otherwise("").alias(
+            F.when(F.pmod(k, F.lit(3)) == 0, c).otherwise("").alias(
                 "evidence_span"
             ),
             F.lit("").alias("explanation"),
@@ -166,12 +169,12 @@ def gold_pred(spark: Spark, d: str) -> DataFrame:
     pred_at = F.when(i * 13 % 17 < 12, gold_at).otherwise(
         (i * 3 + F.coalesce("quality", F.lit(0)) + 1) % 5
     )
-    gold_span = F.when(gold_at.isin(0, 3), F.substring("text", 1, 40)).otherwise("")
+    gold_span = F.when(gold_at.isin(0, 3), sentence(1)).otherwise("")
     return rows.select(
         i.alias("id"), pick(fv.LABELS, gold_at).alias("gold"),
         pick(fv.LABELS, pred_at).alias("pred"), (i * 17 % 101 / F.lit(100e0)).alias("score"),
         gold_span.alias("gold_span"),
-        F.when(i % 3 == 0, gold_span).when(i % 3 == 1, F.substring("text", 20, 40))
+        F.when(i % 3 == 0, gold_span).when(i % 3 == 1, sentence(2))
         .otherwise("zzz").alias("pred_span"),
         F.col("text").alias("context"), (i % 23 == 0).alias("parse_error"),
         (i * 7 % 400 + 5).cast("double").alias("latency_ms"),
@@ -224,7 +227,7 @@ def as_examples(documents: DataFrame) -> DataFrame:
     score = F.when(i % 61 == 3, F.lit(1.5)).when(i % 17 == 4, F.lit(0.18)).otherwise(typical)
     wrong = pick(fv.ERROR_TYPES[:10], i % 10)
     span = F.when(i % 45 == 3, F.lit("  ")).when(
-        at.isin(0, 3), F.substring("text", 1, 40)
+        at.isin(0, 3), sentence(1)
     ).otherwise("")
     count = F.when(i % 41 == 1, F.lit(0)).when(i % 43 == 2, F.lit(1)).otherwise(F.lit(3))
     number = i.cast("string")
@@ -236,8 +239,8 @@ def as_examples(documents: DataFrame) -> DataFrame:
         F.when(i % 37 == 6, F.lit("Why")).otherwise(
             F.concat(F.lit("What does document "), number, F.lit(" say?"))
         ).alias("question"),
-        F.col("text").alias("context"), F.substring("text", 1, 200).alias("answer"),
-        F.substring("text", 1, 60).alias("claim"),
+        F.col("text").alias("context"), F.col("text").alias("answer"),
+        sentence(1).alias("claim"),
         F.when(i % 59 == 9, F.lit("maybe")).otherwise(label).alias("label"),
         score.alias("hallucination_score"),
         F.when((at == 0) & (i % 35 != 0), F.lit("none")).otherwise(wrong).alias("error_type"),
@@ -265,7 +268,7 @@ def span_records(spark: Spark, d: str) -> DataFrame:
     one, two = span(i * 31 % n), span(i * 57 % n)
     return table(spark, d, "documents").where(n > 0).select(
         "doc_id", F.concat(F.lit(" Question "), i.cast("string")).alias("question"),
-        F.substring("text", 1, 100).alias("context"), F.col("text").alias("answer"),
+        F.col("text").alias("context"), F.col("text").alias("answer"),
         F.when(i % 3 == 0, F.array(one, two)).otherwise(F.array(one)).alias("labels"),
     )
 
@@ -314,11 +317,11 @@ def guard_rows(spark: Spark, d: str) -> DataFrame:
     span = (
         F.when(i % 7 == 0, F.lit("")).when(i % 7 == 1, F.lit("zzz qqq www vvv"))
         .when(i % 7 == 2, F.lit(None).cast("string"))
-        .otherwise(F.substring("text", 5, 60))
+        .otherwise(sentence(2))
     )
     return table(spark, d, "documents").select(
         "doc_id",
-        F.when(i % 2 == 0, F.substring("text", 1, 80)).otherwise(
+        F.when(i % 2 == 0, sentence(1)).otherwise(
             F.lit("the is of qqqqq zzzzz wwwww")
         ).alias("claim"),
         F.col("text").alias("context"),

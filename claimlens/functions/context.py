@@ -53,7 +53,7 @@ def fit_chunks(chunks: Column, budget: Column, question: Column, answer: Column,
     """Keep the chunks that fit the budget left by question, answer and claim.
 
     Chunks are tried in order and skipped when too big, so a later small one may
-    still fit; one chunk always stays.  ``sizes`` takes precomputed token counts.
+    still fit; one chunk always stays.  With no budget left the context counts as truncated.  ``sizes`` takes precomputed token counts.
     Only indices travel through the fold, never chunk text.
     """
     left = budget - tokens(question) - tokens(answer) - tokens(claim)
@@ -73,19 +73,24 @@ def fit_chunks(chunks: Column, budget: Column, question: Column, answer: Column,
         ).otherwise(acc),
     )
 
-    def result(kept: Column) -> Column:
+    def result(kept: Column, room: Column) -> Column:
         all_positions = F.transform(chunks, lambda _, i: i)
         removed = F.array_except(all_positions, kept)
         return F.struct(
             build_context(F.transform(kept, lambda i: F.get(chunks, i))).alias("context"),
-            (F.size(removed) > 0).alias("was_truncated"),
+            ((F.size(removed) > 0) | ((room <= 0) & (F.size(chunks) > 0))).alias("was_truncated"),
             F.size(chunks).alias("original_chunk_count"),
             F.size(kept).alias("remaining_chunk_count"),
             removed.alias("removed_chunk_indices"),
         )
 
     first_only = F.when(F.size(chunks) > 0, F.array(F.lit(0))).otherwise(no_ints)
-    kept = let(left, lambda room: F.when(room > 0, fold["kept"]).otherwise(first_only))
-    return let(
-        let(kept, lambda k: F.when(F.size(k) > 0, k).otherwise(first_only)), result
-    )
+
+    def fitted(room: Column) -> Column:
+        kept = F.when(room > 0, fold["kept"]).otherwise(first_only)
+        return let(
+            let(kept, lambda k: F.when(F.size(k) > 0, k).otherwise(first_only)),
+            lambda k: result(k, room),
+        )
+
+    return let(left, fitted)

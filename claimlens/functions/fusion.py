@@ -11,18 +11,9 @@ from claimlens.functions.scores import blended_score, classifier_danger, nli_dan
 from claimlens.functions.text import strip, word_count
 
 
-def route(context: Column, mode: Column, policy: str = "always_ensemble") -> Column:
-    """Explicit modes win; ``word_tiers`` is the size-based alternative for ``auto``."""
-    if policy == "always_ensemble":
-        automatic = F.lit("ensemble")
-    elif policy == "word_tiers":
-        n = word_count(context)
-        automatic = (
-            F.when(n < 30, F.lit("nli")).when(n > 80, F.lit("bert")).otherwise(F.lit("ensemble"))
-        )
-    else:
-        raise ValueError(f"unknown routing policy {policy!r}")
-    return F.when(F.coalesce(mode, F.lit("auto")) == "auto", automatic).otherwise(mode)
+def route(mode: Column) -> Column:
+    """Executed mode: an explicit one, else both scorers."""
+    return F.when(F.coalesce(mode, F.lit("auto")) == "auto", F.lit("ensemble")).otherwise(mode)
 
 
 def no_info_phrase(answer: Column, phrases=fv.NO_INFO_PHRASES, fold: bool = False) -> Column:

@@ -9,6 +9,7 @@ from claimlens import fixed_values as fv
 from claimlens.functions.arrays import let
 from claimlens.functions.claims import fragment_reason
 from claimlens.functions.text import WORD, WS_CHARS, strip, word_count
+from claimlens.operators.splits import sample_n
 
 
 def article_ok(text: Column, min_words: int = 500, stubs=fv.STUB_PATTERNS,
@@ -35,16 +36,15 @@ def paragraph_window(df: DataFrame, text: str = "text", separator: str = r"\n\n"
     rows = df.where(word_count(F.col(text)) >= min_article_words).select(
         *[c for c in df.columns if c != text], F.posexplode(parts).alias("pos", "paragraph")
     )
-    return rows.where(
-        word_count(F.col("paragraph")).between(min_words, max_words)
-        & ~F.startswith("paragraph", F.lit("=="))
-        & ~F.startswith("paragraph", F.lit("*"))
-    )
+    plain = ~F.startswith("paragraph", F.lit("==")) & ~F.startswith("paragraph", F.lit("*"))
+    # bound once: "between" would count the words twice
+    fits = let(word_count(F.col("paragraph")), lambda n: (n >= min_words) & (n <= max_words))
+    return rows.where(plain & fits)
 
 
-def cap_paragraphs(df: DataFrame, article: str, domain: str, per_article: int = 5,
-                   per_domain: int = 60, order: str = "pos") -> DataFrame:
-    """First paragraphs per article, then first per domain in article order.
+def cap_paragraphs(df: DataFrame, article: str, domain: str, per_article: int | None,
+                   per_domain: int | None, order: str = "pos") -> DataFrame:
+    """First paragraphs per article, then first per domain in article order; None keeps all.
 
     Both windows only ask for the first rows, which Spark prunes before shuffling.
     """
@@ -52,9 +52,9 @@ def cap_paragraphs(df: DataFrame, article: str, domain: str, per_article: int =
     by_domain = Window.partitionBy(domain).orderBy(article, order)
     return (
         df.withColumn("article_rank", F.row_number().over(by_article))
-        .where(F.col("article_rank") <= per_article)
+        .where(F.lit(True) if per_article is None else F.col("article_rank") <= per_article)
         .withColumn("domain_rank", F.row_number().over(by_domain))
-        .where(F.col("domain_rank") <= per_domain)
+        .where(F.lit(True) if per_domain is None else F.col("domain_rank") <= per_domain)
     )
 
 
@@ -104,6 +104,8 @@ def admit_requests(df: DataFrame, question_required: bool = True) -> DataFrame:
     return df.withColumn("reject_reason", reason)
 
 
-def split_filter(df: DataFrame, split: str | None = None, limit: int | None = None) -> DataFrame:
+def split_filter(df: DataFrame, split: str | None = None, limit: int | None = None,
+                 id_col: str = "id") -> DataFrame:
+    """Rows of a split; with ``limit`` the same hash-drawn rows on every run."""
     out = df.where(F.col("split") == split) if split else df
-    return out.limit(limit) if limit else out
+    return sample_n(out, limit, id_col=id_col) if limit else out

@@ -127,22 +127,21 @@ def generation_plan(paragraphs: DataFrame, n_target: int | Column, id_col: str =
                     seed: int = 42) -> DataFrame:
     """Round-robin plan: plan_id, paragraph id, target label, error type and hint.
 
-    Paragraph r of N serves plan ids r, r+N, r+2N, ... below ``n_target``; each row makes
-    its own ids, so nothing is joined.  The paragraphs are read three times (counts, total,
-    ranks): hand in a written table, not an expensive plan.
+    Paragraph r of N serves plan ids r, r+N, r+2N, ... below ``n_target``.  Ids are a range that
+    is joined with the ranked paragraphs, so no row ever makes more than itself.  The paragraphs
+    are read three times (counts, total, ranks): hand in a written table, not an expensive plan.
     """
+    spark = paragraphs.sparkSession
     keyed = paragraphs.withColumn("_key", hash_key(F.lit(seed), F.col(id_col)))
     ranked = exact_rank(keyed, "_key", None, "slot").drop("_key")
-    total = paragraphs.agg(F.count("*").alias("n")).scalar()
-    goal = (F.lit(n_target) if isinstance(n_target, int) else n_target).cast("bigint")
-    plan = (
-        ranked.withColumn("_total", total)
-        .withColumn("_goal", goal)
-        .where(F.col("slot") < F.col("_goal"))
-        .withColumn(
-            "plan_id", F.explode(F.sequence(F.col("slot"), F.col("_goal") - 1, F.col("_total")))
-        )
+    total = paragraphs.count()
+    goal = n_target
+    if isinstance(n_target, Column):
+        goal = spark.range(1).select(n_target.alias("n")).first()["n"]
+    ids = spark.range(goal if total else 0).select(
+        F.col("id").alias("plan_id"), F.pmod("id", F.lit(max(total, 1))).alias("slot")
     )
+    plan = ids.join(ranked, "slot")
 
     def draw(name: str) -> Column:
         return hash_unit(F.concat_ws("|", F.lit(str(seed)), F.lit(name), F.col("plan_id")))
@@ -156,4 +155,4 @@ def generation_plan(paragraphs: DataFrame, n_target: int | Column, id_col: str =
         ).otherwise(error)
     return plan.withColumns(
         {"error_type": error, "error_hint": lookup(F.col("target_label"), fv.ERROR_HINTS, "")}
-    ).drop("_total", "_goal")
+    )

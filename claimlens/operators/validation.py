@@ -184,8 +184,11 @@ def validation_errors(df: DataFrame, corrupt: DataFrame | None = None) -> DataFr
     return out
 
 
-def validation_summary(df: DataFrame) -> DataFrame:
-    """One row: n_total (distinct ids), n_valid, n_errors, n_score_warnings, leakage counts."""
+def validation_summary(df: DataFrame, corrupt: DataFrame | None = None) -> DataFrame:
+    """One row: n_total (distinct ids), n_valid, n_errors, n_score_warnings, leakage counts.
+
+    ``corrupt`` has a row for each line that is no JSON; these count as errors.
+    """
     checked = validate(df)
     shown_id = F.coalesce("id", F.concat(F.lit("line_"), F.col("line").cast("string")))
     per_id = checked.groupBy(shown_id.alias("id")).agg(
@@ -200,6 +203,9 @@ def validation_summary(df: DataFrame) -> DataFrame:
         F.coalesce(F.sum(F.col("errors") + F.col("n") - 1), F.lit(0)).alias("n_errors"),
         F.coalesce(F.sum("warnings"), F.lit(0)).alias("n_score_warnings"),
     )
+    if corrupt is not None:
+        broken = corrupt.agg(F.count("*").alias("n")).scalar()
+        totals = totals.withColumn("n_errors", F.col("n_errors") + broken)
     leaks = leakage(checked.where("is_valid")).where(F.col("type") != "val_test_leakage")
     return totals.select(
         "*",
@@ -212,10 +218,11 @@ def validation_summary(df: DataFrame) -> DataFrame:
 
 
 def distributions(df: DataFrame) -> DataFrame:
-    """Counts by label, split, domain and source in one grouping-sets pass.
+    """Counts of valid rows by label, split, domain and source in one grouping-sets pass.
 
-    Labels that do not occur are listed with 0; ``pct`` is the share of rows (labels only).
+    Labels that do not occur are listed with 0; ``pct`` is the share of valid rows (labels only).
     """
+    df = validate(df).where("is_valid")
     families = ("label", "split", "domain", "source_type")
     view = df.select(*families)
     grouped = view.groupingSets(

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from claimlens.operators import metrics as m
 from claimlens.operators.alignment import align_predictions, extra_predictions, missing_predictions
+from claimlens.session import cut_lineage
 
 
 def aligned(gold: DataFrame, pred: DataFrame, texts: bool = True) -> DataFrame:
@@ -26,8 +27,11 @@ def aligned(gold: DataFrame, pred: DataFrame, texts: bool = True) -> DataFrame:
 
 
 def evaluate(gold: DataFrame, pred: DataFrame) -> dict[str, DataFrame]:
-    """All metric families by name, lazily; only the span family reads the long texts."""
-    rows = aligned(gold, pred, texts=False)
+    """All metric families by name; only the span family reads the long texts.
+
+    The narrow alignment is written once to the shared folder and every other family reads that.
+    """
+    rows = cut_lineage(aligned(gold, pred, texts=False), "aligned")
     fields = m.prediction_fields(pred)
     return {
         "accuracy": m.accuracy(rows),
@@ -95,9 +99,12 @@ def report_lines(tables: dict[str, DataFrame], run_name: str = "") -> list[str]:
 def write_metrics(tables: dict[str, DataFrame], path: str, run_name: str = "") -> None:
     """One JSON folder per metric family and the report as text, below ``path``."""
     spark = tables["accuracy"].sparkSession
+    written = {}
     for name, table in tables.items():
         table.coalesce(1).write.mode("overwrite").json(f"{path}/{name}", ignoreNullFields=False)
-    lines = report_lines(tables, run_name)
+        # the report reads what was written instead of computing it again
+        written[name] = spark.read.schema(table.schema).json(f"{path}/{name}")
+    lines = report_lines(written, run_name)
     spark.createDataFrame([("\n".join(lines),)], "value string").coalesce(1).write.mode(
         "overwrite"
     ).text(f"{path}/report")

@@ -56,7 +56,7 @@ def lexical_claim_verdict(claim: Column, ctx_words: Column, ctx_negates: Column,
 
 
 def verify_answers(df: DataFrame, strategy: str = "drop", threshold: float = 0.85,
-                   scorer: LexicalScorer = LexicalScorer(), max_chars: int = 2000,
+                   scorer: LexicalScorer = LexicalScorer(), max_chars: int | None = None,
                    **lists) -> DataFrame:
     """Verify answers against their own context.
 
@@ -86,7 +86,7 @@ def verify_answers(df: DataFrame, strategy: str = "drop", threshold: float = 0.8
 def verify_answers_with_corpus(df: DataFrame, corpus: DataFrame, key: str,
                                strategy: str = "drop", threshold: float = 0.85,
                                scorer: LexicalScorer = LexicalScorer(), k: int = 3,
-                               max_chars: int = 2000, **lists) -> DataFrame:
+                               max_chars: int | None = None, **lists) -> DataFrame:
     """Verify answers against evidence searched per claim in a corpus.
 
     ``key`` is unique per answer row.  Claims leave the row for the search and come back

@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+# Number of partitions that the registered queries deal their tables out to; unset: as read.
+INPUT_PARTITIONS = "spark.claimlens.inputPartitions"
+
+
 def build_session(master: str | None = None, app: str = "claimlens", **conf: str) -> SparkSession:
     """Session with the settings the jobs count on; ``conf`` keys use _ for the dots."""
     builder = SparkSession.builder.appName(app)
@@ -28,27 +35,20 @@ def build_session(master: str | None = None, app: str = "claimlens", **conf: str
 def work_dir(spark: SparkSession, purpose: str) -> str:
     """New folder name below the cluster's shared ``spark.checkpoint.dir``.
 
-    Only where that setting is missing (tests on one machine) a temporary folder is
-    set for the session.
+    Without that setting a job that needs the folder fails: executors would each write to their
+    own disk, and what is read back would silently be incomplete.  Only a session whose executors
+    are threads of this process (``local[...]``) gets a temporary folder.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="spark-")
+        atexit.register(shutil.rmtree, base, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Use all cores when a table comes in fewer pieces than there are cores.
-
-    One small file is one task however costly the text work on it is.  Tables of cluster size
-    have more pieces than cores and pass unchanged, without a shuffle.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    pieces = cores if df.isStreaming else df.rdd.getNumPartitions()
-    return df if pieces >= cores else df.repartition(cores)
-
-
 def cut_lineage(df: DataFrame, purpose: str) -> DataFrame:
     """Write to the shared folder and read back: survives executor loss, unlike a cache."""
     spark = df.sparkSession

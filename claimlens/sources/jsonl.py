@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -38,19 +38,52 @@ EXAMPLE_DEFAULTS = {
 }
 
 
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """``value``, ``file`` and ``line``, the number of each line in its file, from 1.
+
+    Lines are counted per block that a task reads; a line's number is what earlier blocks of its
+    file hold plus its place in its own, so no file passes through one task.
+    """
+    lines = spark.read.text(path).select(
+        "value", F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("_block"),
+        F.monotonically_increasing_id().alias("_at"),
+    )
+    blocks = lines.groupBy("file", "_block").agg(
+        F.count("*").alias("_n"), F.min("_at").alias("_first")
+    )
+    earlier = Window.partitionBy("file").orderBy("_block").rowsBetween(
+        Window.unboundedPreceding, -1
+    )
+    before = F.coalesce(F.sum("_n").over(earlier), F.lit(0))
+    blocks = blocks.select("file", "_block", "_first", before.alias("_before"))
+    return lines.join(blocks, ["file", "_block"]).select(
+        "value", "file", (F.col("_before") + F.col("_at") - F.col("_first") + 1).alias("line")
+    )
+
+
+def split_corrupt(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(parsed rows, line and message of malformed ones) of a numbered, not strict read."""
+    good = rows.where(F.col(CORRUPT).isNull()).drop(CORRUPT)
+    broken = rows.where(F.col(CORRUPT).isNotNull())
+    return good, broken.select("line", F.substring(CORRUPT, 1, 200).alias("message"))
+
+
 def read_jsonl(spark: SparkSession, path: str, schema: T.StructType,
-               strict: bool = True) -> DataFrame:
-    """Parsed lines; blank lines are skipped.
+               strict: bool = True, numbered: bool = False) -> DataFrame:
+    """Parsed lines; blank lines are skipped, but counted where lines are ``numbered``.
 
     Strict: a malformed line fails the job when it is reached.  Otherwise it is kept with its
-    text in ``_corrupt_record``.
+    text in ``_corrupt_record``; messages quote its first 200 characters, a contract text.
     """
-    lines = spark.read.text(path).where(~is_blank(F.col("value")))
+    lines = numbered_lines(spark, path) if numbered else spark.read.text(path)
+    lines = lines.where(~is_blank(F.col("value")))
+    place = ["file", "line"] if numbered else []
     wide = T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType())])
     parsed = lines.select(
         F.from_json("value", wide, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT})
-        .alias("r")
-    ).select("r.*")
+        .alias("r"), *place
+    ).select(*place, "r.*")
     if not strict:
         return parsed
     broken = F.concat(F.lit("Invalid JSON line: "), F.substring(CORRUPT, 1, 200))

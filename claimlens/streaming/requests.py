@@ -75,6 +75,30 @@ def stream_validate(examples: DataFrame, good_path: str, quarantine_path: str,
     )
 
 
+def run_summary(stream: DataFrame, path: str, checkpoint: str,
+                keys: tuple[str, ...] = ("decision",)) -> DataFrame:
+    """Process everything available; returns all windows, also those still open at the end.
+
+    Each batch writes the windows it changed to a folder of its own, which a repeated batch
+    replaces; of a window the newest batch counts.  State stays bounded by the watermark.
+    """
+
+    def changed(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+
+    query = (
+        stream.writeStream.foreachBatch(changed).option("checkpointLocation", checkpoint)
+        .outputMode("update").trigger(availableNow=True).start()
+    )
+    query.awaitTermination()
+    rows = stream.sparkSession.read.parquet(path)
+    newest = rows.groupBy("window_start", *keys).agg(F.max("batch").alias("_newest"))
+    same = rows["batch"] == newest["_newest"]
+    for name in ("window_start", *keys):
+        same = same & rows[name].eqNullSafe(newest[name])
+    return rows.join(newest, same, "left_semi").drop("batch")
+
+
 def run_to_table(stream: DataFrame, path: str, checkpoint: str) -> None:
     """Process everything available and append it to a parquet table."""
     query = (
