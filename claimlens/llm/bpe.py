@@ -51,9 +51,11 @@ class PieceEncoder:
 
     def learn(self, missing: list[str]) -> None:
         """Remember pieces; the key is the piece without the space before it."""
-        plain = [p for p in missing if p.isalpha()]  # one pre-token: a space and letters
+        plain, other = [], []  # plain: one pre-token, a space and letters
+        for p in missing:
+            (plain if p.isalpha() else other).append(p)
         self.pieces.update(zip(plain, self.encode_words([" " + p for p in plain]), strict=True))
-        cut = {p: self.find(" " + p) for p in missing if not p.isalpha()}
+        cut = {p: self.find(" " + p) for p in other}
         new = [*{w for ws in cut.values() for w in ws if w not in self.words}]
         if len(self.words) + len(new) > CACHE_ENTRIES:
             self.words.clear()
@@ -62,11 +64,12 @@ class PieceEncoder:
         get = self.words.__getitem__
         self.pieces.update((p, b"".join(map(get, ws))) for p, ws in cut.items())
 
-    def first(self, piece: str) -> bytes:
-        ws = self.find(piece)
-        new = [w for w in dict.fromkeys(ws) if w not in self.words]
-        own = dict(zip(new, self.encode_words(new), strict=True))
-        return b"".join(own[w] if w in own else self.words[w] for w in ws)
+    def heads(self, pieces: list[str]) -> list[bytes]:
+        """Ids of the pieces that begin texts, which have no space before them."""
+        cut = [self.find(p) for p in pieces]
+        todo = [*{w for ws in cut for w in ws}]
+        own = dict(zip(todo, self.encode_words(todo), strict=True))
+        return [b"".join([own[w] for w in ws]) for ws in cut]
 
     def plain(self, texts: list[str]) -> list[bytes]:
         cut = [t.split(" ") if t and not self.double(t) and t[0] != " " and t[-1] != " "
@@ -78,7 +81,8 @@ class PieceEncoder:
             missing = [*wanted]
         self.learn(missing)
         get = self.pieces.__getitem__
-        return [self.first(parts[0]) + b"".join(map(get, parts[1:])) for parts in cut]
+        heads = self.heads([parts[0] for parts in cut])
+        return [head + b"".join(map(get, parts[1:])) for head, parts in zip(heads, cut, strict=True)]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit bytes."""

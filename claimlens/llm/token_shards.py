@@ -86,9 +86,24 @@ def library_encoder(file: str) -> PieceEncoder:
     tokenizer.no_truncation()
     special = {t.content: i for i, t in tokenizer.get_added_tokens_decoder().items()}
 
+    gap = tokenizer.encode("\n", add_special_tokens=False).ids
+    four = [i.to_bytes(4, "little") for i in range(tokenizer.get_vocab_size(with_added_tokens=True))]
+
     def words(todo: list[str]) -> list[bytes]:
-        found = tokenizer.encode_batch_fast(todo, add_special_tokens=False)
-        return [np.array(e.ids, "<u4").tobytes() for e in found]
+        # runs of words in one text: a line end between " a" and " b" is a pre-token of its own
+        plain = [w for w in todo if w[0] == " " and w[1:].isalpha()]
+        texts = ["\n".join(plain[i:i + 256]) for i in range(0, len(plain), 256)]
+        other = [w for w in todo if not (w[0] == " " and w[1:].isalpha())]
+        found = tokenizer.encode_batch_fast(texts + other, add_special_tokens=False)
+        ids = {w: b"".join(map(four.__getitem__, e.ids))
+               for w, e in zip(other, found[len(texts):], strict=True)}
+        own: list[bytes] = []
+        for e in found[:len(texts)]:
+            run = np.array(e.ids, "<u4")
+            data, at = run.tobytes(), (np.flatnonzero(run == gap[0]) * 4).tolist()
+            own += [data[a + 4 if a else 0:b] for a, b in zip([0, *at], [*at, len(data)], strict=True)]
+        ids.update(zip(plain, own, strict=True))
+        return [ids[w] for w in todo]
 
     return PieceEncoder(words, special)
 
@@ -134,11 +149,11 @@ def write_shards(docs: DataFrame, file: str, end_id: int = 0, doc_id: str = "doc
         encoder = library_encoder(file)
         width = 2 if vocabulary_size(file) <= 1 << 16 and end_id < 1 << 16 else 4
         end = np.array([end_id], "<u4").tobytes()
-        part, seq = TaskContext.get().partitionId(), 0
+        part, seq, inside = TaskContext.get().partitionId(), 0, 0
         keys, ids, size, kind = [], [], 0, None
 
         def close() -> pa.RecordBatch:
-            row = shard_row(keys, ids, width) | {"part": part, "seq": seq, "width": width}
+            row = shard_row(keys, ids, width) | {"part": part, "seq": seq, "width": width, "inside": inside}
             return pa.RecordBatch.from_pydict(
                 {k: pa.array([row[k]], pa.list_(kind) if k == "keys" else
                              pa.binary() if isinstance(row[k], bytes) else pa.int64()) for k in names})
@@ -152,6 +167,7 @@ def write_shards(docs: DataFrame, file: str, end_id: int = 0, doc_id: str = "doc
                     # one key never spans two shards
                     if ids and size + len(data) > shard_bytes and key != keys[-1]:
                         yield close()
+                        inside += size // 4
                         keys, ids, size, seq = [], [], 0, seq + 1
                     keys.append(key)
                     ids.append(data + end)
@@ -159,8 +175,8 @@ def write_shards(docs: DataFrame, file: str, end_id: int = 0, doc_id: str = "doc
         if ids:
             yield close()
 
-    names = ["part", "seq", "width", "n_docs", "n_ids", "keys", "lengths", "seeds", "slots", "payload"]
-    schema = (f"part long, seq long, width long, n_docs long, n_ids long, keys array<{key_type}>, "
+    names = ["part", "seq", "inside", "width", "n_docs", "n_ids", "keys", "lengths", "seeds", "slots", "payload"]
+    schema = (f"part long, seq long, inside long, width long, n_docs long, n_ids long, keys array<{key_type}>, "
               "lengths binary, seeds binary, slots binary, payload binary")
     ordered = narrow.repartitionByRange(
         F.col("id").asc_nulls_first()).sortWithinPartitions(F.col("id").asc_nulls_first(), "text")
@@ -178,18 +194,15 @@ def vocabulary_size(file: str) -> int:
 def shards(spark: SparkSession, path: str) -> DataFrame:
     """Shards with ``start``, the number of ids before each.
 
-    Totals by range partition first, so the only unpartitioned window sees one small row per
-    range; within a range the shards are numbered.
+    A shard knows the ids before it in its range, as one task writes a range; what is added is
+    the total of earlier ranges, one small row per range partition, and so bounded by their number.
     """
     rows = spark.read.parquet(path)
     totals = rows.groupBy("part").agg(F.sum("n_ids").alias("ids"))
     before = totals.select("part", (F.sum("ids").over(
         Window.orderBy("part")) - F.col("ids")).alias("before"))
-    inside = rows.select("part", "seq", "n_ids").select("part", "seq", (F.sum("n_ids").over(
-        Window.partitionBy("part").orderBy("seq")) - F.col("n_ids")).alias("inside"))
-    starts = inside.join(before, "part").select(
-        "part", "seq", (F.col("inside") + F.col("before")).alias("start"))
-    return rows.join(starts, ["part", "seq"])
+    return rows.join(F.broadcast(before), "part").withColumn(
+        "start", F.col("inside") + F.col("before")).drop("before", "inside")
 
 
 def read_documents(spark: SparkSession, path: str, doc_id: str = "doc_id",
