@@ -11,81 +11,85 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SHARD_ROWS = 32_768
-QUERY_ROWS = 512
-# Score levels as shares of the largest contribution; at the last one everything is read.
-LEVELS = (0.7, 0.6, 0.5, 0.42, 0.35, 0.28, 0.2, 0.0)
-SEEN = 1 << 40
+QUERY_ROWS = 256
+# Shares of the postings, by descending impact, after which the levels but the last end.
+LEVELS = (0.25, 0.55)
 
 
 class Index:
-    """Posting segments of one shard.
+    """Posting segments of one shard by descending quantised impact.
 
-    Per component the rows are ordered by value, so the segment of one quantised impact is a
-    slice and a query reads slices from the end that its sign favours.
+    A posting is a component of a row, its impact the absolute value.  A level holds the segments
+    of a range of impacts, for all components, and knows for each row the length of what no
+    level up to it has held.
     """
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray):
         # equal scores go to the smaller id, so rows stand in id order
         order = np.argsort(ids, kind="stable")
         self.ids, self.vectors = ids[order], np.ascontiguousarray(vectors[order])
-        columns = self.vectors.T
-        self.rows = np.argsort(columns, axis=1, kind="stable").astype(np.int32)
-        self.values = np.take_along_axis(columns, self.rows, axis=1)
-
-    def search(self, query: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Rows and scores of the k best rows other than the query's own id.
-
-        A contribution is counted from the component's least favourable value, so it is never
-        negative.  At level t every contribution above t has been added; a row's score then is
-        at least what was added and at most t more for each component not yet seen.  Reading
-        stops when few rows can still reach the k-th sure score; they are scored exactly.
+        impact = np.abs(self.vectors)
+        ranked = np.sort(impact, axis=None)[::-1]
+        edges = [int(ranked[int(len(ranked) * share)]) for share in LEVELS] if len(ranked) else []
+        self.size = float(np.sqrt((impact.astype(float) ** 2).sum(axis=1)).max(initial=0))
+        self.levels = []
+        high = None
+        for low in [*dict.fromkeys(edges), -1]:
+            inside = impact > low if high is None else (impact > low) & (impact <= high)
+            rest = np.where(impact > low, 0, impact).astype(float)
+            self.levels.append((np.where(inside, self.vectors, 0), np.sqrt((rest ** 2).sum(axis=1))))
+            high = low
+        self.typed: dict = {}
+
+    def search(self, queries: np.ndarray, own: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Rows and scores of the k best rows of each query other than its own id.
+
+        After a level a row's score is what was added, give or take the length of the query times
+        the length of what the row has left.  A query is done when few rows can still reach the
+        k-th sure score; those are scored exactly.  The last level leaves nothing open.
         """
-        n, dims = self.vectors.shape
-        good = self.ids != own
-        k = min(k, int(good.sum()))
-        if k == 0:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        may = np.flatnonzero(good)
-        if dims and n > 4 * k:
-            base = np.where(query >= 0, self.values[:, 0], self.values[:, -1])
-            top = query * (np.where(query >= 0, self.values[:, -1], self.values[:, 0]) - base)
-            if float(np.abs(query.astype(float)) @ np.ptp(self.values[:, [0, -1]].astype(float), axis=1)) < SEEN:
-                may = self.possible(query, base, top, good, k)
-        scores = self.vectors[may] @ query
-        if len(may) > k:
-            best = np.argpartition(-scores, k - 1)[:k]
-            least = scores[best].min()
-            sure = np.flatnonzero(scores > least)
-            ties = np.flatnonzero(scores == least)[:k - len(sure)]
-            best = np.concatenate((sure, ties))
-            may, scores = may[best], scores[best]
-        return may, scores
-
-    def possible(self, query, base, top, good, k) -> np.ndarray:
-        n, dims = self.vectors.shape
-        sums = np.zeros(n, np.int64)
-        done = np.zeros(dims, np.int64)
-        for level in LEVELS:
-            limit = int(top.max() * level)
-            for d in np.flatnonzero(top > limit).tolist():
-                q, values = int(query[d]), self.values[d]
-                if q > 0:
-                    # contribution q * (v - base) > limit
-                    stop = n - int(np.searchsorted(values, base[d] + limit // q, "right"))
-                    at = slice(n - stop, n - int(done[d]))
+        n = len(self.ids)
+        lengths = np.sqrt((queries.astype(float) ** 2).sum(axis=1))
+        most = self.size * lengths.max(initial=0)
+        kind = np.float32 if most < 1 << 23 else np.float64
+        if most >= 1 << 52:
+            raise OverflowError("scores of 2 ** 52 and more are not exact")
+        if kind not in self.typed:
+            self.typed[kind] = [(x.T.astype(kind), rest.astype(kind)) for x, rest in self.levels]
+        out: list = [None] * len(queries)
+        wide, lengths = queries.astype(kind), lengths.astype(kind)
+        open_ = np.arange(len(queries))
+        sums = np.zeros((len(queries), n), kind)
+        for at, (level, rest) in enumerate(self.typed[kind]):
+            sums += wide[open_] @ level
+            left = []
+            for row, i in enumerate(open_.tolist()):
+                slack = rest * (lengths[i] * kind(1.00001)) + kind(at < len(self.levels) - 1)
+                good = self.ids != own[i]
+                count = min(k, int(good.sum()))
+                if not count:
+                    out[i] = np.zeros(0, np.int64), np.zeros(0, np.int64)
+                    continue
+                sure = np.where(good, sums[row] - slack, -np.inf)
+                bound = np.partition(sure, -count)[-count]
+                may = np.flatnonzero(good & (sums[row] + slack >= bound))
+                if len(may) <= max(8 * k, n // 64) or at == len(self.levels) - 1:
+                    out[i] = self.best(may, queries[i], count)
                 else:
-                    stop = int(np.searchsorted(values, base[d] - limit // -q, "left"))
-                    at = slice(int(done[d]), stop)
-                if stop > done[d]:
-                    sums[self.rows[d, at]] += q * (values[at] - base[d]) + SEEN
-                    done[d] = stop
-            sure = sums & (SEEN - 1)
-            bound = np.partition(sure[good], -k)[-k]
-            most = sure + limit * ((top > 0).sum() - (sums >> 40))
-            may = np.flatnonzero((most >= bound) & good)
-            if len(may) <= max(8 * k, n // 32):
-                return may
-        return may
+                    left.append(row)
+            open_, sums = open_[left], sums[left]
+            if not left:
+                break
+        return out
+
+    def best(self, rows: np.ndarray, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        scores = self.vectors[rows] @ query
+        if len(rows) > k:
+            bound = np.partition(scores, -k)[-k]
+            sure = np.flatnonzero(scores > bound)
+            chosen = np.concatenate((sure, np.flatnonzero(scores == bound)[:k - len(sure)]))
+            rows, scores = rows[chosen], scores[chosen]
+        return rows, scores
 
 
 def quantised(vector: Column, scale: int) -> Column:
@@ -131,8 +135,8 @@ def top_k(vectors: DataFrame, queries: Column, k: int = 20, vec_id: str = "vec_i
         if ask.any() and not ask.all():
             index = Index(ids[~ask], table[~ask])
             seen: dict = {}
-            for own, query in zip(ids[ask], table[ask], strict=True):
-                at, scores = index.search(query, own, k)
+            found = index.search(table[ask], ids[ask], k)
+            for own, (at, scores) in zip(ids[ask], found, strict=True):
                 seen[own] = copy = seen.get(own, -1) + 1
                 out["query_id"].append(np.full(len(at), own))
                 out["vec_id"].append(index.ids[at])

@@ -138,8 +138,8 @@ def test_op7_index_stops_on_proof_only():
     rng = np.random.default_rng(4)
     vectors = rng.integers(-40, 40, (3000, 16))
     index = topk.Index(np.arange(3000), vectors)
-    for i in range(0, 3000, 300):
-        rows, scores = index.search(vectors[i], i, 10)
+    asked = np.arange(0, 3000, 300)
+    for i, (rows, scores) in zip(asked, index.search(vectors[asked], asked, 10), strict=True):
         all_scores = vectors @ vectors[i]
         want = sorted(((-int(s), j) for j, s in enumerate(all_scores) if j != i))[:10]
         assert sorted((-int(s), int(j)) for s, j in zip(scores, index.ids[rows], strict=True)) == want
