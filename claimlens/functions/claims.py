@@ -77,7 +77,9 @@ def multi_entity(sentence: Column) -> Column:
     """Two technology versions, two v-numbers or two years in one line."""
     tech = "(" + "|".join(fv.TECH_NAMES) + f")[{WS}]*/?[{WS}]*[0-9.]+"
     year = f"(?<![{WORD}])(1[0-9]{{3}}|20[0-9]{{2}})(?![{WORD}])"
-    return sentence.rlike(f"(?id){tech}.*?{tech}|v[0-9.]+.*?v[0-9.]+|{year}.*?{year}")
+    # every branch holds two of these in one line; most sentences do not
+    twice = sentence.rlike("(?d)[0-9.].*[0-9.]")
+    return twice & sentence.rlike(f"(?id){tech}.*?{tech}|v[0-9.]+.*?v[0-9.]+|{year}.*?{year}")
 
 
 def split_compound(sentence: Column, conjunctions=fv.CONJUNCTIONS,

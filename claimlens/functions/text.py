@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 
 import pandas as pd
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from claimlens import fixed_values as fv
-from claimlens.functions.arrays import let, literal_array
+from claimlens.functions.arrays import any_contains, let, literal_array
 from claimlens.functions.numbers import ratio, round_to
 
 # Unicode white space spelled out: Java's \s is ASCII only, and trim() only strips blanks.
@@ -160,7 +161,11 @@ def ends_with_word(c: Column, endings) -> Column:
 
 def has_word(c: Column, alternatives) -> Column:
     body = "|".join(alternatives)
-    return c.rlike(f"(^|[^{WORD}])({body})($|[^{WORD}])")
+    whole = c.rlike(f"(^|[^{WORD}])({body})($|[^{WORD}])")
+    # plain words are looked for as such first; few texts get as far as the edges
+    if all(re.fullmatch(r"[\w ]+", a) for a in alternatives):
+        return any_contains(c, alternatives) & whole
+    return whole
 
 
 def cut(c: Column, n: int, tail: str = "") -> Column:

@@ -12,6 +12,7 @@ from claimlens.functions.claims import claims_or_answer, extract_claims
 from claimlens.functions.labels import label_attr
 from claimlens.functions.text import cut
 from claimlens.operators.retrieval import passthrough_evidence, retrieve_local
+from claimlens.session import cut_lineage
 from claimlens.operators.scorers import LexicalScorer, cascade_verdict, lexical_verdict
 
 
@@ -95,9 +96,10 @@ def verify_answers_with_corpus(df: DataFrame, corpus: DataFrame, key: str,
     rows = with_claims(df, **lists)
     # the array is never empty; a plain explode would add a filter that extracts claims twice
     exploded = rows.select(key, F.posexplode_outer("claims").alias("claim_index", "claim"))
-    claims = exploded.withColumn(
+    # read by the search, its empty queries and the verdicts: extracted once
+    claims = cut_lineage(exploded.withColumn(
         "claim_id", F.concat_ws("#", F.col(key).cast("string"), F.col("claim_index"))
-    )
+    ), "claims")
     found = retrieve_local(claims, corpus, k, max_chars)
     judged = claims.join(found, "claim_id").select(
         key, "claim_index",
