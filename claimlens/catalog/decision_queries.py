@@ -23,7 +23,7 @@ from claimlens.operators.scorers import (
     LexicalScorer, cascade_verdict, cascade_with_scorer, lexical_verdict, with_scorer,
     with_tokenizer,
 )
-from claimlens.plans.detect import detect
+from claimlens.plans.detect import detect, detect_requests
 from claimlens.plans.verify import verify_answers, verify_answers_with_corpus
 
 ODD_LABELS = [*fv.LABELS, "odd"]
@@ -394,6 +394,65 @@ def _(spark, d):
     return detections(spark, d).select(*DETECT_COLUMNS)
 
 
+_ASKED = f"""
+  select qa_id as event_id, case when qa_id % 5 = 0 then substr(context, 1, 4) else context end as context,
+    case when qa_id % 3 = 0 then substr(question, 1, 2) else question end as question,
+    case when qa_id % 7 = 0 then '' else answer end as answer,
+    case when qa_id % 2 = 0 then '' else split_part(answer, '.', 1) end as claim,
+    case when qa_id % 4 <> 0 then {q.pick(fv.LABELS, 'qa_id % 5')} else '' end as gold_label,
+    (['auto', 'auto', 'bert', 'nli'])[1 + qa_id % 4] as mode from rag_qa"""
+_UNITS = f"""
+  select event_id, 0 as k, case when length(claim) > 0 then claim else answer end as unit from asked
+  union all select event_id, generate_subscripts(ss, 1), unnest(ss)
+    from (select event_id, {q.sentences('answer')} as ss from asked)"""
+
+
+def _raw_detections() -> str:
+    tokens = lambda x: q.tokens(x, 4, ls.STOP)
+    scored = f"""select *, {q.rnd('sup', 4)} as sup4, {q.rnd('con', 4)} as con4,
+        {q.nli_policy('sup', 'con', 'sup')} as dec
+      from (select *, case when neg_c <> neg_x and sup >= 0.5e0 then sup * 0.9e0 else 0e0 end as con
+        from (select u.event_id, k, {q.share(tokens('unit'), tokens('context'))} as sup,
+                {q.contains_any('lower(unit)', ls.NEGATIONS)} as neg_c,
+                {q.contains_any('lower(context)', ls.NEGATIONS)} as neg_x
+              from units u join asked using (event_id)))"""
+    return f"""
+  select a.*, w.sup4 as sup, w.con4 as con, {_LEX_LABEL} as label, greatest(sup4, con4) as conf,
+    w.dec as nli_decision, coalesce(any_contra, false) as any_contra,
+    coalesce(any_unsupp, false) as any_unsupp
+  from asked a join (select * from ({scored}) where k = 0) w using (event_id)
+  left join (select event_id, bool_or(c) as any_contra, bool_or(not c and weak) as any_unsupp
+    from (select event_id, dec = 'revise' or con4 >= 0.3e0 as c,
+            dec in ('warn', 'insufficient_context') or sup4 < 0.8e0 as weak
+          from ({scored}) where k > 0) group by 1) r using (event_id)"""
+
+
+def _detect_requests_sql() -> str:
+    results = ", ".join(f"case when reason is null then {c} end as {c}" for c in DETECT_COLUMNS[1:-1])
+    return q.with_views(f"""select event_id, reason as reject_reason, {results}, context_words
+      from ({DETECT_SQL.replace('event_detections', 'raw_det')}) join (
+        select event_id, case when length(context) < 5 then 'context too short'
+          when length(question) < 3 then 'question too short'
+          when length(answer) < 3 then 'answer too short' end as reason from asked) using (event_id)""",
+        asked=_ASKED, units=_UNITS, raw_det=_raw_detections())
+
+
+def _register_detect_requests() -> None:
+    @query("detect_requests", _detect_requests_sql())
+    def _(spark, d):
+        i = F.col("qa_id")
+        rows = v.rag_qa(spark, d).select(
+            i.alias("event_id"),
+            F.when(i % 5 == 0, F.substring("context", 1, 4)).otherwise(F.col("context")).alias("context"),
+            F.when(i % 3 == 0, F.substring("question", 1, 2)).otherwise(F.col("question")).alias("question"),
+            F.when(i % 7 == 0, F.lit("")).otherwise(F.col("answer")).alias("answer"),
+            F.when(i % 2 == 0, F.lit("")).otherwise(v.sentence(1, "answer")).alias("claim"),
+            F.when(i % 4 != 0, v.pick(fv.LABELS, i % 5)).otherwise("").alias("gold_label"),
+            v.pick(["auto", "auto", "bert", "nli"], i % 4).alias("mode"),
+        )
+        return detect_requests(rows, LEXICAL).select("reject_reason", *DETECT_COLUMNS)
+
+
 @query(
     "fallback_ladder",
     q.with_views("""select source, routing, count(*) as n, count(is_correct) as n_with_gold,
@@ -462,6 +521,9 @@ _JUDGED = f"""
         from (select *, {q.rnd('sup', 4)} as sup4, {q.rnd('con', 4)} as con4 from lex))"""
 
 
+_register_detect_requests()
+
+
 @query(
     "lexical_scorer",
     q.with_views(f"""select qa_id, claim_index, {q.rnd('sup', 4)} as sup, {q.rnd('con', 4)} as con,
@@ -554,9 +616,9 @@ def _(spark, d):
         F.col("conf").alias("stage1_conf"),
     )
 
-    def second(rest):
-        out = with_scorer(rest, word_share_model, ["answer", "context"],
-                          "label string, score double")
+    def second(rows, only):
+        out = with_scorer(rows, word_share_model, ["answer", "context"],
+                          "label string, score double", only=only)
         return out.withColumns({"label": F.col("scored.label"), "score": F.col("scored.score")})
 
     done = cascade_with_scorer(staged, second)

@@ -180,7 +180,7 @@ _JSON_TAIL = """ || '", "decision": "' || (['accept', 'explode', 'revise'])[1 +
 
 CTES: dict[str, str] = {
     "rag_qa": f"""
-  select conv_id * 100 + turn as qa_id, conv_id, turn, q as question, c.text as answer,
+  select conv_id * 1000000 + turn as qa_id, conv_id, turn, q as question, c.text as answer,
          case when conv_id % 2 = 1 then d.text else c.text || ' ' || d.text end as context
   from (select *, lag(text) over w as q, lag(role) over w as prev from conversations
         window w as (partition by conv_id order by turn)) c

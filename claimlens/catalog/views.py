@@ -50,7 +50,7 @@ def rag_qa(spark: Spark, d: str) -> DataFrame:
     )
     odd = F.col("conv_id") % 2 == 1
     return pairs.join(docs.select("doc_id", "text"), "doc_id").select(
-        (F.col("conv_id") * 100 + F.col("turn")).alias("qa_id"), "conv_id", "turn", "question",
+        (F.col("conv_id") * 1000000 + F.col("turn")).alias("qa_id"), "conv_id", "turn", "question",
         "answer",
         F.when(odd, F.col("text")).otherwise(F.concat_ws(" ", "answer", "text")).alias("context"),
     )

@@ -14,6 +14,8 @@ from claimlens import fixed_values as fv
 from claimlens.functions.labels import label_attr, to_binary, to_nli3
 from claimlens.functions.numbers import EXACT, exact_mean, ratio, round_to
 from claimlens.functions.text import is_blank, span_in_context, strip, token_f1
+from claimlens.operators.ranking import as_scalar, percentiles
+from claimlens.session import cut_lineage
 
 
 def _non_empty(c: Column) -> Column:
@@ -216,16 +218,21 @@ def json_validity(df: DataFrame) -> DataFrame:
 def latency_stats(df: DataFrame, approximate: bool = False) -> DataFrame:
     """One row: mean, median, p95 (linear interpolation) and max in ms.
 
-    The exact percentile keeps one counter per distinct latency and merges them map-side;
-    ``approximate`` uses a fixed-size sketch instead for unrounded clocks.
+    Exact percentiles come from counts (``ranking.percentiles``); ``approximate`` uses a
+    fixed-size sketch instead.
     """
-    fn = F.percentile_approx if approximate else F.percentile
-    return df.where(F.col("latency_ms").isNotNull()).agg(
+    # read several times below, so one narrow column is written out
+    rows = cut_lineage(df.where(F.col("latency_ms").isNotNull()).select("latency_ms"), "latency")
+    shares = {"median_ms": 0.5, "p95_ms": 0.95}
+    if approximate:
+        found = rows.agg(*[F.percentile_approx("latency_ms", F.lit(p)).alias(n) for n, p in shares.items()])
+    else:
+        found = percentiles(rows, "latency_ms", shares)
+    found = as_scalar(found)
+    return rows.agg(
         round_to(exact_mean(F.col("latency_ms")), 1).alias("mean_ms"),
-        round_to(fn("latency_ms", F.lit(0.5)), 1).alias("median_ms"),
-        round_to(fn("latency_ms", F.lit(0.95)), 1).alias("p95_ms"),
         round_to(F.max("latency_ms"), 1).alias("max_ms"),
-    )
+    ).select("mean_ms", *[round_to(found[n], 1).alias(n) for n in shares], "max_ms")
 
 
 def label_distributions(df: DataFrame) -> DataFrame:

@@ -87,3 +87,44 @@ def exact_rank(df: DataFrame, key: str, group: str | None = None,
         .withColumn(rank, F.col("_before") + F.col("_rn") - 1)
         .drop("_bucket", "_rn", "_before")
     )
+
+
+def percentiles(df: DataFrame, value: str, shares: dict[str, float], buckets: int = 65_536) -> DataFrame:
+    """One row of exact percentiles with linear interpolation; null without values.
+
+    Values are counted in equal slices of their range; only slices that hold a wanted position
+    are looked into, there by distinct value.  No task ever holds all values.
+    """
+    rows = df.where(F.col(value).isNotNull()).select(F.col(value).cast("double").alias("x"))
+    edge = as_scalar(rows.agg(F.min("x").alias("lo"), F.max("x").alias("hi"), F.count("*").alias("n")))
+    width = (edge["hi"] - edge["lo"]) / buckets
+    at = F.when(width > 0, F.least(F.floor((F.col("x") - edge["lo"]) / width), F.lit(buckets - 1))).otherwise(0)
+    sliced = rows.withColumn("bucket", at)
+    counts = sliced.groupBy("bucket").agg(F.count("*").alias("n"))
+    upto = counts.withColumn("upto", F.sum("n").over(
+        Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)))
+    wanted = F.array(*[
+        F.struct(F.lit(name).alias("name"), F.lit(side).alias("side"),
+                 fn(F.lit(share) * (edge["n"] - 1)).cast("bigint").alias("k"))
+        for name, share in shares.items() for side, fn in (("low", F.floor), ("high", F.ceil))
+    ])
+    # a handful of rows: two for each percentile
+    targets = F.broadcast(
+        upto.select("bucket", "n", "upto", F.explode(wanted).alias("w"))
+        .where((F.col("w.k") >= F.col("upto") - F.col("n")) & (F.col("w.k") < F.col("upto")))
+        .select("bucket", "w.name", "w.side", (F.col("w.k") - F.col("upto") + F.col("n")).alias("at")))
+    own = sliced.join(targets.select("bucket").distinct(), "bucket", "left_semi").groupBy("bucket", "x").agg(
+        F.count("*").alias("c"))
+    inside = own.withColumn("end", F.sum("c").over(
+        Window.partitionBy("bucket").orderBy("x").rowsBetween(Window.unboundedPreceding, 0)))
+    found = inside.join(targets, "bucket").where(
+        (F.col("at") >= F.col("end") - F.col("c")) & (F.col("at") < F.col("end")))
+
+    def one(name: str, share: float) -> Column:
+        def side(which: str) -> Column:
+            return F.max(F.when((F.col("name") == name) & (F.col("side") == which), F.col("x")))
+
+        place = F.lit(share) * (F.max("n") - 1)
+        return (side("low") + (side("high") - side("low")) * (place - F.floor(place))).alias(name)
+
+    return found.withColumn("n", edge["n"]).agg(*[one(n, p) for n, p in shares.items()])

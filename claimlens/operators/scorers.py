@@ -14,31 +14,37 @@ from claimlens.functions.arrays import any_contains, let
 from claimlens.functions.numbers import round_to
 from claimlens.functions.scores import nli_policy, two_digits
 from claimlens.functions.text import share_of, token_set
-from claimlens.session import cut_lineage
 
 Scorer = Callable[[pd.DataFrame], pd.DataFrame]
 
 
 def with_scorer(df: DataFrame, load: Callable[[], Scorer], inputs: list[str], schema: str,
-                out: str = "scored", batch_rows: int = 32) -> DataFrame:
+                out: str = "scored", batch_rows: int = 32,
+                only: Column | None = None) -> DataFrame:
     """Add a struct column computed by a model.
 
     ``load`` runs once per task and returns a function from a pandas frame of at most
     ``batch_rows`` rows to a frame with the schema's columns.  Only the input columns
-    cross into Python.
+    cross into Python.  Rows for which ``only`` does not hold are sent as nulls and are not
+    scored; their result is null.
     """
+    wanted = F.lit(True) if only is None else F.coalesce(only, F.lit(False))
 
     @F.pandas_udf(schema)
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = load()
         for frame in batches:
+            at = frame.index[frame["_wanted"]]
+            asked = frame.loc[at, inputs].reset_index(drop=True)
             parts = [
-                model(frame.iloc[i:i + batch_rows].reset_index(drop=True))
-                for i in range(0, len(frame), batch_rows)
+                model(asked.iloc[i:i + batch_rows].reset_index(drop=True))
+                for i in range(0, len(asked), batch_rows)
             ]
-            yield pd.concat(parts, ignore_index=True) if parts else model(frame)
+            done = pd.concat(parts, ignore_index=True) if parts else model(asked)
+            yield done.set_index(at).reindex(frame.index)
 
-    return df.withColumn(out, score(F.struct(*inputs)))
+    sent = [F.when(wanted, F.col(c)).alias(c) for c in inputs]
+    return df.withColumn(out, score(F.struct(*sent, wanted.alias("_wanted"))))
 
 
 def with_tokenizer(df: DataFrame, text: str, load: Callable[[], Callable[[str], int]],
@@ -146,21 +152,20 @@ def cascade_verdict(retrieval_error: Column, stage1_label: Column, stage1_conf:
     )
 
 
-def cascade_with_scorer(df: DataFrame, stage2: Callable[[DataFrame], DataFrame],
+def cascade_with_scorer(df: DataFrame, stage2: Callable[[DataFrame, Column], DataFrame],
                         threshold: float = 0.85) -> DataFrame:
     """Run a costly scorer only on claims that stage 1 did not settle.
 
-    ``df`` has stage1_label and stage1_conf; ``stage2`` maps the remaining rows to rows with
-    label and score added.  Stage 1 is written out once, as both branches read it.
+    ``df`` has stage1_label and stage1_conf; ``stage2(df, only)`` adds label and score to the rows
+    for which ``only`` holds and leaves the others alone, as ``with_scorer`` does.  One pass:
+    settled rows do not cross into Python with their texts, and nothing is written or joined.
     """
-    first = cut_lineage(df, "stage1")
     settled = stage1_supported(F.col("stage1_label"), F.col("stage1_conf"), threshold)
-    done = first.where(settled).withColumns(
+    first = round_to(F.lit(1.0) - F.col("stage1_conf"), 6)
+    return stage2(df, ~settled).withColumns(
         {
-            "label": F.lit("supported"),
-            "score": round_to(F.lit(1.0) - F.col("stage1_conf"), 6),
-            "stage": F.lit(1),
+            "label": F.when(settled, F.lit("supported")).otherwise(F.col("label")),
+            "score": F.when(settled, first).otherwise(F.col("score")),
+            "stage": F.when(settled, F.lit(1)).otherwise(F.lit(2)),
         }
     )
-    rest = stage2(first.where(~settled)).withColumn("stage", F.lit(2))
-    return done.unionByName(rest.select(*done.columns))
