@@ -264,9 +264,8 @@ def _hits(own: str, other: str) -> str:
 )
 def _(spark, d):
     answer = F.col("answer")
-    compared = al.compare_claim_sets(sentences(answer), extract_claims(answer, **ls.CLAIM_LISTS))
-    rows = v.rag_qa(spark, d).select("qa_id", compared.alias("c"))
-    return rows.select("qa_id", "c.*")
+    return al.compare_claim_sets(v.rag_qa(spark, d), "qa_id", sentences(answer),
+                                 extract_claims(answer, **ls.CLAIM_LISTS))
 
 
 # --- batch summaries and benchmarks ---------------------------------------------------------------

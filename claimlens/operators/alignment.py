@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from claimlens import fixed_values as fv
@@ -11,6 +11,7 @@ from claimlens.functions.claims import sentence_spans
 from claimlens.functions.labels import label_dim
 from claimlens.functions.numbers import ratio, round_to
 from claimlens.functions.text import jaccard, plain_tokens, strip
+from claimlens.session import cut_lineage
 
 
 def span_label(start: Column, end: Column, spans: Column) -> Column:
@@ -78,39 +79,69 @@ def extra_predictions(gold: DataFrame, pred: DataFrame, id_col: str = "id") -> D
     return missing_predictions(pred, gold, id_col)
 
 
-def compare_claim_sets(gold: Column, extracted: Column, threshold: float = 0.5) -> Column:
-    """struct of precision, recall, F1 and counts for two claim lists of one answer."""
-
-    def score(g: Column, e: Column) -> Column:
-        hit_e = F.size(
-            F.filter(e, lambda x: F.exists(g, lambda y: jaccard(y, x) >= threshold))
-        )
-        hit_g = F.size(
-            F.filter(g, lambda y: F.exists(e, lambda x: jaccard(y, x) >= threshold))
-        )
-        return let(
-            F.struct(hit_e.alias("e"), hit_g.alias("g")),
-            lambda h: F.struct(
-                round_to(ratio(h["e"], F.size(e)), 4).alias("precision"),
-                round_to(ratio(h["g"], F.size(g)), 4).alias("recall"),
-                round_to(
-                    ratio(
-                        ratio(h["e"], F.size(e)) * ratio(h["g"], F.size(g)) * 2,
-                        ratio(h["e"], F.size(e)) + ratio(h["g"], F.size(g)),
-                    ),
-                    4,
-                ).alias("f1"),
-                F.size(g).alias("n_ground_truth"),
-                F.size(e).alias("n_extracted"),
-                h["g"].alias("n_matched"),
-            ),
-        )
-
-    # without gold claims everything is zero
+def matched_claims(items: DataFrame, key: str, threshold: float) -> DataFrame:
+    """(key, side, i) of claims with a counterpart of Jaccard >= threshold on the other side.
+
+    ``items`` has key, side (gold or extracted), i, words, n.  Two such claims share a word among
+    the n - ceil(threshold * n) + 1 words of each that are rarest in their answer, so only those
+    words are joined, and common ones hardly ever; what meets is compared in full.
+    """
+    words = items.select(key, "side", "i", "n", F.explode("words").alias("word"))
+    common = words.groupBy(key, "word").agg(F.count("*").alias("_times"))
+    rarest = Window.partitionBy(key, "side", "i").orderBy("_times", "word")
+    lead = (
+        words.join(common, [key, "word"]).withColumn("_place", F.row_number().over(rarest))
+        .where(F.col("_place") <= F.col("n") - F.ceil(F.lit(threshold) * F.col("n")) + 1)
+    )
+
+    def side(name: str, prefix: str) -> DataFrame:
+        own = lead.where(F.col("side") == name)
+        return own.select(key, "word", F.col("i").alias(f"{prefix}i"), F.col("n").alias(f"{prefix}n"))
+
+    def texts(name: str, prefix: str) -> DataFrame:
+        own = items.where(F.col("side") == name)
+        return own.select(key, F.col("i").alias(f"{prefix}i"), F.col("words").alias(f"{prefix}words"))
+
+    near = F.least("gn", "en") >= F.lit(threshold) * F.greatest("gn", "en")
+    pairs = side("gold", "g").join(side("extracted", "e"), [key, "word"]).where(near)
+    pairs = pairs.select(key, "gi", "ei").distinct()
+    full = pairs.join(texts("gold", "g"), [key, "gi"]).join(texts("extracted", "e"), [key, "ei"])
+    found = full.where(jaccard(F.col("gwords"), F.col("ewords")) >= threshold)
+    ends = F.array(
+        F.struct(F.lit("gold").alias("side"), F.col("gi").alias("i")),
+        F.struct(F.lit("extracted").alias("side"), F.col("ei").alias("i")),
+    )
+    return found.select(key, F.inline(ends)).distinct()
+
+
+def compare_claim_sets(df: DataFrame, key: str, gold: Column, extracted: Column,
+                       threshold: float = 0.5) -> DataFrame:
+    """Precision, recall, F1 and counts of two claim lists per answer; ``key`` is unique.
+
+    Claims leave their row, so a book-length answer is spread over tasks.  Without gold claims
+    everything is zero.
+    """
     usable = F.when(F.size(gold) > 0, extracted).otherwise(F.array().cast("array<string>"))
-    return let(
-        F.transform(gold, plain_tokens),
-        lambda g: let(F.transform(usable, plain_tokens), lambda e: score(g, e)),
+    lists = F.array(
+        F.struct(F.lit("gold").alias("side"), gold.alias("claims")),
+        F.struct(F.lit("extracted").alias("side"), usable.alias("claims")),
+    )
+    # read five times below: both lists are made once
+    sides = cut_lineage(df.select(key, F.inline(lists)).select(
+        key, "side", F.posexplode_outer("claims").alias("i", "claim")).select(
+        key, "side", "i", plain_tokens(F.col("claim")).alias("words")), "claim-sets")
+    items = sides.where(F.col("i").isNotNull()).withColumn("n", F.size("words"))
+    hits = matched_claims(items, key, threshold).groupBy(key).agg(
+        F.count_if(F.col("side") == "gold").alias("_g"), F.count_if(F.col("side") == "extracted").alias("_e"))
+    sizes = sides.groupBy(key).agg(
+        F.count_if((F.col("side") == "gold") & F.col("i").isNotNull()).alias("n_ground_truth"),
+        F.count_if((F.col("side") == "extracted") & F.col("i").isNotNull()).alias("n_extracted"))
+    both = sizes.join(hits, key, "left").fillna(0, ["_g", "_e"])
+    precision, recall = ratio(F.col("_e"), F.col("n_extracted")), ratio(F.col("_g"), F.col("n_ground_truth"))
+    return both.select(
+        key, round_to(precision, 4).alias("precision"), round_to(recall, 4).alias("recall"),
+        round_to(ratio(precision * recall * 2, precision + recall), 4).alias("f1"),
+        "n_ground_truth", "n_extracted", F.col("_g").alias("n_matched"),
     )
 
 
