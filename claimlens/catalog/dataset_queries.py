@@ -14,6 +14,7 @@ from claimlens.operators import alignment as al
 from claimlens.operators import splits as sp
 from claimlens.operators import training as tr
 from claimlens.operators import validation as va
+from claimlens.plans.dataset import build_dataset
 from claimlens.session import cut_lineage, work_dir
 from claimlens.sources import jsonl
 from claimlens.sources.fingerprint import dataset_fingerprint
@@ -279,6 +280,23 @@ def _(spark, d):
     return sp.split_stats(grouped(spark, d))
 
 
+_SOUND = """select * from checked where len(errs) = 0"""
+_BUILT_KEYS = f"""
+  select context, k, row_number() over (order by k) as r, count(*) over () as n
+  from (select distinct context, {q.hash_key('42', 'md5(context)')} as k from sound)"""
+_BUILT = _GROUPED.replace("examples e join ctx_keys", "sound e join built_keys")
+
+
+@query("build_dataset", q.with_views(
+    """select split, count(*) as n, sum(('0x' || substr(md5(concat_ws(chr(31), id, label, context)),
+    1, 15))::bigint::hugeint)::varchar as checksum, 0 as n_shared_contexts from built group by 1""",
+    checked=_CHECKED, sound=_SOUND, built_keys=_BUILT_KEYS, built=_BUILT))
+def _(spark, d):
+    source, target = work_dir(spark, "source"), work_dir(spark, "built")
+    jsonl.write_jsonl(v.examples(spark, d).drop("line"), source)
+    return build_dataset(spark, source, target, strict=False)
+
+
 def _ranked(key: str, source: str, where: str = "true") -> str:
     return f"""select *, row_number() over (order by {key}) as r, count(*) over () as n
       from {source} where {where}"""

@@ -24,7 +24,7 @@ from claimlens.operators.scorers import (
     with_tokenizer,
 )
 from claimlens.plans.detect import detect, detect_requests
-from claimlens.plans.verify import verify_answers, verify_answers_with_corpus
+from claimlens.plans.verify import verify_answers, verify_answers_with_corpus, verify_outputs
 
 ODD_LABELS = [*fv.LABELS, "odd"]
 
@@ -835,6 +835,37 @@ def _(spark, d):
     return out.select(*GUARD_COLUMNS)
 
 
+_CHAIN_ROWS = """
+  select p.doc_id, p.doc_id // 4 as answer_id, case when p.doc_id % 2 = 0 then split_part(text, '.', 1)
+      else 'the is of qqqqq zzzzz wwwww' end as claim, text as context, r.label as label,
+    r.score as hallucination_score, r.error_type as error_type, r.span as evidence_span,
+    r.explanation as explanation, r.parse_error as parse_error, r.decision as decision
+  from parsed p join documents using (doc_id)"""
+
+
+@query(
+    "verify_outputs",
+    q.with_views(f"""select answer_id, max(hallucination_score) as aggregate_risk_score,
+        ({q.array(fv.DECISION_SEVERITY)})[min(list_position({q.array(fv.DECISION_SEVERITY)},
+           decision))] as aggregate_decision, count(*) as n_claims,
+        {', '.join(f"count(*) filter (label = '{x}') as n_{x}" for x in an.COUNTED)}
+        from (select g.label, g.hallucination_score, c.answer_id, c.decision
+          from ({_guards_sql().replace('guard_rows', 'chain_rows')}) g
+          join chain_rows c using (doc_id)) group by 1""",
+                 pieces=_PIECES, parsed=_PARSED, chain_rows=_CHAIN_ROWS),
+)
+def _(spark, d):
+    i = F.col("doc_id")
+    texts = v.table(spark, d, "documents").select("doc_id", "text")
+    rows = v.raw_outputs(spark, d).join(texts, "doc_id").select(
+        F.expr("doc_id div 4").alias("answer_id"),
+        F.when(i % 2 == 0, v.sentence(1)).otherwise(F.lit("the is of qqqqq zzzzz wwwww")).alias("claim"),
+        F.col("text").alias("context"), "raw",
+    )
+    return verify_outputs(rows, "answer_id", placeholder_phrases=ls.PLACEHOLDERS,
+                          negation_words=ls.NEGATIONS)
+
+
 def _single_guard(name: str, fn, hit: str, changed: str) -> None:
     @query(name, q.with_views(f"select doc_id, {hit} as hit from guard_rows"))
     def _(spark, d):

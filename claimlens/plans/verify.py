@@ -10,7 +10,10 @@ from claimlens.functions.answers import answer_policy, flagged_claims, revise, s
 from claimlens.functions.arrays import let
 from claimlens.functions.claims import claims_or_answer, extract_claims
 from claimlens.functions.labels import label_attr
+from claimlens.functions.outputs import parse_output
 from claimlens.functions.text import cut
+from claimlens.operators.decisions import verify_answer
+from claimlens.operators.guards import apply_guards
 from claimlens.operators.retrieval import passthrough_evidence, retrieve_local
 from claimlens.session import cut_lineage
 from claimlens.operators.scorers import LexicalScorer, cascade_verdict, lexical_verdict
@@ -133,3 +136,19 @@ def finish_answers(df: DataFrame, strategy: str = "drop",
         F.coalesce("_r.revision_log", F.array().cast("array<string>")).alias("revision_log"),
         summary_line(F.col("_d")).alias("summary"),
     )
+
+
+def verdicts_from_outputs(df: DataFrame, raw: str = "raw", **words) -> DataFrame:
+    """Raw model output per claim -> guarded verdict columns; needs claim and context.  Map-only.
+
+    ``words`` are the phrase lists of the guards.
+    """
+    parsed = df.withColumn("_o", parse_output(F.col(raw)))
+    fields = ("label", "hallucination_score", "error_type", "evidence_span", "explanation", "decision",
+              "parse_error")
+    return apply_guards(parsed.withColumns({f: F.col(f"_o.{f}") for f in fields}).drop("_o"), **words)
+
+
+def verify_outputs(df: DataFrame, key: str, raw: str = "raw", **words) -> DataFrame:
+    """Highest score, most severe decision and label counts of each answer from raw model outputs."""
+    return verify_answer(verdicts_from_outputs(df, raw, **words), key)
