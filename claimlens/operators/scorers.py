@@ -34,14 +34,17 @@ def with_scorer(df: DataFrame, load: Callable[[], Scorer], inputs: list[str], sc
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = load()
         for frame in batches:
-            at = frame.index[frame["_wanted"]]
-            asked = frame.loc[at, inputs].reset_index(drop=True)
+            asked = frame.loc[frame["_wanted"].to_numpy(bool), inputs].reset_index(drop=True)
             parts = [
                 model(asked.iloc[i:i + batch_rows].reset_index(drop=True))
                 for i in range(0, len(asked), batch_rows)
             ]
             done = pd.concat(parts, ignore_index=True) if parts else model(asked)
-            yield done.set_index(at).reindex(frame.index)
+            yield pd.DataFrame({c: spread(done[c].tolist(), frame["_wanted"]) for c in done.columns})
+
+    def spread(values: list, wanted: pd.Series) -> pd.Series:
+        rest = iter(values)
+        return pd.Series([next(rest) if w else None for w in wanted], dtype=object)
 
     sent = [F.when(wanted, F.col(c)).alias(c) for c in inputs]
     return df.withColumn(out, score(F.struct(*sent, wanted.alias("_wanted"))))
