@@ -216,7 +216,8 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int
     placed = stored(near.join(nodes, "node"), "candidates")
     shape = placed.groupBy("comp").agg(F.greatest(
         F.ceil(F.count("*") / BLOCK_DOCS), F.ceil(F.sum("size") / BLOCK_SHINGLES)).alias("blocks"))
-    found = own.select("key", "text").join(placed.join(shape, "comp"), "key")
+    # always merged: a small side must not turn into a broadcast here that larger data would undo
+    found = own.select("key", "text").join(placed.join(shape, "comp").hint("merge"), "key")
     judged = stored(verify(found, size, num, den), "links")
     links = judged.groupBy("node").agg(F.sum("links").alias("links"))
     classes = components(judged.select(F.col("root").alias("src"), F.col("node").alias("dst")))
