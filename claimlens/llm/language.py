@@ -11,8 +11,12 @@ import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from claimlens.llm.texts import stored
+
 UNKNOWN = "und"
 SAMPLE_TEXTS = 100
+# With SAMPLE_TEXTS this bounds what is broadcast and what the driver holds.
+MAX_LANGUAGES = 1_000
 SAMPLE_CHARS = 2_000
 BLOCK = 500
 LEVEL = 3
@@ -35,15 +39,22 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang",
     each the first ``sample_chars`` characters (of the sample only; predictions read whole
     texts).  Rows without a letter or a language teach nothing.  The sample does not depend on
     partitioning or on how often a text is repeated.  Hashes are made distinct before they are
-    ranked, so a hot language or copied text stays small.
+    ranked, so a hot language or copied text stays small; more than ``MAX_LANGUAGES`` are an error.
     """
     rows = labelled.select(
         F.col(lang).alias("lang"),
         F.substring(F.col(text).cast("string"), 1, sample_chars).alias("text"),
     ).where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
     rows = rows.withColumn("h", F.xxhash64("text"))
-    chosen = rows.groupBy("lang", "h").count().withColumn("place", F.row_number().over(
+    distinct = stored(rows.groupBy("lang", "h").agg(F.count("*").alias("n")).select("lang", "h"), "language-texts")
+    sizes = distinct.groupBy("lang").agg(F.count("*").alias("n"))
+    # hashes are uniform, so the smallest lie in the lowest part of their range: a few hundred are ranked
+    share = F.col("h") / F.lit(2.0 ** 64) + 0.5
+    low = distinct.join(sizes, "lang").where(share * F.col("n") <= 8 * sample_texts)
+    chosen = low.withColumn("place", F.row_number().over(
         Window.partitionBy("lang").orderBy("h"))).where(F.col("place") <= sample_texts)
+    if sizes.count() > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} languages")
     picked = rows.join(F.broadcast(chosen.select("lang", "h")), ["lang", "h"])
     texts: dict[str, list[str]] = {}
     for r in picked.groupBy("lang", "h").agg(F.min("text").alias("text")).orderBy("lang", "h").collect():
