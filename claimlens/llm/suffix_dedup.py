@@ -184,7 +184,10 @@ def find_anchors(length: int, size: int, many: int):
         if count:
             yield from flush(held)
 
-    return lambda batches: frame(rows(batches))
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return frame(rows(batches))
+
+    return find
 
 
 def grouped(batches: Iterator[pa.RecordBatch], names: list[str] = NAMES) -> Iterator[tuple[int, Iterator]]:
@@ -236,7 +239,10 @@ def compare_hashes(length: int, many: int, hot: int):
             want["hot"] = share > hot
             yield from emit(ASK, want, spread(want["doc"], many), many)
 
-    return lambda batches: frame(rows(batches))
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return frame(rows(batches))
+
+    return compare
 
 
 def cut_contexts(length: int, size: int, many: int):
@@ -298,7 +304,10 @@ def cut_contexts(length: int, size: int, many: int):
                     ctx, texts, hot, count = [], [], [], 0
         yield from flush(ctx, texts, hot)
 
-    return lambda batches: frame(rows(batches))
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return frame(rows(batches))
+
+    return cut
 
 
 def strong(piece: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
@@ -412,7 +421,10 @@ def compare_contexts(length: int, size: int, many: int):
                 hits.append((i, run[1], run[0]))
         return hits
 
-    return lambda batches: frame(rows(batches))
+    def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return frame(rows(batches))
+
+    return match
 
 
 def shared_and_needed(sides: list[bytes]) -> tuple[int, list[int]]:
@@ -427,12 +439,13 @@ def shared_and_needed(sides: list[bytes]) -> tuple[int, list[int]]:
 
 
 def buckets(spark: SparkSession) -> int:
-    """Buckets of the two shuffles, a few for each shuffle partition, so they follow the cluster's setting."""
-    return 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    """Buckets of the shuffles: one for each shuffle partition, so they follow the cluster's setting."""
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def ordered(df: DataFrame) -> DataFrame:
-    return df.repartition("bucket").sortWithinPartitions("bucket", "kind")
+def ordered(df: DataFrame, many: int) -> DataFrame:
+    """One partition for each bucket: hashed again, some would get several and others none."""
+    return df.repartitionById(many, F.col("bucket").cast("int")).sortWithinPartitions("bucket", "kind")
 
 
 def removed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH,
@@ -471,13 +484,13 @@ def judged(docs: DataFrame, doc_id: str, text: str, length: int, anchor: int, ke
                        F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     rows = rows.withColumn("tie", F.pmod(row_key("text"), F.lit(1 << 16)).cast("int"))
     found = rows.select("doc", "tie", "text").mapInArrow(find_anchors(length, anchor, many), ROW)
-    settled = stored(ordered(found).mapInArrow(compare_hashes(length, many, hot), ROW), "anchors")
+    settled = stored(ordered(found, many).mapInArrow(compare_hashes(length, many, hot), ROW), "anchors")
     carried = [c for c in rows.columns if c.startswith("k")]
     packed = pack(rows, carried, many)
     asked = settled.where(f"kind = {ASK}").withColumns({"doc": F.lit(0).cast("long"), "tie": F.lit(0)})
-    answers = ordered(packed.select(*NAMES, "doc", "tie").union(asked.select(*NAMES, "doc", "tie"))).mapInArrow(
+    answers = ordered(packed.select(*NAMES, "doc", "tie").union(asked.select(*NAMES, "doc", "tie")), many).mapInArrow(
         cut_contexts(length, anchor, many), ROW)
-    more = ordered(answers).mapInArrow(compare_contexts(length, anchor, many), ROW)
+    more = ordered(answers, many).mapInArrow(compare_contexts(length, anchor, many), ROW)
     spans = settled.where(f"kind = {SPAN}").union(more)
     nothing = {c: F.lit(None).cast(rows.schema[c].dataType) for c in carried} | {
         "doc": F.lit(0).cast("long"), "tie": F.lit(0)}
@@ -485,7 +498,7 @@ def judged(docs: DataFrame, doc_id: str, text: str, length: int, anchor: int, ke
         spans.withColumns(nothing).select(*NAMES, "doc", "tie", *carried))
     kinds = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in carried)
     schema = kinds + ", n_bytes long, n_removed long, n_spans long, kept_sha256 string"
-    return ordered(both).mapInArrow(apply_spans(carried, with_text), schema + ", kept string" * with_text)
+    return ordered(both, many).mapInArrow(apply_spans(carried, with_text), schema + ", kept string" * with_text)
 
 
 def pack(rows: DataFrame, carried: list[str], many: int) -> DataFrame:
