@@ -9,7 +9,6 @@ from claimlens.catalog import sql as q
 from claimlens.catalog import views as v
 from claimlens.catalog.registry import query
 from claimlens.catalog.text_queries import _GOOD_PARAGRAPHS, _PARAGRAPHS, good_paragraphs
-from claimlens.functions.text import estimate_tokens
 from claimlens.operators import alignment as al
 from claimlens.operators import splits as sp
 from claimlens.operators import training as tr
@@ -19,8 +18,6 @@ from claimlens.session import cut_lineage, work_dir
 from claimlens.sources import jsonl
 from claimlens.sources.fingerprint import dataset_fingerprint
 
-PLAIN_COLUMNS = ("line", "id", "label", "split", "hallucination_score", "domain", "claim")
-
 
 # --- sources ---------------------------------------------------------------------------------------
 @query("jsonl_round_trip", q.with_views(
@@ -465,6 +462,3 @@ def _(spark, d):
 def _(spark, d):
     rows = tr.training_projection(v.examples(spark, d))
     return rows.withColumns({"context": F.md5("context"), "answer": F.md5("answer")})
-
-
-__all__ = ["PLAIN_COLUMNS", "estimate_tokens"]

@@ -20,11 +20,11 @@ from claimlens.operators import decisions, guards
 from claimlens.operators.alignment import enrich_with_label_dim
 from claimlens.operators.retrieval import passthrough_evidence
 from claimlens.operators.scorers import (
-    LexicalScorer, cascade_verdict, cascade_with_scorer, lexical_verdict, with_scorer,
+    LexicalScorer, cascade_verdict, cascade_with_scorer, with_scorer,
     with_tokenizer,
 )
 from claimlens.plans.detect import detect, detect_requests
-from claimlens.plans.verify import verify_answers, verify_answers_with_corpus, verify_outputs
+from claimlens.plans.verify import verify_answers, verify_outputs
 
 ODD_LABELS = [*fv.LABELS, "odd"]
 
@@ -1119,6 +1119,3 @@ def _(spark, d):
     return rows.select(
         "qa_id", "claim_index", "c.claim", "c.label", "c.score", "c.error_type", "c.explanation"
     )
-
-
-__all__ = ["lexical_verdict", "verify_answers_with_corpus"]

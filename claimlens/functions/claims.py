@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from claimlens import fixed_values as fv
 from claimlens.functions.arrays import let, running_sum
-from claimlens.functions.text import WORD, WS, has_word, is_blank, strip
+from claimlens.functions.text import WORD, WS, has_word, strip
 
 SENTENCE = "[^.!?]+[.!?]*"
 
@@ -151,10 +151,3 @@ def fragment_reason(claim: Column, endings=fv.FRAGMENT_ENDINGS) -> Column:
         )
 
     return let(strip(F.coalesce(claim, F.lit(""))), reason)
-
-
-__all__ = [
-    "claims_or_answer", "extract_claims", "first_sentence_claim", "fragment_reason",
-    "is_blank", "is_valid_claim", "multi_entity", "protect_abbreviations", "sentence_count",
-    "sentence_spans", "sentences", "split_compound",
-]

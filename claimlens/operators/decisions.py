@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from claimlens import fixed_values as fv
 from claimlens.functions.answers import COUNTED, counted_label, policy_rule
-from claimlens.functions.arrays import let
 from claimlens.functions.fusion import claim_contradicted, claim_unsupported
 from claimlens.functions.numbers import exact_mean, round_to
 
@@ -55,6 +54,3 @@ def verify_answer(claims: DataFrame, key: str) -> DataFrame:
         F.count("*").alias("n_claims"),
         *[F.count(F.when(F.col("label") == x, 1)).alias(f"n_{x}") for x in COUNTED],
     )
-
-
-__all__ = ["claim_rollup", "let", "policy_by_answer", "verify_answer"]

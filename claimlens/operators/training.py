@@ -7,7 +7,6 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from claimlens import fixed_values as fv
 from claimlens.functions.labels import lookup
 from claimlens.functions.text import estimate_tokens, strip
 
@@ -137,9 +136,3 @@ def token_length_stats(df: DataFrame, text: Column,
 
 def training_projection(df: DataFrame) -> DataFrame:
     return df.select(*TRAINING_COLUMNS)
-
-
-__all__ = [
-    "assistant_json", "chat_rows", "classifier_text", "fv", "nli_pairs", "premise", "skip_guard",
-    "skip_ratio", "token_length_stats", "training_projection",
-]
