@@ -11,6 +11,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+_written: list[str] = []
+
 # Number of partitions that the registered queries deal their tables out to; unset: as read.
 INPUT_PARTITIONS = "spark.claimlens.inputPartitions"
 
@@ -46,7 +48,17 @@ def work_dir(spark: SparkSession, purpose: str) -> str:
         base = tempfile.mkdtemp(prefix="spark-")
         atexit.register(shutil.rmtree, base, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+    _written.append(path)
+    return path
+
+
+def clear_work(spark: SparkSession) -> None:
+    """Delete the work folders handed out so far; call it when results read from them are done with."""
+    conf = spark._jsc.hadoopConfiguration()
+    while _written:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_written.pop())
+        path.getFileSystem(conf).delete(path, True)
 
 
 def cut_lineage(df: DataFrame, purpose: str) -> DataFrame:

@@ -13,7 +13,7 @@ SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
 @pytest.fixture(scope="session")
 def spark():
-    from claimlens.session import build_session
+    from claimlens.session import build_session, clear_work
 
     session = build_session(
         "local[8]", "tests", spark_ui_enabled="false", spark_sql_shuffle_partitions="4",
@@ -21,6 +21,7 @@ def spark():
     )
     session.sparkContext.setLogLevel("ERROR")
     yield session
+    clear_work(session)
     session.stop()
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import random
 
 import numpy as np
@@ -10,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from claimlens import fixed_values as fv
+from claimlens import session
 from claimlens.functions import context as cx
 from claimlens.functions.arrays import running_sum
 from claimlens.operators import alignment as al
@@ -20,7 +22,7 @@ from claimlens.operators.scorers import cascade_with_scorer, with_scorer
 from claimlens.operators.splits import generation_plan
 from claimlens.plans.detect import detect_requests
 from claimlens.plans.verify import verify_answers
-from claimlens.session import work_dir
+from claimlens.session import clear_work, cut_lineage, work_dir
 from claimlens.sources import jsonl
 from claimlens.streaming import requests as st
 
@@ -143,3 +145,12 @@ def test_open_windows_are_kept_over_several_batches(spark):
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
     got = st.run_summary(st.stream_summary(stream), f"{out}/table", f"{out}/checkpoint")
     assert sorted((r["window_start"].day, r["n"]) for r in got.collect()) == [(1, 5), (2, 5), (3, 5)]
+
+
+def test_work_folders_are_cleared(spark, monkeypatch):
+    monkeypatch.setattr(session, "_written", [])
+    df = cut_lineage(spark.range(5), "short-lived")
+    folder = df.inputFiles()[0].removeprefix("file://").rpartition("/")[0]
+    assert df.count() == 5
+    clear_work(spark)
+    assert not os.path.exists(folder)
