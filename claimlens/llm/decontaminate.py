@@ -6,7 +6,6 @@ longest match that ends at each word tells which windows of the items occur ther
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 from functools import lru_cache
 
