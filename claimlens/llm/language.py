@@ -48,13 +48,13 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang",
     rows = rows.withColumn("h", F.xxhash64("text"))
     distinct = stored(rows.groupBy("lang", "h").agg(F.count("*").alias("n")).select("lang", "h"), "language-texts")
     sizes = distinct.groupBy("lang").agg(F.count("*").alias("n"))
+    if sizes.count() > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} languages")
     # hashes are uniform, so the smallest lie in the lowest part of their range: a few hundred are ranked
     share = F.col("h") / F.lit(2.0 ** 64) + 0.5
-    low = distinct.join(sizes, "lang").where(share * F.col("n") <= 8 * sample_texts)
+    low = distinct.join(F.broadcast(sizes), "lang").where(share * F.col("n") <= 8 * sample_texts)
     chosen = low.withColumn("place", F.row_number().over(
         Window.partitionBy("lang").orderBy("h"))).where(F.col("place") <= sample_texts)
-    if sizes.count() > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
     picked = rows.join(F.broadcast(chosen.select("lang", "h")), ["lang", "h"])
     texts: dict[str, list[str]] = {}
     for r in picked.groupBy("lang", "h").agg(F.min("text").alias("text")).orderBy("lang", "h").collect():
