@@ -5,6 +5,7 @@ from __future__ import annotations
 import html
 import re
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -115,27 +116,30 @@ def blocks(page: str) -> list[tuple[str, bool, bool]]:
 
 
 def parsed(pages: DataFrame) -> DataFrame:
-    """host, ``body`` (article blocks, null without any), ``rest`` (blocks outside) and which of them are furniture."""
+    """host, ``body`` (article blocks), ``rest`` (blocks outside), ``furniture`` (which of those are) and ``before``
+    (how many article blocks come before each of them)."""
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 200):
                 part = batch.slice(at, 200)
-                body, rest, furniture = [], [], []
+                body, rest, furniture, before = [], [], [], []
                 for page in part.column("html").to_pylist():
                     own = blocks(page or "")
-                    main = [t for t, article, aside in own if article and not aside]
-                    body.append("\n\n".join(main) if main else None)
+                    body.append([t for t, article, aside in own if article and not aside])
                     rest.append([t for t, article, aside in own if not article or aside])
                     furniture.append([aside for t, article, aside in own if not article or aside])
+                    passed = accumulate(int(article and not aside) for t, article, aside in own)
+                    before.append([n for n, (t, article, aside) in zip(passed, own, strict=True)
+                                   if not article or aside])
                 yield pa.RecordBatch.from_arrays(
                     [part.column(c) for c in ("id", "url", "key", "host")] + [
-                        pa.array(body, pa.string()), pa.array(rest, pa.list_(pa.string())),
-                        pa.array(furniture, pa.list_(pa.bool_()))],
-                    names=["id", "url", "key", "host", "body", "rest", "furniture"])
+                        pa.array(body, pa.list_(pa.string())), pa.array(rest, pa.list_(pa.string())),
+                        pa.array(furniture, pa.list_(pa.bool_())), pa.array(before, pa.list_(pa.int32()))],
+                    names=["id", "url", "key", "host", "body", "rest", "furniture", "before"])
 
     kind = pages.schema["id"].dataType.simpleString()
-    return pages.mapInArrow(work, f"id {kind}, url string, key long, host string, body string, "
-                                  "rest array<string>, furniture array<boolean>")
+    return pages.mapInArrow(work, f"id {kind}, url string, key long, host string, body array<string>, "
+                                  "rest array<string>, furniture array<boolean>, before array<int>")
 
 
 def grams(ranks: np.ndarray, run: int) -> np.ndarray:
@@ -244,18 +248,21 @@ def covered(pages: DataFrame, shared: DataFrame, run: int) -> DataFrame:
     return rows.join(shared, same, "left_semi").select("key", "at").distinct()
 
 
-def unique_runs(rest: list[str], furniture: list[bool], starts: list[int] | None, run: int) -> str:
-    """Blocks outside furniture without the tokens that shared runs cover."""
+def unique_runs(body: list[str], rest: list[str], furniture: list[bool], before: list[int],
+                starts: list[int] | None, run: int) -> str:
+    """Article blocks and, in their places, blocks outside furniture without the tokens that shared runs cover."""
     drop = {i for a in starts or () for i in range(a, a + run)}
-    out, at = [], 0
-    for text, aside in zip(rest, furniture, strict=True):
+    out, at, done = [], 0, 0
+    for text, aside, n in zip(rest, furniture, before, strict=True):
+        out += body[done:n]
+        done = n
         tokens = text.split()
         if not aside:
             left = " ".join(t for i, t in enumerate(tokens, at) if i not in drop)
             if left:
                 out.append(left)
         at += len(tokens)
-    return "\n\n".join(out)
+    return "\n\n".join(out + body[done:])
 
 
 def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", markup: str = "html",
@@ -263,15 +270,16 @@ def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", markup
     """``text`` and ``n_chars`` of every page's main text, beside its key and url.
 
     Blocks are paragraphs, headings, items and the like: references decoded, white space as one
-    space, joined by two line ends.  Furniture by element, class, id or role is never text.  Of a
-    page with an article (or main) element, the rest of that element is the text, also if other
-    pages repeat it: a copied article is still the article.  On other pages, and for everything
-    outside, the host decides: runs of ``run`` tokens that distinct pages of the host share are
-    boilerplate, and the unique runs that remain are the text.  Null and empty pages give an empty
+    space, joined by two line ends.  Furniture by element, class, id or role is never text.  What
+    an article (or main) element holds besides is text by its markup alone, also if other pages
+    repeat it: near copies and quotes share runs with distinct articles, and are still articles.
+    All other blocks, on pages with an article and without one, are left to the host: runs of
+    ``run`` tokens that distinct pages of the host share are boilerplate, and the unique runs that
+    remain are text, in their place among the article blocks.  Null and empty pages give an empty
     text; repeated rows give a row each and are one page; pages without a host are compared with
     each other.
 
-    Pages are parsed once; only pages without an article are joined with shared runs.
+    Pages are parsed once; only pages with such other blocks are joined with shared runs.
     """
     rows = pages.select(F.col(page_id).alias("id"), F.col(url).cast("string").alias("url"),
                         F.col(markup).cast("string").alias("html"))
@@ -280,20 +288,22 @@ def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", markup
         "host": F.lower(F.regexp_extract("url", r"^[a-zA-Z][a-zA-Z0-9+.\-]*://(?:[^/@?#]*@)?([^/:?#]*)", 1))})
     found = stored(parsed(rows), "pages")
     shared = repeated_runs(found.where("size(rest) > 0"), run)
-    opened = found.where("body IS NULL AND exists(furniture, f -> NOT f)")
+    opened = found.where("exists(furniture, f -> NOT f)")
     starts = covered(opened, stored(shared, "runs"), run).groupBy("key").agg(F.collect_list("at").alias("starts"))
 
     def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cols = [batch.column(c).to_pylist() for c in ("rest", "furniture", "starts")]
+            cols = [batch.column(c).to_pylist() for c in ("body", "rest", "furniture", "before", "starts")]
             texts = [unique_runs(*x, run) for x in zip(*cols, strict=True)]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("id"), batch.column("url"), pa.array(texts, pa.string())], names=["id", "url", "body"])
 
     kind = found.schema["id"].dataType.simpleString()
-    rest = opened.join(starts, "key", "left").select("id", "url", "rest", "furniture", "starts").mapInArrow(
+    rest = opened.join(starts, "key", "left").select(
+        "id", "url", "body", "rest", "furniture", "before", "starts").mapInArrow(
         assemble, f"id {kind}, url string, body string")
-    closed = found.where("NOT (body IS NULL AND exists(furniture, f -> NOT f))").select("id", "url", "body")
+    closed = found.where("NOT exists(furniture, f -> NOT f)").select(
+        "id", "url", F.array_join("body", "\n\n").alias("body"))
     return closed.union(rest).select(
-        F.col("id").alias(page_id), F.col("url").alias(url), F.coalesce("body", F.lit("")).alias("text"),
-        F.length(F.coalesce("body", F.lit(""))).cast("long").alias("n_chars"))
+        F.col("id").alias(page_id), F.col("url").alias(url), F.col("body").alias("text"),
+        F.length("body").cast("long").alias("n_chars"))

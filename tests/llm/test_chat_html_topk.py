@@ -104,6 +104,15 @@ def test_op6_runs_across_tasks(spark):
     assert {r.page_id: r.text for r in html_text.extract(df).collect()} == {i: f"u{i} v{i}" for i in range(30)}
 
 
+def test_op6_runs_judge_outside_of_articles(spark):
+    menu = " ".join(f"menu{i}" for i in range(12))
+    page = "<div>{1}</div><div>lead{0}</div><article><p>same article</p><p>of all</p></article><div>{1} note{0}</div>"
+    pages = [(i, f"http://h.example/{i}", page.format(i, menu)) for i in range(3)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    assert {r.page_id: r.text for r in html_text.extract(df).collect()} == {
+        i: f"lead{i}\n\nsame article\n\nof all\n\nnote{i}" for i in range(3)}
+
+
 def brute_topk(rows, k, every):
     fine = [(i, [int(np.floor(64 * float(x))) for x in v]) for i, v in rows if i is not None and v is not None
             and all(x is not None and np.isfinite(x) for x in v)]
