@@ -19,8 +19,10 @@ RUN = 8
 STREAM_TOKENS = 200_000
 
 # Elements by what they do to text.
-RAW = ("script", "style", "template", "noscript", "iframe", "svg", "math", "object", "audio", "video", "canvas")
-ASIDE = frozenset("nav header footer aside form select button textarea dialog menu head label fieldset".split())
+RAW = ("script", "style", "template", "noscript", "iframe", "svg", "math")
+FOREIGN = ("svg", "math")  # only these can be closed in their own tag
+ASIDE = frozenset("nav header footer aside form select button textarea dialog menu head label fieldset "
+                  "object audio video canvas".split())
 MAIN = frozenset(("article", "main"))
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd mark q rp rt ruby s samp small span "
@@ -31,19 +33,46 @@ ASIDE_NAMES = frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion sidebar menu nav navbar "
     "navigation breadcrumb breadcrumbs cookie cookies consent notice notices banner newsletter subscribe social "
     "share sharing related comment comments respond disqus popup modal footer masthead skip".split())
+ASIDE_COMPOUNDS = frozenset(
+    "ad-banner ad-box ad-container ad-slot ad-unit ad-wrapper google-ad google-ads adsbygoogle "
+    "cookie-banner cookie-bar cookie-consent cookie-notice consent-banner consent-popup "
+    "site-header site-footer page-footer footer-links site-nav site-navigation main-nav main-menu "
+    "main-navigation nav-bar nav-links nav-menu post-navigation top-nav side-nav side-menu menu-item menu-items "
+    "left-sidebar right-sidebar sidebar-left sidebar-right side-bar widget-area "
+    "comment-list comment-form comments-area comments-section comment-section comment-respond disqus-thread "
+    "related-articles related-content related-links related-posts related-stories "
+    "share-bar share-button share-buttons share-links social-bar social-buttons social-icons social-links "
+    "social-media social-share sharing-buttons newsletter-form newsletter-signup subscribe-form promo-banner "
+    "promo-box sponsored-content modal-dialog skip-link skip-links skip-to-content".split())
+# An article of its own in the markup that is none: cards and comments.
+MAIN_ASIDE = frozenset("comment comments related ad promo comment-body related-article related-post".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 ASIDE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu".split())
 
+_ATTRIBUTES = r"(?:\"[^\"]*\"|'[^']*'|[^'\">])*"
 _PARTS = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(?P<raw>" + "|".join(RAW) + r")\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)"
-    r"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<rest>(?:\"[^\"]*\"|'[^']*'|[^'\">])*)>|<[!?][^>]*>|(?P<text>[^<]+|<)",
+    r"<!--.*?(?:-->|\Z)|<(?:" + "|".join(FOREIGN) + r")(?=[\s/>])" + _ATTRIBUTES + r"(?<=/)>"
+    r"|<(?P<raw>" + "|".join(RAW) + r")(?=[\s/>])[^>]*>.*?(?:</(?P=raw)(?=[\s/>])[^>]*>|\Z)"
+    r"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<rest>" + _ATTRIBUTES + r")>|<[!?][^>]*>|(?P<text>[^<]+|<)",
     re.DOTALL | re.IGNORECASE)
-_NAMES = re.compile(r"""\b(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""",
-                    re.IGNORECASE)
-_WORD = re.compile(r"[^\s_\-]+")
+_NAMES = re.compile(r"""([^\s"'=/>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
+_NUMBER = re.compile(r"-?[0-9][0-9x]*$")
+
+
+def names_aside(name: str, numbered: bool = True) -> bool:
+    """Whether a whole class or id is a name of furniture, with any number behind it (ad-2) if ``numbered``."""
+    name = name.replace("_", "-")
+    if numbered:
+        name = _NUMBER.sub("", name)
+    return name in ASIDE_NAMES or name in ASIDE_COMPOUNDS
 
 
 def is_aside(tag: str, rest: str) -> bool:
-    """Whether an element is page furniture by its name or by its class, id or role."""
+    """Whether an element is page furniture by its name or by its role, a class or its id.
+
+    Classes and ids count whole: no-sidebar and related-work are no furniture.  Ids of headings
+    are made from their words and do not count.
+    """
     if tag in ASIDE:
         return True
     if not rest or tag in ("html", "body") or tag in INLINE:
@@ -55,10 +84,15 @@ def is_aside(tag: str, rest: str) -> bool:
             return True
         if name == "role" and value in ASIDE_ROLES:
             return True
-        if name in ("class", "id") and tag not in MAIN and not ASIDE_NAMES.isdisjoint(_WORD.findall(value)):
-            return True
-        if name in ("class", "id") and tag in MAIN and not {"comment", "comments", "related", "ad", "promo"}.isdisjoint(
-                _WORD.findall(value)):
+        if name not in ("class", "id"):
+            continue
+        if tag in MAIN:
+            if not MAIN_ASIDE.isdisjoint(value.replace("_", "-").split()):
+                return True
+        elif name == "class":
+            if any(map(names_aside, value.split())):
+                return True
+        elif tag not in HEADINGS and names_aside(value.strip(), numbered=tag != "section"):
             return True
     return False
 

@@ -113,6 +113,38 @@ def test_op6_runs_judge_outside_of_articles(spark):
         i: f"lead{i}\n\nsame article\n\nof all\n\nnote{i}" for i in range(3)}
 
 
+def test_op6_raw_elements_end_where_they_end():
+    def texts(page):
+        return [t for t, _, aside in html_text.blocks(page) if not aside]
+
+    for odd in ("<svg/>", "<math />", '<svg a="x>y" viewBox="0 0 1 1"/>', "<SVG/>", "<svg><path d='m'/></svg>",
+                "<script>a<b</script >", "<svg><title>x</title></svg>", "<style a=1>p{}</style x>",
+                "<video-player></video-player>", "<object-view></object-view>", "<audio-player src=x></audio-player>",
+                "<script-note></script-note>", "<svg-icon/>"):
+        assert texts(f"<p>one</p>{odd}<p>two</p>") == ["one", "two"], odd
+    assert texts("<video-player><p>one</p></video-player><p>two</p>") == ["one", "two"]
+    assert texts("<p>one</p><div><video src='x'/><p>plays not</p></div><p>two</p>") == ["one", "two"]
+    assert texts("<p>one</p><video><p>no video here</p></video><p>two</p>") == ["one", "two"]
+    assert texts("<p>one</p><script/>no text<p>two</p>") == ["one"]
+
+
+def test_op6_furniture_by_whole_names():
+    def texts(page):
+        return [t for t, article, aside in html_text.blocks(f"<article>{page}</article>") if article and not aside]
+
+    for text in ('<section id="related-work">', '<h2 id="social-contract">', '<div class="share-price">', "<h2 id=menu>",
+                 '<div class="entry-content no-sidebar">', '<section id="notice-2024">', '<div data-id="menu">',
+                 '<div title="hidden id">', '<div style="x:hidden">', '<div class="ad-hoc">', '<p class="social">'):
+        closing = f"</{text[1:].split()[0]}>"
+        want = ["one", "two"] if "<p" not in text else ["two"]
+        assert texts(f"{text}one{closing}<div>two</div>") == want, text
+    for text in ('<div class="box ad">', '<div class="ad-2">', '<div id="comment_17">', '<div class="Cookie-Notice">',
+                 '<section class="related_posts">', "<div class=sidebar>", '<div hidden>', '<section id="comments">'):
+        assert texts(f"{text}one</{text[1:].split()[0].rstrip('>')}><div>two</div>") == ["two"], text
+    assert [a for _, a, _ in html_text.blocks('<article class="post comment-open">x</article>')] == [True]
+    assert [a for _, a, _ in html_text.blocks('<article class="comment">x</article>')] == [False]
+
+
 def brute_topk(rows, k, every):
     fine = [(i, [int(np.floor(64 * float(x))) for x in v]) for i, v in rows if i is not None and v is not None
             and all(x is not None and np.isfinite(x) for x in v)]
