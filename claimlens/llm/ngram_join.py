@@ -143,8 +143,8 @@ def verify(docs: DataFrame, size: int, num: int, den: int) -> DataFrame:
                 [*[own.column(c) for c in ("comp", "blocks", "node", "copies")],
                  pa.array(sets, pa.binary())], names=["comp", "blocks", "node", "copies", "data"])
 
-    def judge(rows: list[tuple]) -> pa.RecordBatch:
-        """rows: (block, node, copies, data) of one pair of blocks."""
+    def judge(i: int, j: int, rows: list[tuple]) -> pa.RecordBatch:
+        """rows: (block, node, copies, data) of the blocks i and j; links inside a block are counted at (i, i)."""
         rows = list({r[1]: r for r in rows}.values())
         sets = [np.frombuffer(r[3], np.uint64) for r in rows]
         sizes = np.array([len(s) for s in sets])
@@ -154,7 +154,7 @@ def verify(docs: DataFrame, size: int, num: int, den: int) -> DataFrame:
         linked = (num + den) * both >= num * (sizes[:, None] + sizes[None, :])
         np.fill_diagonal(linked, False)
         cross = block[:, None] != block[None, :]
-        counted = linked & cross if len(set(block.tolist())) > 1 else linked
+        counted = linked if i == j else linked & cross
         links = counted @ np.array([r[2] for r in rows], np.int64)
         roots = local_roots(linked)
         some = np.flatnonzero(linked.any(axis=1))
@@ -163,18 +163,21 @@ def verify(docs: DataFrame, size: int, num: int, den: int) -> DataFrame:
             [pa.array(node[some]), pa.array(links[some], pa.int64()), pa.array(node[roots[some]])],
             names=["node", "links", "root"])
 
+    def settle(key: tuple | None, group: list[tuple]) -> Iterator[pa.RecordBatch]:
+        # with one of two blocks empty there is nothing that (i, i) has not settled
+        if len(group) > 1 and (key[1] == key[2] or len({r[0] for r in group}) > 1):
+            yield judge(*key[1:], group)
+
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, key = [], None
         for batch in batches:
             cols = [batch.column(c).to_pylist() for c in ("comp", "i", "j", "block", "node", "copies", "data")]
             for comp, i, j, *row in zip(*cols, strict=True):
                 if (comp, i, j) != key:
-                    if len(group) > 1:
-                        yield judge(group)
+                    yield from settle(key, group)
                     group, key = [], (comp, i, j)
                 group.append(tuple(row))
-        if len(group) > 1:
-            yield judge(group)
+        yield from settle(key, group)
 
     sets = docs.select("comp", "blocks", "node", "copies", "text").mapInArrow(
         shingle, "comp long, blocks long, node long, copies long, data binary")

@@ -183,6 +183,15 @@ def test_op3_near_copies_in_blocks(spark, monkeypatch):
     assert got == {d[0]: w for d, w in zip(docs, brute_classes(docs), strict=True)}
 
 
+@pytest.mark.parametrize("many", [2, 3])
+def test_op3_more_blocks_than_nodes(spark, monkeypatch, many):
+    monkeypatch.setattr(ngram_join, "BLOCK_SHINGLES", 60)
+    docs = [(100 * g + i, " ".join([*(f"g{g}w{k}" for k in range(150)), f"x{i}"])) for g in range(8) for i in range(many)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    got = {r[0]: tuple(r)[1:] for r in ngram_join.join(df).collect()}
+    assert got == {d[0]: w for d, w in zip(docs, brute_classes(docs), strict=True)}
+
+
 def test_op3_odd_documents(odd_docs, no_docs):
     rows = [(r.doc_id, r.text) for r in odd_docs.select("doc_id", "text").collect()]
     want = [(d[0], *w) for d, w in zip(rows, brute_classes(rows), strict=True)]
