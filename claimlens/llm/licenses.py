@@ -5,6 +5,8 @@ DataFrame functions only; nothing here runs Python on the executors.
 
 from __future__ import annotations
 
+from importlib.resources import files
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -78,6 +80,53 @@ software.
     "CC-BY-SA-4.0-notice": "Licensed under CC BY-SA 4.0.",
 }
 
+# Titles that files put before texts which have none of their own.
+TITLES = {
+    "MIT": ("MIT License", "The MIT License", "The MIT License (MIT)", "Expat License"),
+    "ISC": ("ISC License", "The ISC License", "ISC License (ISC)"),
+    "0BSD": ("BSD Zero Clause License", "Zero-Clause BSD", "Zero-Clause BSD License", "BSD-0-Clause License"),
+    "Zlib": ("zlib License", "The zlib License", "The zlib/libpng License"),
+    "BSD-2-Clause": ("BSD 2-Clause License", "The 2-Clause BSD License", 'BSD 2-Clause "Simplified" License'),
+    "BSD-3-Clause": ("BSD 3-Clause License", "The 3-Clause BSD License", 'BSD 3-Clause "New" or "Revised" License'),
+    "Unlicense": ("The Unlicense", "Unlicense"),
+}
+# Names in notices of one line.
+NAMES = {
+    "Apache-2.0": ("Apache License, Version 2.0", "Apache License 2.0", "Apache 2.0 License"),
+    "MIT": ("MIT License",), "ISC": ("ISC License",), "Zlib": ("zlib License",),
+    "BSD-2-Clause": ("BSD 2-Clause License",), "BSD-3-Clause": ("BSD 3-Clause License",),
+    "GPL-2.0": ("GNU General Public License, version 2", "GNU GPL v2"),
+    "GPL-3.0": ("GNU General Public License, version 3", "GNU GPL v3"),
+    "LGPL-2.1": ("GNU Lesser General Public License, version 2.1",),
+    "LGPL-3.0": ("GNU Lesser General Public License, version 3",),
+    "AGPL-3.0": ("GNU Affero General Public License, version 3",),
+    "MPL-2.0": ("Mozilla Public License, Version 2.0", "Mozilla Public License 2.0"),
+    **{f"CC-{x}-4.0": (f"CC {x.replace('-', ' ', 1)} 4.0",) for x in ("BY", "BY-SA", "BY-NC", "BY-ND", "BY-NC-SA", "BY-NC-ND")},
+    "CC0-1.0": ("CC0 1.0",),
+}
+NOTICES = ("Licensed under {}", "Licensed under the {}", "Released under {}", "Released under the {}",
+           "Distributed under the {}", "This work is licensed under {}", "This work is licensed under the {}",
+           "This project is licensed under the {}", "This software is licensed under the {}")
+END = "END OF TERMS AND CONDITIONS"
+
+
+def common_texts(spark: SparkSession) -> DataFrame:
+    """(license_id, text): KNOWN, the whole texts beside this module, and their usual forms and notices.
+
+    Texts come with each of their titles and without, and up to their end of terms as well as
+    with what follows it.
+    """
+    whole_texts = {k: t for k, t in KNOWN.items() if not k.endswith("-notice")}
+    for file in files("claimlens.llm").joinpath("licence_texts").iterdir():
+        whole_texts[file.name.removesuffix(".txt")] = file.read_text(encoding="utf-8")
+    rows = list(KNOWN.items())
+    for name, text in sorted(whole_texts.items()):
+        rows += [(name, text), *((name, f"{title}\n\n{text}") for title in TITLES.get(name, ()))]
+        if END in text:
+            rows.append((name, text[:text.index(END) + len(END)]))
+    rows += [(f"{k}-notice", notice.format(n)) for k, names in NAMES.items() for n in names for notice in NOTICES]
+    return spark.createDataFrame(rows, "license_id string, text string")
+
 
 def canonical_line(line: Column) -> Column:
     """Lower-case words of a line by single spaces; empty for copyright lines."""
@@ -123,12 +172,14 @@ def scan(docs: DataFrame, known: DataFrame | None = None, doc_id: str = "doc_id"
     Columns: the key, ``text_digest`` (null if only copyright lines, punctuation or nothing),
     ``license_id`` (known text equal to the whole text, else null), ``n_license_lines`` and
     ``line_licenses`` (sorted names, comma-joined, empty if none).  Repeated rows each give a
-    row; other columns are not looked at.
+    row; other columns are not looked at.  ``known`` is (digest, license_id), by default of
+    ``common_texts``.
 
     Digests are made in the map; only keys and digests move.  Line digests meet the known ones
     before they are grouped, and one document's lines are grouped by counts and a set of names.
     """
-    known = known if known is not None else known_digests(docs.sparkSession)
+    spark = docs.sparkSession
+    known = known if known is not None else known_digests(spark, common_texts(spark))
     rows = docs.select(F.col(doc_id).alias("id"), row_key(doc_id, F.col(text).cast("string")).alias("key"),
                        canonical_lines(F.col(text)).alias("lines"))
     lines = rows.select("key", F.posexplode("lines").alias("at", "words")).where("words != ''")

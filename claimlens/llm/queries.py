@@ -104,8 +104,8 @@ def op8(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("op9_licenses", licenses.scan_sql())
 def op9(spark: SparkSession, folder: str) -> DataFrame:
-    """Known licences that a whole document, or a line of it, is."""
-    return licenses.scan(table(spark, folder, "documents"))
+    """Licences of the list in the SQL that a whole document, or a line of it, is."""
+    return licenses.scan(table(spark, folder, "documents"), licenses.known_digests(spark))
 
 
 def held_out(doc_id: str = "doc_id"):

@@ -6,6 +6,7 @@ import hashlib
 import random
 import zlib
 from collections import defaultdict
+from pathlib import Path
 
 import pytest
 
@@ -125,6 +126,21 @@ def test_op9_odd_documents(spark, odd_docs, no_docs):
     assert [r.license_id for r in licenses.known_digests(spark, own).collect()] == ["a"]
 
 
+def test_op9_common_texts(spark):
+    read = lambda n: (Path(licenses.__file__).parent / "licence_texts" / f"{n}.txt").read_text()
+    apache = read("Apache-2.0")
+    texts = [("MIT", "MIT License\n\nCopyright (c) 2020 Somebody\n\n" + licenses.KNOWN["MIT"]),
+             ("ISC", "ISC License\n\n" + licenses.KNOWN["ISC"]), ("Zlib", "zlib License\n" + licenses.KNOWN["Zlib"]),
+             ("Apache-2.0", apache), ("Apache-2.0", apache.split("   APPENDIX")[0]),
+             ("BSD-3-Clause", "BSD 3-Clause License\n\nCopyright (c) 2020, us\n\n" + read("BSD-3-Clause")),
+             *((n, read(n)) for n in ("BSD-2-Clause", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0",
+                                      "CC0-1.0", "Unlicense"))]
+    rows = [(i, t) for i, (_, t) in enumerate(texts)] + [(99, "Distributed under the Mozilla Public License 2.0.")]
+    got = {r.doc_id: r for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [got[i].license_id for i in range(len(texts))] == [n for n, _ in texts]
+    assert got[99].line_licenses == "MPL-2.0-notice"
+
+
 def test_op9_runs_no_python(spark, sf_dir):
     plan = queries.op9(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
