@@ -23,6 +23,7 @@ from claimlens.llm.bpe import PieceEncoder
 from claimlens.session import work_dir
 
 SHARD_BYTES = 4 << 20
+PREFIX = 64
 SLOT = np.dtype([("fingerprint", "<u4"), ("first", "<u4"), ("count", "<u4")])
 
 
@@ -132,10 +133,12 @@ def write_shards(docs: DataFrame, file: str, end_id: int = 0, doc_id: str = "doc
                  text: str = "text", shard_bytes: int = SHARD_BYTES, path: str | None = None) -> str:
     """Encode every whole text, close it with ``end_id``, write shards; returns their folder.
 
-    Documents lie in ascending order of the key (null first; repeated keys by text, all kept),
-    dealt out by ranges of (key, text), so neither a driver nor a task sees more than its
-    range and a hot source, which is no key, costs nothing.  A shard is closed at
-    ``shard_bytes`` of ids; one longer document stands alone.  Null and empty texts are just
+    Documents lie in ascending order of the key (null first; repeated keys by the first
+    ``PREFIX`` characters of the text, then by its hash, all kept), dealt out by ranges of that
+    order, so neither a driver nor a task sees more than its range and the different texts of a
+    hot key are dealt out too; equal rows meet in one task.  A shard is closed at ``shard_bytes``
+    of ids, also inside a key, whose other documents are then in the index of the next shard; one
+    longer document stands alone.  Null and empty texts are just
     the end id.  Other columns are not looked at; no documents give no shards.
     """
     spark = docs.sparkSession
@@ -164,8 +167,7 @@ def write_shards(docs: DataFrame, file: str, end_id: int = 0, doc_id: str = "doc
                 piece = batch.slice(at, 200)
                 own = encoder.encode([t or "" for t in piece.column(1).to_pylist()])
                 for key, data in zip(piece.column(0).to_pylist(), own, strict=True):
-                    # one key never spans two shards
-                    if ids and size + len(data) > shard_bytes and key != keys[-1]:
+                    if ids and size + len(data) > shard_bytes:
                         yield close()
                         inside += size // 4
                         keys, ids, size, seq = [], [], 0, seq + 1
@@ -178,8 +180,10 @@ def write_shards(docs: DataFrame, file: str, end_id: int = 0, doc_id: str = "doc
     names = ["part", "seq", "inside", "width", "n_docs", "n_ids", "keys", "lengths", "seeds", "slots", "payload"]
     schema = (f"part long, seq long, inside long, width long, n_docs long, n_ids long, keys array<{key_type}>, "
               "lengths binary, seeds binary, slots binary, payload binary")
-    ordered = narrow.repartitionByRange(
-        F.col("id").asc_nulls_first()).sortWithinPartitions(F.col("id").asc_nulls_first(), "text")
+    order = [F.col("id").asc_nulls_first(), F.substring("text", 1, PREFIX).asc_nulls_first(),
+             F.xxhash64("text").asc(), F.col("text").asc()]
+    # ranges are sampled without the whole text; texts of one hash stay together
+    ordered = narrow.repartitionByRange(*order[:3]).sortWithinPartitions(*order)
     (ordered.mapInArrow(work, schema).write.option("compression", "zstd").parquet(path))
     return path
 

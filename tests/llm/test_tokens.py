@@ -95,6 +95,29 @@ def test_op1_odd_documents(spark, odd_docs, no_docs, library):
     assert token_shards.read_documents(spark, empty).count() == 0
 
 
+@pytest.fixture
+def ranges_as_asked(spark):
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    yield
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_op1_one_key_spans_ranges_and_shards(spark, library, ranges_as_asked):
+    docs = [(5, f"text {i} of one key " * 40) for i in range(200)] + [(None, f"no key {i}") for i in range(200)] + [(1, "a")]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    path = token_shards.write_shards(df, queries.byte_bpe(), shard_bytes=20_000)
+    shards = spark.read.parquet(path).collect()
+    assert len({s.part for s in shards if 5 in s["keys"]}) > 1 and len({s.part for s in shards if None in s["keys"]}) > 1
+    assert all(len(s.payload) <= 20_000 for s in shards)
+    rows = token_shards.read_documents(spark, path, with_ids=True).collect()
+    want = [(k or 0, library.encode(t, add_special_tokens=False).ids + [0]) for k, t in docs]
+    assert sorted((r.doc_id or 0, r.ids) for r in rows) == sorted(want)
+    rows.sort(key=lambda r: r.start)
+    assert [r.doc_id or 0 for r in rows] == sorted(k for k, _ in want)
+    assert [r.start for r in rows] == [sum(r.n_tokens for r in rows[:i]) for i in range(len(rows))]
+    assert token_shards.lookup(spark, path, [5]).count() == 200 and token_shards.lookup(spark, path, [None]).count() == 200
+
+
 def test_index_is_minimal_and_perfect():
     keys = [str(i).encode() for i in range(5000)]
     seeds, slots = token_shards.build_index(keys)
