@@ -98,8 +98,10 @@ def frame(rows: Iterable[tuple]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held), kinds)], names=NAMES)
 
 
-def spread(doc: np.ndarray, many: int) -> np.ndarray:
-    return (mix(doc.astype(np.int64).view(np.uint64)) % np.uint64(many)).astype(np.int64)
+def spread(doc: np.ndarray, tie: np.ndarray, many: int) -> np.ndarray:
+    """Bucket of each document; the texts of one id have their own."""
+    own = mix(doc.astype(np.int64).view(np.uint64)) + tie.astype(np.uint64)
+    return (mix(own) % np.uint64(many)).astype(np.int64)
 
 
 def doc_rows(found: np.ndarray, starts: np.ndarray, stops: np.ndarray, many: int) -> Iterator[tuple]:
@@ -109,7 +111,7 @@ def doc_rows(found: np.ndarray, starts: np.ndarray, stops: np.ndarray, many: int
     out = np.empty(len(found), RANGE)
     out["doc"], out["tie"], out["start"], out["stop"] = found["doc"], found["tie"], starts, stops
     out = joined(out)
-    yield from emit(SPAN, out, spread(out["doc"], many), many)
+    yield from emit(SPAN, out, spread(out["doc"], out["tie"], many), many)
 
 
 def joined(ranges: np.ndarray) -> np.ndarray:
@@ -237,7 +239,7 @@ def compare_hashes(length: int, many: int, hot: int):
             for k in ("h", "doc", "tie", "pos"):
                 want[k] = reps[k]
             want["hot"] = share > hot
-            yield from emit(ASK, want, spread(want["doc"], many), many)
+            yield from emit(ASK, want, spread(want["doc"], want["tie"], many), many)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return frame(rows(batches))
@@ -508,10 +510,10 @@ def pack(rows: DataFrame, carried: list[str], many: int) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
-                doc = part.column("doc").to_numpy()
+                doc, tie = part.column("doc").to_numpy(), part.column("tie").to_numpy()
                 n = part.num_rows
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(spread(doc, many)), pa.array([TEXT] * n, pa.int32()), pa.nulls(n, pa.binary()),
+                    [pa.array(spread(doc, tie, many)), pa.array([TEXT] * n, pa.int32()), pa.nulls(n, pa.binary()),
                      pa.array([squeeze(t.encode()) for t in part.column("text").to_pylist()], pa.binary()),
                      part.column("doc"), part.column("tie"), *[part.column(c) for c in carried]],
                     names=[*NAMES, "doc", "tie", *carried])

@@ -132,6 +132,11 @@ def test_op2_odd_documents(odd_docs, no_docs):
     assert kept.where("doc_id = 7").count() == 0
 
 
+def test_op2_texts_of_one_id_are_spread():
+    rows = np.full(4000, 7), np.arange(4000, dtype=np.uint16)
+    assert np.bincount(suffix_dedup.spread(*rows, 8), minlength=8).min() > 400
+
+
 def test_components(spark):
     rng = random.Random(2)
     edges = [(rng.randint(0, 300), rng.randint(0, 300)) for _ in range(200)] + [(1000 + i, 1001 + i) for i in range(40)]
