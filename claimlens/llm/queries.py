@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from claimlens.catalog.registry import Query
 from claimlens.llm import (
-    bpe, chat, decontaminate, html_text, language, licenses, ngram_join, suffix_dedup, token_shards,
-    topk,
+    bpe, chat, decontaminate, fill_in_middle, html_text, language, licenses, ngram_join, suffix_dedup,
+    token_shards, topk,
 )
 
 QUERIES: dict[str, Query] = {}
@@ -119,3 +119,21 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
     learnt = language.fit(docs.where(~held_out()))
     return language.predict(docs, learnt).select(
         "doc_id", held_out().alias("held_out"), "lang_pred", "score")
+
+
+@query("op13_fill_in_middle", """
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS x FROM documents),
+h AS (SELECT doc_id, t, length(t) AS n, CAST('0x' || x[1:8] AS BIGINT) AS h1, CAST('0x' || x[9:16] AS BIGINT) AS h2,
+  CAST('0x' || x[17:24] AS BIGINT) AS h3, CAST('0x' || x[25:32] AS BIGINT) AS h4 FROM d),
+c AS (SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+  CASE WHEN n = 0 OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 90 THEN 'plain'
+    WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM h)
+SELECT doc_id, n, form, CASE WHEN form != 'plain' THEN a END AS prefix_chars,
+  CASE WHEN form != 'plain' THEN b - a END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t
+    WHEN 'psm' THEN '<P>' || substring(t, 1, a) || '<S>' || substring(t, b + 1) || '<M>' || substring(t, a + 1, b - a)
+    ELSE '<S>' || substring(t, b + 1) || '<P>' || substring(t, 1, a) || '<M>' || substring(t, a + 1, b - a) END
+  ) AS output_sha256, sha256(t) AS restored_sha256 FROM c""")
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document in its fill-in-the-middle form, and restored from it."""
+    return fill_in_middle.fill_in_middle(table(spark, folder, "documents"))
