@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from claimlens.catalog.registry import Query
 from claimlens.llm import (
-    bpe, chat, decontaminate, fill_in_middle, html_text, language, licenses, ngram_join, suffix_dedup,
-    token_shards, topk,
+    bpe, chat, decontaminate, fill_in_middle, html_text, language, licenses, ngram_join, spelling,
+    suffix_dedup, token_shards, topk,
 )
 
 QUERIES: dict[str, Query] = {}
@@ -121,6 +121,41 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id", held_out().alias("held_out"), "lang_pred", "score")
 
 
+@query("op12_spelling_variants", r"""
+WITH RECURSIVE crc AS (SELECT list_transform(range(256), lambda i: list_reduce(range(8), lambda c, k:
+    xor(c >> 1, (c & 1) * 3988292384), i)) AS step),
+runs AS (SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS id, unnest(regexp_extract_all(
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-z\x{C0}-\x{FF}]+')) AS run
+  FROM documents),
+counted AS (SELECT run, length(run) AS k, count(*) AS n, encode(id || ':' || run) AS seen FROM runs
+  WHERE length(run) >= 7 GROUP BY id, run),
+hashed AS (SELECT run, k, n, xor(4294967295, list_reduce(list_transform(range(octet_length(seen)),
+    lambda i: CAST('0x' || substring(hex(seen), 2 * i + 1, 2) AS BIGINT)),
+    lambda c, b: xor(c >> 8, step[(xor(c, b) & 255) + 1]), 4294967295)) AS h FROM counted CROSS JOIN crc),
+cut AS (SELECT CASE WHEN h % 31 = 0 THEN substring(run, 1, h % k) || substring(run, h % k + 2) ELSE run END AS word, n
+  FROM hashed),
+words AS MATERIALIZED (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM cut WHERE length(word) >= 7 GROUP BY word HAVING sum(n) >= 2),
+gone AS MATERIALIZED (SELECT word, n, p, substring(word, 1, p) || substring(word, p + 2) AS rest
+  FROM (SELECT word, n, unnest(range(length(word))) AS p FROM words)),
+pairs AS (SELECT a.word, b.word AS near, b.n AS near_n FROM gone a JOIN gone b ON a.rest = b.rest AND a.p = b.p
+    AND a.word != b.word
+  UNION SELECT a.word, b.word, b.n FROM gone a JOIN words b ON a.rest = b.word
+  UNION SELECT b.word, a.word, a.n FROM gone a JOIN words b ON a.rest = b.word),
+best AS (SELECT word, count(*) AS n_near, max(near_n) AS form_n FROM pairs GROUP BY word),
+named AS (SELECT word, any_value(n_near) AS n_near, any_value(form_n) AS form_n, min(near) AS form
+  FROM best JOIN pairs USING (word) WHERE near_n = form_n GROUP BY word),
+judged AS MATERIALIZED (SELECT w.word, w.n, coalesce(n_near, 0) AS n_near,
+  CASE WHEN form_n >= 10 * w.n THEN form END AS form, CASE WHEN form_n >= 10 * w.n THEN form_n END AS form_n
+  FROM words w LEFT JOIN named USING (word)),
+way AS (SELECT word, word AS at FROM judged
+  UNION ALL SELECT way.word, judged.form FROM way JOIN judged ON way.at = judged.word WHERE judged.form IS NOT NULL)
+SELECT j.word, j.form, way.at AS root, j.n, j.n_near, j.form_n FROM judged j JOIN way USING (word)
+JOIN judged last ON last.word = way.at WHERE last.form IS NULL""")
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    """Words of all documents with their near words, forms and roots."""
+    return spelling.variants(table(spark, folder, "documents"))
+
+
 @query("op13_fill_in_middle", """
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS x FROM documents),
 h AS (SELECT doc_id, t, length(t) AS n, CAST('0x' || x[1:8] AS BIGINT) AS h1, CAST('0x' || x[9:16] AS BIGINT) AS h2,
