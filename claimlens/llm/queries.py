@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from claimlens.catalog.registry import Query
 from claimlens.llm import (
     bpe, chat, decontaminate, fill_in_middle, html_text, language, licenses, ngram_join, spelling,
-    suffix_dedup, token_shards, topk,
+    suffix_dedup, token_shards, topk, toxicity,
 )
 
 QUERIES: dict[str, Query] = {}
@@ -121,6 +121,18 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id", held_out().alias("held_out"), "lang_pred", "score")
 
 
+def unseen_label(doc_id: str = "doc_id"):
+    return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 3 == 1, F.lit(False))
+
+
+@query("op11_toxicity")
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    """Toxicity of every document, labels learnt from those that are not held out."""
+    docs = table(spark, folder, "documents")
+    classifier, _, _ = toxicity.fit(docs, table(spark, folder, "labels"), ~unseen_label())
+    return toxicity.score(docs, classifier).select("doc_id", unseen_label().alias("held_out"), "score", "predicted")
+
+
 @query("op12_spelling_variants", r"""
 WITH RECURSIVE crc AS (SELECT list_transform(range(256), lambda i: list_reduce(range(8), lambda c, k:
     xor(c >> 1, (c & 1) * 3988292384), i)) AS step),
