@@ -283,6 +283,7 @@ def refit(together: np.ndarray, totals: np.ndarray, trust: np.ndarray) -> LabelM
     free = np.minimum(-(size * own * np.log(own)).sum((0, 1, 2)), -(size * other * np.log(other)).sum((0, 1, 2)))
     gain = gain / free
     np.fill_diagonal(gain, -1)
+    gain[-1], gain[:, -1] = -1, -1  # the silence of all is made of the others and follows none
     follows = np.full(k, -1)
     linked = np.zeros(k, bool)
     best, source = np.full(k, FOLLOWS), np.full(k, -1)

@@ -57,7 +57,7 @@ def test_op11_odd_documents_no_labels(spark, odd_docs, no_docs):
 def test_op11_label_model_finds_accuracies_and_followers(spark):
     rng = np.random.default_rng(5)
     toxic = rng.random(20_000) < 0.1
-    speaks = [np.where(toxic, rng.random(20_000) < 0.6, rng.random(20_000) < e) for e in (0.001, 0.002, 0.03)]
+    speaks = [np.where(toxic, rng.random(20_000) < 0.6, rng.random(20_000) < e) for e in (0.001, 0.002, 0.004)]
     copy = speaks[0] & (rng.random(20_000) < 0.98)
     words = np.stack([*speaks, copy], 1)
     rest = np.zeros((20_000, len(toxicity.PATTERNS)), bool)
