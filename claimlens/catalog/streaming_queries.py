@@ -13,8 +13,12 @@ from claimlens.catalog.dataset_queries import _CHECKED
 from claimlens.catalog.decision_queries import DETECT_COLUMNS, DETECT_SQL
 from claimlens.catalog.registry import query
 from claimlens.session import work_dir
+from claimlens.streaming import late as lt
 from claimlens.streaming import requests as st
 
+ROUNDS = 8
+LATE = "7 days"
+
 
 def stream(spark, d, name):
     """One table of the folder as a file stream."""
@@ -52,19 +56,85 @@ def _(spark, d):
     return tidy(st.stream_summary(v.requests(spark, d)))
 
 
-@query("stream_summary", _WINDOWS)
+# Events arrive in rounds by event time; every sixteenth comes two rounds after its time.
+_ARRIVALS = {
+    "arrivals": """select *, ((epoch_us(ts) - lo) * 5) // (hi - lo + 1)
+      + case when event_id % 16 = 0 then 2 else 0 end as round
+      from requests, (select epoch_us(min(ts)) as lo, epoch_us(max(ts)) as hi from events)""",
+    "marks": """select round, max(max(ts)) over (order by round rows between unbounded preceding and 1 preceding)
+      - interval 7 day as mark from arrivals group by round""",
+    "judged": """select a.*, coalesce(ts < mark, false) as is_late from arrivals a join marks using (round)""",
+}
+
+
+def arrivals(spark, d):
+    """Events with the round they arrive in."""
+    events = st.with_event_time(v.table(spark, d, "events"))
+    at = F.unix_micros("ts")
+    ends = events.agg(F.min(at).alias("lo"), F.max(at).alias("hi")).first()
+    lo, hi = ends.lo or 0, ends.hi or 0
+    delay = F.when(F.col("event_id") % 16 == 0, F.lit(2)).otherwise(F.lit(0))
+    return events.withColumn("round", F.expr(f"(unix_micros(ts) - {lo}L) * 5 div {hi - lo + 1}L") + delay)
+
+
+def in_rounds(spark, rows, out, job):
+    """Write the rows round by round; after each the stream goes on from its checkpoint with the new files."""
+    for k in range(ROUNDS):
+        rows.where(F.col("round") == k).drop("round").write.mode("append").parquet(f"{out}/in")
+        files = spark.readStream.schema(rows.drop("round").schema).parquet(f"{out}/in")
+        found = job(files)
+    return found
+
+
+@query("stream_summary", q.with_views(
+    f"""select date_trunc('day', ts) as window_start, decision, count(*) as n,
+        count(*) filter (is_late) as n_late,
+        {q.rnd(q.mean('hallucination_score'), 6)} as avg_score,
+        max(hallucination_score) as max_score, count(is_correct) as n_with_gold,
+        count(*) filter (is_correct) as n_correct from judged group by 1, 2""", **_ARRIVALS))
 def _(spark, d):
-    rows = st.stream_summary(v.event_requests(stream(spark, d, "events")))
     out = work_dir(spark, "summary")
-    return tidy(st.run_summary(rows, f"{out}/table", f"{out}/checkpoint"))
+    rows = in_rounds(spark, arrivals(spark, d), out, lambda files: lt.run_windows(
+        v.event_requests(files), f"{out}/table", f"{out}/checkpoint", late=LATE))
+    return tidy(rows.drop("p50", "p95"))
 
 
-@query("stream_dedupe", "select event_id, user_id from events")
+@query("stream_percentiles", q.with_views(
+    """select date_trunc('day', ts) as window_start, decision, count(*) as n, true as p50_within,
+        true as p95_within from requests group by 1, 2"""))
+def _(spark, d):
+    """Whether the quantiles of merged sketches have the rank they should, within the stated error."""
+    out = work_dir(spark, "percentiles")
+    shares = {"p50": 0.5, "p95": 0.95}
+    rows = in_rounds(spark, arrivals(spark, d), out, lambda files: lt.run_windows(
+        v.event_requests(files), f"{out}/table", f"{out}/checkpoint", late=LATE, shares=shares))
+    all_rows = v.event_requests(st.with_event_time(v.table(spark, d, "events"))).withColumn(
+        "window_start", F.window("ts", "1 day")["start"])
+    both = all_rows.join(rows.select("window_start", "decision", *shares), ["window_start", "decision"])
+    x = F.col("hallucination_score")
+    within = [((F.avg((x < F.col(name)).cast("int")) - lt.RANK_ERROR <= p)
+               & (F.avg((x <= F.col(name)).cast("int")) + lt.RANK_ERROR >= p)).alias(f"{name}_within")
+              for name, p in shares.items()]
+    checked = both.groupBy("window_start", "decision").agg(F.count("*").alias("n"), *within)
+    return checked.withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
+
+
+@query("stream_dedupe", """with copies as (select event_id, user_id, ts, copy,
+    ((epoch_us(ts) - lo) * 5) // (hi - lo + 1) + case when event_id % 16 = 0 then 2 else 0 end
+      + case when event_id % 4 = 0 then copy else 0 end as round
+  from events, (select epoch_us(min(ts)) as lo, epoch_us(max(ts)) as hi from events), (values (0), (1)) t(copy)),
+  marks as (select round, max(max(ts)) over (order by round rows between unbounded preceding and 1 preceding)
+    - interval 7 day as mark from copies group by round),
+  judged as (select c.*, coalesce(ts < mark, false) as is_late from copies c join marks using (round))
+  select event_id, user_id, 'kept' as outcome from judged where not is_late group by 1, 2
+  union all select event_id, user_id, 'late' from judged where is_late""")
 def _(spark, d):
-    events = st.with_event_time(stream(spark, d, "events"))
-    twice = events.withColumn("copy", F.explode(F.array(F.lit(1), F.lit(2)))).drop("copy")
-    unique = st.stream_dedupe(twice, "event_id")
-    return run(spark, unique.select("event_id", "user_id"), "dedupe")
+    out = work_dir(spark, "dedupe")
+    twice = arrivals(spark, d).withColumn("copy", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn(
+        "round", F.col("round") + F.when(F.col("event_id") % 4 == 0, F.col("copy")).otherwise(0))
+    rows = in_rounds(spark, twice.drop("copy"), out, lambda files: lt.run_dedupe(
+        files, f"{out}/table", f"{out}/checkpoint", "event_id", late=LATE))
+    return rows.select("event_id", "user_id", "outcome")
 
 
 @query(

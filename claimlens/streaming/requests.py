@@ -28,7 +28,11 @@ def stream_detect(requests: DataFrame, **options) -> DataFrame:
 def stream_summary(decisions: DataFrame, ts: str = "ts", window: str = "1 day",
                    slide: str | None = None, late: str = "1 hour",
                    keys: tuple[str, ...] = ("decision",)) -> DataFrame:
-    """Count, mean and maximum score and accuracy per time window and key."""
+    """Count, mean and maximum score and accuracy per time window and key.
+
+    On a stream, rows behind the watermark are dropped by the engine once state crosses batches;
+    ``late.run_windows`` keeps and counts them.
+    """
     bounded = decisions
     if decisions.isStreaming:
         bounded = decisions.withWatermark(ts, late)
@@ -47,7 +51,10 @@ def stream_summary(decisions: DataFrame, ts: str = "ts", window: str = "1 day",
 
 def stream_dedupe(requests: DataFrame, id_col: str = "id", ts: str = "ts",
                   late: str = "1 hour") -> DataFrame:
-    """First arrival per id within the watermark; state is dropped once it has passed."""
+    """First arrival per id within the watermark; state is dropped once it has passed.
+
+    Rows behind the watermark are dropped too; ``late.run_dedupe`` reports them in a side table.
+    """
     return requests.withWatermark(ts, late).dropDuplicatesWithinWatermark([id_col])
 
 
@@ -79,7 +86,7 @@ def run_summary(stream: DataFrame, path: str, checkpoint: str,
                 keys: tuple[str, ...] = ("decision",)) -> DataFrame:
     """Process everything available; returns all windows, also those still open at the end.
 
-    Each batch writes the windows it changed to a folder of its own, which a repeated batch
+    Rows that the watermark has passed are not in them (see ``late.run_windows``).  Each batch writes the windows it changed to a folder of its own, which a repeated batch
     replaces; of a window the newest batch counts.  State stays bounded by the watermark.
     """
 
