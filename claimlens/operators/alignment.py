@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from claimlens import fixed_values as fv
-from claimlens.functions.arrays import let
 from claimlens.functions.claims import sentence_spans
 from claimlens.functions.labels import label_dim
 from claimlens.functions.numbers import ratio, round_to
@@ -14,32 +15,83 @@ from claimlens.functions.text import jaccard, plain_tokens, strip
 from claimlens.session import cut_lineage
 
 
-def span_label(start: Column, end: Column, spans: Column) -> Column:
-    """Label of a text range from the first listed span that overlaps it."""
-    hit = F.get(
-        F.filter(
-            spans, lambda s: F.greatest(start, s["start"]) < F.least(end, s["end"])
-        ),
-        F.lit(0),
-    )
-    return let(
-        hit,
-        lambda h: F.when(h.isNull(), F.lit("supported"))
-        .when(h["label"] == fv.CONFLICT_SPAN_LABEL, F.lit("contradicted"))
-        .otherwise(F.lit("neutral")),
-    )
+OPEN_END = 2**31 - 1
+
+
+def first_overlaps(start: np.ndarray, end: np.ndarray, span_start: np.ndarray, span_end: np.ndarray,
+                   place: np.ndarray) -> np.ndarray:
+    """Least ``place`` of the spans that overlap each of the ranges, which follow each other; -1 for none.
+
+    A span meets consecutive ranges, found by bisection.  Their number is covered by two runs of a
+    power of two, and each run keeps the least place of its spans; from the longest runs down every
+    run hands its place to its halves.  That is (ranges + spans) * log(ranges), not their product.
+    """
+    n = len(start)
+    none = np.iinfo(np.int64).max
+    low = np.searchsorted(end, span_start, "right")
+    high = np.searchsorted(start, span_end, "left")
+    real = (high > low) & (span_end > span_start)
+    low, high, place = low[real], high[real], place[real]
+    if not len(low):
+        return np.full(n, -1)
+    level = np.frexp(high - low)[1] - 1
+    best = np.full(n, none)
+    for k in range(int(level.max()), -1, -1):
+        own = level == k
+        np.minimum.at(best, low[own], place[own])
+        np.minimum.at(best, high[own] - (1 << k), place[own])
+        if k:
+            half = 1 << (k - 1)
+            best[half:] = np.minimum(best[half:], best[:-half])
+    return np.where(best == none, -1, best)
+
+
+def overlap_labels(ranges: Column, spans: Column) -> Column:
+    """Array with the label of each range, from the first listed span that overlaps it.
+
+    The ranges of a row (start, end, start, end, ...) are sorted and disjoint.  Only numbers go to Python, and the rows of a
+    batch are laid end to end, so a batch is one call whatever the sizes of its rows.
+    """
+    names = np.array(["supported", "neutral", "contradicted"], object)
+
+    @F.pandas_udf("array<string>")
+    def labels(ranges: pd.Series, a: pd.Series, b: pd.Series, conflict: pd.Series) -> pd.Series:
+        def flat(lists: pd.Series) -> tuple[np.ndarray, np.ndarray]:
+            sizes = np.array([0 if x is None else len(x) for x in lists], np.int64)
+            full = [np.asarray(x, np.int64) for x in lists if x is not None and len(x)]
+            return np.concatenate(full) if full else np.zeros(0, np.int64), sizes
+
+        (both, n), (span_start, m), (span_end, _), (kind, _) = map(flat, (ranges, a, b, conflict))
+        start, end, n = both[::2], both[1::2], n // 2
+        # rows are moved apart, so that no span reaches the next row
+        low = min(0, int(start.min(initial=0)), int(span_start.min(initial=0)))
+        wide = max(int(end.max(initial=0)), int(span_end.max(initial=0))) - low + 1
+        move, span_move = np.repeat(np.arange(len(n)) * wide - low, n), np.repeat(np.arange(len(m)) * wide - low, m)
+        hit = first_overlaps(start + move, end + move, span_start + span_move, span_end + span_move, np.arange(len(kind)))
+        found = names[np.append(kind + 1, 0)[hit]]
+        return pd.Series(np.split(found, np.cumsum(n)[:-1]))
+
+    known = F.filter(spans, lambda s: s.isNotNull())
+    return labels(
+        ranges, F.transform(known, lambda s: F.coalesce(s["start"].cast("bigint"), F.lit(0))),
+        F.transform(known, lambda s: F.coalesce(s["end"].cast("bigint"), F.lit(OPEN_END))),
+        F.transform(known, lambda s: F.coalesce((s["label"] == fv.CONFLICT_SPAN_LABEL).cast("int"), F.lit(0))))
 
 
 def label_sentences(df: DataFrame, text: str = "answer", spans: str = "labels") -> DataFrame:
-    """One row per sentence with its label.
+    """One row per sentence with its label, that of the first listed span that overlaps it.
 
-    Spans belong to the record, so the interval join is a filter over the row's own array.
+    Spans belong to the record, so the interval join is one over the row's own arrays; its work
+    grows with sentences plus spans, not with their product.  A span without a start or an end is
+    open there; null spans mark nothing.
     """
-    rows = df.select("*", F.posexplode(sentence_spans(F.col(text))).alias("sentence_index", "_s"))
+    cut = df.withColumn("__cut", sentence_spans(F.col(text)))
+    ranges = F.flatten(F.transform("__cut", lambda s: F.array(s["start"].cast("bigint"), s["end"].cast("bigint"))))
+    placed = cut.withColumn("__label", overlap_labels(ranges, F.col(spans)))
+    rows = placed.select(*df.columns, F.posexplode(F.arrays_zip("__cut", "__label")).alias("sentence_index", "__s"))
     return rows.select(
-        *df.columns, "sentence_index", F.col("_s.start").alias("start"),
-        F.col("_s.end").alias("end"), F.col("_s.sentence").alias("claim"),
-        span_label(F.col("_s.start"), F.col("_s.end"), F.col(spans)).alias("label"),
+        *df.columns, "sentence_index", F.col("__s.__cut.start").alias("start"), F.col("__s.__cut.end").alias("end"),
+        F.col("__s.__cut.sentence").alias("claim"), F.col("__s.__label").alias("label"),
     )
 
 

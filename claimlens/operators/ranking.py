@@ -7,11 +7,14 @@ in one task.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from claimlens.session import cut_lineage
+
 PREFIX = 4
 
 
@@ -89,42 +92,61 @@ def exact_rank(df: DataFrame, key: str, group: str | None = None,
     )
 
 
+def _octave_slice(x: Column) -> Column:
+    """Slice number that grows with x: 32 slices for every power of two, of either sign."""
+    size = F.floor(F.log2(F.abs(x)) * 32).cast("int") + 40_000
+    return F.when(x == 0, 0).when(x > 0, size).otherwise(-size)
+
+
 def percentiles(df: DataFrame, value: str, shares: dict[str, float], buckets: int = 65_536) -> DataFrame:
     """One row of exact percentiles with linear interpolation; null without values.
 
-    Values are counted in equal slices of their range; only slices that hold a wanted position
-    are looked into, there by distinct value.  No task ever holds all values.
+    Distinct values are counted once and written.  They are sliced by powers of two, so that an
+    outlier takes its own slice and leaves the others alone; the slices that hold a wanted position
+    are cut into ``buckets`` equal parts, and those parts once more.  A double has 52 bits after its
+    power of two: 5 are told apart by the first cut and 16 by each other one, so what is left to
+    sort has at most 2 ** 15 distinct values, whatever the values are.  Each cut is a job over the
+    written values that returns two rows for each percentile.
     """
     rows = df.where(F.col(value).isNotNull()).select(F.col(value).cast("double").alias("x"))
-    edge = as_scalar(rows.agg(F.min("x").alias("lo"), F.max("x").alias("hi"), F.count("*").alias("n")))
-    width = (edge["hi"] - edge["lo"]) / buckets
-    at = F.when(width > 0, F.least(F.floor((F.col("x") - edge["lo"]) / width), F.lit(buckets - 1))).otherwise(0)
-    sliced = rows.withColumn("bucket", at)
-    counts = sliced.groupBy("bucket").agg(F.count("*").alias("n"))
-    upto = counts.withColumn("upto", F.sum("n").over(
-        Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)))
-    wanted = F.array(*[
-        F.struct(F.lit(name).alias("name"), F.lit(side).alias("side"),
-                 fn(F.lit(share) * (edge["n"] - 1)).cast("bigint").alias("k"))
-        for name, share in shares.items() for side, fn in (("low", F.floor), ("high", F.ceil))
-    ])
-    # a handful of rows: two for each percentile
-    targets = F.broadcast(
-        upto.select("bucket", "n", "upto", F.explode(wanted).alias("w"))
-        .where((F.col("w.k") >= F.col("upto") - F.col("n")) & (F.col("w.k") < F.col("upto")))
-        .select("bucket", "w.name", "w.side", (F.col("w.k") - F.col("upto") + F.col("n")).alias("at")))
-    own = sliced.join(targets.select("bucket").distinct(), "bucket", "left_semi").groupBy("bucket", "x").agg(
-        F.count("*").alias("c"))
-    inside = own.withColumn("end", F.sum("c").over(
-        Window.partitionBy("bucket").orderBy("x").rowsBetween(Window.unboundedPreceding, 0)))
-    found = inside.join(targets, "bucket").where(
-        (F.col("at") >= F.col("end") - F.col("c")) & (F.col("at") < F.col("end")))
-
-    def one(name: str, share: float) -> Column:
-        def side(which: str) -> Column:
-            return F.max(F.when((F.col("name") == name) & (F.col("side") == which), F.col("x")))
-
-        place = F.lit(share) * (F.max("n") - 1)
-        return (side("low") + (side("high") - side("low")) * (place - F.floor(place))).alias(name)
-
-    return found.withColumn("n", edge["n"]).agg(*[one(n, p) for n, p in shares.items()])
+    counted = cut_lineage(rows.groupBy("x").agg(F.count("*").alias("c")), "values")
+    total = counted.agg(F.sum("c")).first()[0]
+    if total is None:
+        return df.sparkSession.range(1).select(*[F.lit(None).cast("double").alias(n) for n in shares])
+    wanted = {int(fn(p * (total - 1))) for p in shares.values() for fn in (math.floor, math.ceil)}
+    # least and greatest value of a slice, values before it, positions in it
+    slices = [(None, None, 0, sorted(wanted))]
+    for level in range(3):
+        if level == 0:
+            part = _octave_slice(F.col("x"))
+        else:
+            part = F.lit(None).cast("bigint")
+            for i, (lo, hi, _, _) in enumerate(slices):
+                width = (hi - lo) / buckets
+                inside = F.least(F.floor((F.col("x") - lo) / width), F.lit(buckets - 1)) if 0 < width < math.inf else F.lit(0)
+                part = F.when(F.col("x").between(lo, hi), inside.cast("bigint")).otherwise(part)
+        slices = _holding(counted, slices, part)
+    values = {k: x for x, _, _, own in _holding(counted, slices, F.col("x")) for k in own}
+
+    def one(share: float) -> float:
+        place = share * (total - 1)
+        low, high = values[math.floor(place)], values[math.ceil(place)]
+        return low + (high - low) * (place - math.floor(place)) if high != low else low
+
+    return df.sparkSession.range(1).select(*[F.lit(one(p)).alias(n) for n, p in shares.items()])
+
+
+def _holding(counted: DataFrame, slices: list[tuple], key: Column) -> list[tuple]:
+    """The parts by ``key`` of the slices that hold one of their positions: few rows, however many parts."""
+    which, offset, positions = F.lit(None).cast("int"), [], []
+    for i, (lo, hi, before, own) in enumerate(slices):
+        which = F.lit(0) if lo is None else F.when(F.col("x").between(lo, hi), i).otherwise(which)
+        offset.append(F.lit(before).cast("bigint"))
+        positions += own
+    counts = counted.select("x", "c", which.alias("slice"), key.alias("part")).where("slice is not null").groupBy(
+        "slice", "part").agg(F.sum("c").alias("c"), F.min("x").alias("lo"), F.max("x").alias("hi"))
+    ahead = F.sum("c").over(Window.partitionBy("slice").orderBy("part").rowsBetween(Window.unboundedPreceding, 0))
+    upto = counts.withColumn("end", ahead + F.get(F.array(*offset), F.col("slice"))).withColumn("begin", F.col("end") - F.col("c"))
+    holds = F.exists(F.array(*map(F.lit, positions)), lambda k: (k >= F.col("begin")) & (k < F.col("end")))
+    return [(r.lo, r.hi, r.begin, [k for k in positions if r.begin <= k < r.end])
+            for r in upto.where(holds).select("lo", "hi", "begin", "end").orderBy("begin").collect()]
