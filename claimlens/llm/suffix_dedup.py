@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from claimlens.llm.suffix_array import earlier_matches
-from claimlens.llm.texts import mix, powers, prefix_hashes, row_key, slices, span_hashes, stored
+from claimlens.llm.texts import mix, powers, prefix_hashes, slices, span_hashes, stored
 
 LENGTH = 100
 ANCHOR = 40
@@ -30,11 +30,11 @@ SPAN, ASK, TEXT, WINDOW = 0, 1, 2, 3
 
 # One occurrence: anchor and context hash, place of its document in the order, position in it,
 # and how many bytes of context there are before and from the anchor on.
-FOUND = np.dtype([("h", "<u8"), ("c", "<u8"), ("doc", "<i8"), ("tie", "<u2"), ("pos", "<u4"),
+FOUND = np.dtype([("h", "<u8"), ("c", "<u8"), ("doc", "<i8"), ("tie", "<i8"), ("pos", "<u4"),
                   ("left", "u1"), ("right", "u1")])
-RANGE = np.dtype([("doc", "<i8"), ("tie", "<u2"), ("start", "<u4"), ("stop", "<u4")])
-WANT = np.dtype([("h", "<u8"), ("doc", "<i8"), ("tie", "<u2"), ("pos", "<u4"), ("hot", "u1")])
-STRING = np.dtype([("w", "<u8"), ("v", "<u8"), ("doc", "<i8"), ("tie", "<u2"), ("start", "<u4")])
+RANGE = np.dtype([("doc", "<i8"), ("tie", "<i8"), ("start", "<u4"), ("stop", "<u4")])
+WANT = np.dtype([("h", "<u8"), ("doc", "<i8"), ("tie", "<i8"), ("pos", "<u4"), ("hot", "u1")])
+STRING = np.dtype([("w", "<u8"), ("v", "<u8"), ("doc", "<i8"), ("tie", "<i8"), ("start", "<u4")])
 ROW = "bucket long, kind int, data binary, bytes binary"
 NAMES = ["bucket", "kind", "data", "bytes"]
 
@@ -460,7 +460,8 @@ def removed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length:
     remaining characters (a character goes if any of its bytes does).  Texts count as UTF-8; null is
     empty; matches never cross documents.  Documents are ordered by the key, an integer (null
     first), and repeated rows are one document: they do not repeat each other, and each gets its
-    result.  Rows of one key and different texts are ordered by a hash of the text.
+    result.  Rows of one key and different texts are told apart and ordered by a
+    64-bit hash of the text.
 
     Shuffles: anchors by hash (of equal contexts one per task buffer), documents twice with their
     texts compressed, contexts of anchors that do not settle themselves.  An anchor with more
@@ -484,18 +485,18 @@ def judged(docs: DataFrame, doc_id: str, text: str, length: int, anchor: int, ke
     rows = docs.select(*[F.col(c).alias(f"k{i}") for i, c in enumerate(kept)],
                        F.coalesce(F.col(doc_id).cast("long"), F.lit(-(1 << 63)).cast("long")).alias("doc"),
                        F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
-    rows = rows.withColumn("tie", F.pmod(row_key("text"), F.lit(1 << 16)).cast("int"))
+    rows = rows.withColumn("tie", F.xxhash64("text"))
     found = rows.select("doc", "tie", "text").mapInArrow(find_anchors(length, anchor, many), ROW)
     settled = stored(ordered(found, many).mapInArrow(compare_hashes(length, many, hot), ROW), "anchors")
     carried = [c for c in rows.columns if c.startswith("k")]
     packed = pack(rows, carried, many)
-    asked = settled.where(f"kind = {ASK}").withColumns({"doc": F.lit(0).cast("long"), "tie": F.lit(0)})
+    asked = settled.where(f"kind = {ASK}").withColumns({"doc": F.lit(0).cast("long"), "tie": F.lit(0).cast("long")})
     answers = ordered(packed.select(*NAMES, "doc", "tie").union(asked.select(*NAMES, "doc", "tie")), many).mapInArrow(
         cut_contexts(length, anchor, many), ROW)
     more = ordered(answers, many).mapInArrow(compare_contexts(length, anchor, many), ROW)
     spans = settled.where(f"kind = {SPAN}").union(more)
     nothing = {c: F.lit(None).cast(rows.schema[c].dataType) for c in carried} | {
-        "doc": F.lit(0).cast("long"), "tie": F.lit(0)}
+        "doc": F.lit(0).cast("long"), "tie": F.lit(0).cast("long")}
     both = packed.select(*NAMES, "doc", "tie", *carried).union(
         spans.withColumns(nothing).select(*NAMES, "doc", "tie", *carried))
     kinds = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in carried)
@@ -519,7 +520,7 @@ def pack(rows: DataFrame, carried: list[str], many: int) -> DataFrame:
                     names=[*NAMES, "doc", "tie", *carried])
 
     kinds = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in carried)
-    return rows.select("doc", "tie", "text", *carried).mapInArrow(work, f"{ROW}, doc long, tie int, {kinds}")
+    return rows.select("doc", "tie", "text", *carried).mapInArrow(work, f"{ROW}, doc long, tie long, {kinds}")
 
 
 def apply_spans(carried: list[str], with_text: bool):

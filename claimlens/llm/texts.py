@@ -146,7 +146,9 @@ def word_shingles(data: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.
 
 def row_key(*columns: Column | str) -> Column:
     """64-bit identity of a row; equal rows share it, nulls count as values."""
-    return F.xxhash64(*columns)
+    every = [F.col(c) if isinstance(c, str) else c for c in columns]
+    # the hash alone skips nulls, so (null, 'a') and ('a', null) would be one
+    return F.xxhash64(*[x for c in every for x in (c.isNull(), c)])
 
 
 def stored(df: DataFrame, purpose: str) -> DataFrame:

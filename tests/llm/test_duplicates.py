@@ -207,3 +207,20 @@ def test_op3_odd_documents(odd_docs, no_docs):
     texts = [r.text for r in kept.where("doc_id IN (1, 4, 5, 6, 7)").collect()]
     assert sorted(t[:5] for t in texts) == ["The q", "other", "same ", "word0"]
     assert ngram_join.join(no_docs).count() == 0 and ngram_join.one_of_each(no_docs).count() == 0
+
+
+def test_op2_many_texts_of_one_id(spark):
+    """Texts of one id are told apart by more than 16 bits: none loses what another repeats."""
+    from pyspark.sql import functions as F
+
+    rng = random.Random(11)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    passage = ["".join(rng.choices(letters, k=150)) for _ in range(30)]
+    texts = ["".join(rng.choices(letters, k=180)) for _ in range(2_500)]
+    texts += [rng.choice(passage) + "".join(rng.choices(letters, k=60)) for _ in range(2_500)]
+    docs = spark.createDataFrame([(None, t) for t in texts], "doc_id long, text string").repartition(7)
+    order = [r.text for r in docs.select("text", F.xxhash64("text").alias("h")).orderBy("h").collect()]
+    want = brute_removed([(None, t) for t in order])
+    got = suffix_dedup.removed(docs, keep=["text"]).collect()
+    assert len(got) == len(texts)
+    assert {(None, r.text): (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got} == want

@@ -144,3 +144,18 @@ def test_op9_common_texts(spark):
 def test_op9_runs_no_python(spark, sf_dir):
     plan = queries.op9(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_op4_nulls_beside_texts_in_any_number_of_parts(spark):
+    from claimlens.llm import decontaminate
+
+    docs = spark.createDataFrame([(None, "alpha"), ("alpha", None), (None, None), ("beta", "alpha beta"), (None, "alpha")],
+                                 "doc_id string, text string")
+    items = spark.createDataFrame([("1", "alpha"), ("2", "beta"), ("3", "gamma delta")], "item_id string, text string")
+    results = []
+    for part_bytes in (1 << 20, 6, 1):
+        rows = decontaminate.matches(docs, items, part_bytes=part_bytes).collect()
+        results.append(sorted((str(r.doc_id), str(r.text), r.n_words, str(r.hits), str(r["items"])) for r in rows))
+    assert results[0] == results[1] == results[2]
+    assert [x for x in results[0] if x[:2] == ("alpha", "None")] == [("alpha", "None", 0, "[]", "[]")]
+    assert sum(x == ("None", "alpha", 1, "[[0, 1]]", "['1']") for x in results[0]) == 2
