@@ -8,6 +8,7 @@ import re
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 from heapq import heapify, heappop, heappush
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -18,7 +19,10 @@ from pyspark.sql import functions as F
 # Fixed value: the public pre-token pattern of byte-level BPE.
 PRE_TOKENS = (r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+"
               r"|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+")
-CACHE_ENTRIES = 400_000
+# A store holds strings of up to LONG characters and is cut back beyond STORE_BYTES (keys, ids and ENTRY_BYTES each).
+STORE_BYTES = 100 << 20
+ENTRY_BYTES = 220
+LONG = 1_000
 
 
 def byte_symbols() -> list[str]:
@@ -29,12 +33,47 @@ def byte_symbols() -> list[str]:
     return [table[b] for b in range(256)]
 
 
+class Store(dict[str, bytes]):
+    """Ids of strings, bounded by bytes.
+
+    Once full it keeps the quarter that came first, as common strings come early, and fills the
+    rest anew.  Long strings are not kept.
+    """
+
+    def __init__(self, limit: int | None = None):
+        super().__init__()
+        self.limit = limit or STORE_BYTES
+        self.held = 0
+
+    def fits(self, found: dict[str, bytes]) -> bool:
+        """Whether all of it can be kept and nothing need go for it."""
+        return max(map(len, found), default=0) <= LONG and self.held + weight(found) <= self.limit
+
+    def keep(self, found: dict[str, bytes]) -> None:
+        if not self.fits(found):
+            found = {k: v for k, v in found.items() if len(k) <= LONG}
+            if not self.fits(found):
+                first = dict(islice(self.items(), len(self) // 4))
+                self.clear()
+                self.update(first)
+                self.held = weight(first)
+                if not self.fits(found):
+                    return
+        self.update(found)
+        self.held += weight(found)
+
+
+def weight(entries: dict[str, bytes]) -> int:
+    """About the bytes that strings and their ids take; a character counts as four."""
+    return ENTRY_BYTES * len(entries) + 4 * sum(map(len, entries)) + sum(map(len, entries.values()))
+
+
 class PieceEncoder:
     """Encodes whole texts from remembered pieces.
 
     A space between two other characters that are not white space always begins a pre-token,
     so texts fall into pieces there.  Pieces repeat: each distinct piece is cut into pre-tokens
-    once, each distinct pre-token is encoded once, until a store is full and starts anew.
+    once, each distinct pre-token is encoded once, as long as the stores remember it.
     ``encode_words`` maps pre-tokens to their ids as little-endian unsigned 32-bit bytes.
     """
 
@@ -46,23 +85,22 @@ class PieceEncoder:
         self.find = regex.compile(PRE_TOKENS).findall
         self.split = re.compile(r"(?<=\S) (?=\S)").split
         self.double = re.compile(r"\s\s").search
-        self.pieces: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {}
+        self.pieces, self.words = Store(), Store()
 
-    def learn(self, missing: list[str]) -> None:
-        """Remember pieces; the key is the piece without the space before it."""
+    def encode_pieces(self, missing: list[str]) -> dict[str, bytes]:
+        """Ids of pieces; the key is the piece without the space before it."""
         plain, other = [], []  # plain: one pre-token, a space and letters
         for p in missing:
             (plain if p.isalpha() else other).append(p)
-        self.pieces.update(zip(plain, self.encode_words([" " + p for p in plain]), strict=True))
+        found = dict(zip(plain, self.encode_words([" " + p for p in plain]), strict=True))
         cut = {p: self.find(" " + p) for p in other}
-        new = [*{w for ws in cut.values() for w in ws if w not in self.words}]
-        if len(self.words) + len(new) > CACHE_ENTRIES:
-            self.words.clear()
-            new = [*{w for ws in cut.values() for w in ws}]
-        self.words.update(zip(new, self.encode_words(new), strict=True))
-        get = self.words.__getitem__
-        self.pieces.update((p, b"".join(map(get, ws))) for p, ws in cut.items())
+        own = {w: self.words.get(w) for ws in cut.values() for w in ws}
+        new = [w for w, ids in own.items() if ids is None]
+        learnt = dict(zip(new, self.encode_words(new), strict=True))
+        self.words.keep(learnt)
+        own.update(learnt)
+        found.update((p, b"".join(map(own.__getitem__, ws))) for p, ws in cut.items())
+        return found
 
     def heads(self, pieces: list[str]) -> list[bytes]:
         """Ids of the pieces that begin texts, which have no space before them."""
@@ -74,15 +112,15 @@ class PieceEncoder:
     def plain(self, texts: list[str]) -> list[bytes]:
         cut = [t.split(" ") if t and not self.double(t) and t[0] != " " and t[-1] != " "
                else self.split(t) for t in texts]
-        wanted = {p for parts in cut for p in parts[1:]}
-        missing = [p for p in wanted if p not in self.pieces]
-        if len(self.pieces) + len(missing) > CACHE_ENTRIES:
-            self.pieces.clear()
-            missing = [*wanted]
-        self.learn(missing)
+        heads = self.heads([parts.pop(0) for parts in cut])
+        wanted: set[str] = set().union(*cut)
+        found = self.encode_pieces([*wanted.difference(self.pieces)])
         get = self.pieces.__getitem__
-        heads = self.heads([parts[0] for parts in cut])
-        return [head + b"".join(map(get, parts[1:])) for head, parts in zip(heads, cut, strict=True)]
+        if not self.pieces.fits(found):
+            # the store may drop what these texts need
+            get = ({p: self.pieces[p] for p in wanted if p in self.pieces} | found).__getitem__
+        self.pieces.keep(found)
+        return [head + b"".join(map(get, parts)) for head, parts in zip(heads, cut, strict=True)]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit bytes."""

@@ -19,7 +19,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from claimlens.llm.bpe import PieceEncoder
+from claimlens.llm import bpe
+from claimlens.llm.bpe import PieceEncoder, Store
 from claimlens.session import work_dir
 
 SHARD_BYTES = 4 << 20
@@ -74,9 +75,40 @@ def find_slot(seeds: np.ndarray, slots: np.ndarray, key: bytes) -> int:
     return slot if int(slots[slot]["fingerprint"]) == hashed(key, 1 << 32) >> 32 else -1
 
 
+class LibraryEncoder(PieceEncoder):
+    """The tokenizers library encodes each distinct piece of a worker once, many in one text.
+
+    Pieces neither begin nor end with white space, so a form feed between " a" and " b" is a
+    pre-token of its own and one id; pieces that hold one are cut into pre-tokens here.
+    """
+
+    GAP = "\f"
+    RUN = 512
+
+    def __init__(self, tokenizer):
+        self.tokenizer = tokenizer
+        self.gap, = self.ids([self.GAP])[0]
+        super().__init__(lambda words: [w.tobytes() for w in self.ids(words)],
+                         {t.content: i for i, t in tokenizer.get_added_tokens_decoder().items()})
+        self.pieces = Store(2 * bpe.STORE_BYTES)  # few words are met outside of pieces
+
+    def ids(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def encode_pieces(self, missing: list[str]) -> dict[str, bytes]:
+        odd = [p for p in missing if self.GAP in p] if self.GAP in "".join(missing) else []
+        plain = [p for p in missing if self.GAP not in p] if odd else missing
+        found = super().encode_pieces(odd) if odd else {}
+        runs = [plain[i:i + self.RUN] for i in range(0, len(plain), self.RUN)]
+        for run, ids in zip(runs, self.ids([" " + f"{self.GAP} ".join(r) for r in runs]), strict=True):
+            data, at = ids.tobytes(), (np.flatnonzero(ids == self.gap) * 4).tolist()
+            found.update(zip(run, [data[a:b] for a, b in zip([0, *(a + 4 for a in at)], [*at, len(data)],
+                                                             strict=True)], strict=True))
+        return found
+
+
 @lru_cache(maxsize=2)
-def library_encoder(file: str) -> PieceEncoder:
-    """The tokenizers library encodes each distinct pre-token of a worker once."""
+def library_encoder(file: str) -> LibraryEncoder:
     import os
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -85,28 +117,7 @@ def library_encoder(file: str) -> PieceEncoder:
     tokenizer = Tokenizer.from_file(file)
     tokenizer.no_padding()
     tokenizer.no_truncation()
-    special = {t.content: i for i, t in tokenizer.get_added_tokens_decoder().items()}
-
-    gap = tokenizer.encode("\n", add_special_tokens=False).ids
-    four = [i.to_bytes(4, "little") for i in range(tokenizer.get_vocab_size(with_added_tokens=True))]
-
-    def words(todo: list[str]) -> list[bytes]:
-        # runs of words in one text: a line end between " a" and " b" is a pre-token of its own
-        plain = [w for w in todo if w[0] == " " and w[1:].isalpha()]
-        texts = ["\n".join(plain[i:i + 256]) for i in range(0, len(plain), 256)]
-        other = [w for w in todo if not (w[0] == " " and w[1:].isalpha())]
-        found = tokenizer.encode_batch_fast(texts + other, add_special_tokens=False)
-        ids = {w: b"".join(map(four.__getitem__, e.ids))
-               for w, e in zip(other, found[len(texts):], strict=True)}
-        own: list[bytes] = []
-        for e in found[:len(texts)]:
-            run = np.array(e.ids, "<u4")
-            data, at = run.tobytes(), (np.flatnonzero(run == gap[0]) * 4).tolist()
-            own += [data[a + 4 if a else 0:b] for a, b in zip([0, *at], [*at, len(data)], strict=True)]
-        ids.update(zip(plain, own, strict=True))
-        return [ids[w] for w in todo]
-
-    return PieceEncoder(words, special)
+    return LibraryEncoder(tokenizer)
 
 
 def shard_row(keys: list, ids: list[bytes], width: int) -> dict:

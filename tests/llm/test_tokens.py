@@ -46,13 +46,28 @@ def test_decoding_equals_the_library(library):
         assert own.decode(ids).decode() == library.decode(ids, skip_special_tokens=False)
 
 
-def test_full_stores_start_anew(library, monkeypatch):
-    monkeypatch.setattr(bpe, "CACHE_ENTRIES", 50)
-    own = bpe.merges(queries.byte_bpe())
-    encoder = bpe.PieceEncoder(own.encode_words, own.special)
-    texts = [" ".join(f"w{i}x{j}, " for i in range(30)) for j in range(20)]
+@pytest.mark.parametrize("make", [lambda f: bpe.PieceEncoder(bpe.merges(f).encode_words, bpe.merges(f).special),
+                                  token_shards.library_encoder.__wrapped__])
+def test_full_stores_start_anew(library, monkeypatch, make):
+    monkeypatch.setattr(bpe, "STORE_BYTES", 20_000)
+    encoder = make(queries.byte_bpe())
+    texts = [" ".join(f"w{i}x{j}, the\f{i} " for i in range(30)) for j in range(20)]
     got = [np.frombuffer(x, "<u4").tolist() for t in texts for x in encoder.encode([t])]
     assert got == [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+    assert 0 < encoder.pieces.held == bpe.weight(encoder.pieces) <= encoder.pieces.limit
+
+
+@pytest.mark.parametrize("make", [bpe.encoder.__wrapped__, token_shards.library_encoder.__wrapped__])
+def test_stores_are_bounded_by_bytes(library, monkeypatch, make):
+    monkeypatch.setattr(bpe, "STORE_BYTES", 100_000)
+    encoder, rng = make(queries.byte_bpe()), random.Random(2)
+    for _ in range(6):
+        texts = ["".join(rng.choice("ABCDabcd0123+/") for _ in range(20_000)),  # one piece
+                 " ".join("".join(rng.choice("日本語文字") for _ in range(900)) for _ in range(30))]
+        got = [np.frombuffer(x, "<u4").tolist() for x in encoder.encode(texts)]
+        assert got == [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+        for store in (encoder.pieces, encoder.words):
+            assert store.held == bpe.weight(store) <= store.limit and max(map(len, store), default=0) <= bpe.LONG
 
 
 def test_op8_query(spark, sf_dir, library):
