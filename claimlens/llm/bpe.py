@@ -8,7 +8,7 @@ import re
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 from heapq import heapify, heappop, heappush
-from itertools import islice
+from itertools import filterfalse, islice
 
 import numpy as np
 import pyarrow as pa
@@ -114,7 +114,7 @@ class PieceEncoder:
                else self.split(t) for t in texts]
         heads = self.heads([parts.pop(0) for parts in cut])
         wanted: set[str] = set().union(*cut)
-        found = self.encode_pieces([*wanted.difference(self.pieces)])
+        found = self.encode_pieces([*filterfalse(self.pieces.__contains__, wanted)])
         get = self.pieces.__getitem__
         if not self.pieces.fits(found):
             # the store may drop what these texts need
