@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from itertools import accumulate
 
@@ -17,6 +18,7 @@ from claimlens.llm.texts import mix, row_key, stored
 
 RUN = 8
 STREAM_TOKENS = 200_000
+LONGEST_NAME = 1_000  # a longer tag name is no known name
 
 # Elements by what they do to text.
 RAW = ("script", "style", "template", "noscript", "iframe", "svg", "math")
@@ -49,12 +51,10 @@ MAIN_ASIDE = frozenset("comment comments related ad promo comment-body related-a
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 ASIDE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu".split())
 
-_ATTRIBUTES = r"(?:\"[^\"]*\"|'[^']*'|[^'\">])*"
-_PARTS = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(?:" + "|".join(FOREIGN) + r")(?=[\s/>])" + _ATTRIBUTES + r"(?<=/)>"
-    r"|<(?P<raw>" + "|".join(RAW) + r")(?=[\s/>])[^>]*>.*?(?:</(?P=raw)(?=[\s/>])[^>]*>|\Z)"
-    r"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<rest>" + _ATTRIBUTES + r")>|<[!?][^>]*>|(?P<text>[^<]+|<)",
-    re.DOTALL | re.IGNORECASE)
+_NAME_END = re.compile(r"[\s/>]")
+_CLOSE = re.compile(r"(?:\"[^\"]*+\"|'[^']*+'|[^'\">])*+>")
+_SPECIAL = re.compile(r"[>\"']")
+_RAW_END = {name: re.compile(rf"</{name}(?=[\s/>])", re.IGNORECASE) for name in RAW}
 _NAMES = re.compile(r"""([^\s"'=/>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 _NUMBER = re.compile(r"-?[0-9][0-9x]*$")
 
@@ -97,6 +97,93 @@ def is_aside(tag: str, rest: str) -> bool:
     return False
 
 
+class Closes:
+    """Where tags of a page end: the first > outside of quotes.
+
+    The first tag that never ends makes a table of all ends, from the last to the first, so
+    that many such tags do not each walk through the page.
+    """
+
+    def __init__(self, page: str):
+        self.page = page
+        self.at: list[int] | None = None
+        self.ends: list[int] = []
+
+    def after(self, start: int) -> int:
+        """Index of the > for attributes that begin at ``start``, -1 if there is none."""
+        if self.at is None:
+            found = _CLOSE.match(self.page, start)
+            if found:
+                return found.end() - 1
+            self.fill()
+        place = bisect_left(self.at, start)
+        return self.ends[place] if place < len(self.at) else -1
+
+    def fill(self) -> None:
+        self.at = [m.start() for m in _SPECIAL.finditer(self.page)]
+        self.ends = [-1] * len(self.at)
+        later = {'"': len(self.at), "'": len(self.at)}
+        for i in range(len(self.at) - 1, -1, -1):
+            char = self.page[self.at[i]]
+            if char == ">":
+                self.ends[i] = self.at[i]
+            else:
+                behind = later[char] + 1
+                self.ends[i] = self.ends[behind] if behind < len(self.at) else -1
+                later[char] = i
+
+
+def parts(page: str) -> Iterator[tuple[str | None, bool, str]]:
+    """(tag, whether it ends an element, its attributes) of tags and (None, False, text) of texts, in order.
+
+    Comments, declarations and raw elements are left out.  A < that begins no whole tag is
+    text.  One forward scan, also over tags, quotes and elements that are never closed.
+    """
+    closes, size, last = Closes(page), len(page), page.rfind(">")
+    at = name_end = 0
+    while at < size:
+        if page[at] != "<":
+            end = page.find("<", at)
+            end = size if end < 0 else end
+            yield None, False, page[at:end]
+            at = end
+            continue
+        if page.startswith("<!--", at):
+            end = page.find("-->", at + 4)
+            at = size if end < 0 else end + 3
+            continue
+        if at > last:
+            yield None, False, "<"
+            at += 1
+            continue
+        begin = at + 2 if page.startswith("/", at + 1) else at + 1
+        first = page[begin:begin + 1]
+        if begin == at + 1 and first in ("!", "?"):
+            at = page.find(">", begin) + 1
+            continue
+        if first.isascii() and first.isalpha():
+            if name_end <= begin:
+                name_end = _NAME_END.search(page, begin).start()
+            tag = page[begin:name_end].lower() if name_end - begin <= LONGEST_NAME else ""
+            if tag in _RAW_END and begin == at + 1:
+                if tag in FOREIGN:
+                    close = closes.after(name_end)
+                    if close > 0 and page[close - 1] == "/":
+                        at = close + 1
+                        continue
+                found = _RAW_END[tag].search(page, page.find(">", name_end) + 1)
+                end = page.find(">", found.end()) if found else -1
+                at = size if end < 0 else end + 1
+                continue
+            close = closes.after(name_end)
+            if close >= 0:
+                yield tag, begin == at + 2, page[name_end:close]
+                at = close + 1
+                continue
+        yield None, False, "<"
+        at += 1
+
+
 def blocks(page: str) -> list[tuple[str, bool, bool]]:
     """(text, in an article, in page furniture) of the blocks of a page, in order.
 
@@ -114,24 +201,19 @@ def blocks(page: str) -> list[tuple[str, bool, bool]]:
                 out.append((clean, article, aside))
             text.clear()
 
-    for part in _PARTS.finditer(page):
-        kind = part.lastgroup
-        if kind == "text":
-            text.append(part["text"])
-            continue
-        tag = part["tag"]
+    for tag, ends, rest in parts(page):
         if tag is None:
+            text.append(rest)
             continue
-        tag = tag.lower()
         if tag in INLINE:
             continue
         if tag == "br":
             text.append(" ")
             continue
         end_block()
-        if tag in OPTIONAL and not part["end"] and not is_aside(tag, part["rest"]):
+        if tag in OPTIONAL and not ends and not is_aside(tag, rest):
             continue
-        if part["end"]:
+        if ends:
             for at in range(len(stack) - 1, -1, -1):
                 if stack[at][0] == tag:
                     article, aside = stack[at][1:]
@@ -139,7 +221,7 @@ def blocks(page: str) -> list[tuple[str, bool, bool]]:
                     break
         elif tag not in VOID:
             stack.append((tag, article, aside))
-            furniture = is_aside(tag, part["rest"])
+            furniture = is_aside(tag, rest)
             if tag in MAIN and not furniture:
                 # an article cannot lie in a menu that was left open
                 article, aside = True, aside and article

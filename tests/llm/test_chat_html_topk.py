@@ -6,6 +6,7 @@ import hashlib
 import html
 import random
 import re
+import time
 from collections import defaultdict
 
 import numpy as np
@@ -184,3 +185,16 @@ def test_op7_index_stops_on_proof_only():
         all_scores = vectors @ vectors[i]
         want = sorted(((-int(s), j) for j, s in enumerate(all_scores) if j != i))[:10]
         assert sorted((-int(s), int(j)) for s, j in zip(scores, index.ids[rows], strict=True)) == want
+
+
+def test_op6_scans_forward_once():
+    long = 300_000
+    for unit, end in (("<svg x", ""), ("<a '", ""), ("<a '", '">'), ('<a "', "'>"), ("<script ", ""), ("<a<b", ""),
+                      ("<a<b", "\"'>"), ("<!x", ""), ("</p ", ""), ("<script></script ", ""), ("<svg '></svg>", "")):
+        begin = time.process_time()
+        html_text.blocks(unit * (long // len(unit)) + end)
+        assert time.process_time() - begin < 5, unit
+    texts = lambda page: [t for t, *_ in html_text.blocks(page)]
+    assert texts("<p>one</p><a 'two") == ["one", "<a 'two"]
+    assert texts("a < b<p title='x>y'>c</p><!-- <p> --><!doctype x>d <1>") == ["a < b", "c", "d <1>"]
+    assert texts(f"<{'n' * 5000}>one</{'n' * 5000}>two") == ["one", "two"]
