@@ -20,8 +20,8 @@ MAX_LANGUAGES = 1_000
 SAMPLE_CHARS = 2_000
 BLOCK = 500
 LEVEL = 3
-MARGIN = 0.001
-MIN_BYTES = 60
+# Bytes that the best dictionary must save per square root of the number of blocks.
+MARGIN = 1.0
 _LETTER = regex.compile(r"\p{L}")
 _OTHER = re.compile(r"[\W\d_]+")
 
@@ -72,7 +72,8 @@ def predict(docs: DataFrame, dictionaries: dict[str, bytes], doc_id: str = "doc_
     smallest and the second smallest sum of sizes, as a share of the second; ties go to the
     language first in the alphabet and score 0.  Texts that are null or have no letter are
     ``und`` with score 0, as is everything if no language was learnt; with one language the
-    score is its saving against no dictionary.  ``n_seen`` is the number of bytes compressed.
+    score is its saving against no dictionary.  ``n_seen`` is the number of bytes compressed,
+    ``n_saved`` the margin in bytes.
     Repeated rows each give a row.  Map only.
     """
     kept = [c for c in keep or [doc_id] if c not in RESULT]
@@ -80,7 +81,7 @@ def predict(docs: DataFrame, dictionaries: dict[str, bytes], doc_id: str = "doc_
     return found.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(kept)], *RESULT)
 
 
-RESULT = ["lang_pred", "score", "n_seen"]
+RESULT = ["lang_pred", "score", "n_seen", "n_saved"]
 
 
 def judged(docs: DataFrame, dictionaries: dict[str, bytes], text: str, kept: list[str], level: int) -> DataFrame:
@@ -92,7 +93,7 @@ def judged(docs: DataFrame, dictionaries: dict[str, bytes], text: str, kept: lis
     at = kept.index(text) if text in kept else len(kept)
     kinds = {c: narrow.schema[c].dataType.simpleString() for c in narrow.columns[:len(kept)]}
     schema = (", ".join(f"{c} {t}" for c, t in kinds.items())
-              + ", lang_pred string, score double, n_seen long")
+              + ", lang_pred string, score double, n_seen long, n_saved long")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coders = [zstandard.ZstdCompressor(
@@ -101,42 +102,44 @@ def judged(docs: DataFrame, dictionaries: dict[str, bytes], text: str, kept: lis
                 dictionaries[n], dict_type=zstandard.DICT_TYPE_RAWCONTENT)) for n in names]
         bare = zstandard.ZstdCompressor(level=level, write_content_size=False)
 
-        def judge(value: str | None) -> tuple[str, float, int]:
+        def judge(value: str | None) -> tuple[str, float, int, int]:
             if not value or not _LETTER.search(value):
-                return UNKNOWN, 0.0, 0
+                return UNKNOWN, 0.0, 0, 0
             data = seen(value)
             blocks = [data[i:i + BLOCK] for i in range(0, len(data), BLOCK)]
             sizes = sorted((sum([len(c.compress(b)) for b in blocks]), n)
                            for c, n in zip(coders, names, strict=True))
             if not sizes:
-                return UNKNOWN, 0.0, len(data)
+                return UNKNOWN, 0.0, len(data), 0
             second = sizes[1][0] if len(sizes) > 1 else sum(len(bare.compress(b)) for b in blocks)
-            return sizes[0][1], min(1.0, max(0.0, 1 - sizes[0][0] / second)), len(data)
+            saved = max(0, second - sizes[0][0])
+            return sizes[0][1], saved / second, len(data), saved
 
         for batch in batches:
             got = [judge(t) for t in batch.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[:len(kept)], pa.array([g[0] for g in got], pa.string()),
                  pa.array([g[1] for g in got], pa.float64()),
-                 pa.array([g[2] for g in got], pa.int64())],
-                names=[*kinds, "lang_pred", "score", "n_seen"])
+                 pa.array([g[2] for g in got], pa.int64()), pa.array([g[3] for g in got], pa.int64())],
+                names=[*kinds, *RESULT])
 
     return narrow.mapInArrow(work, schema)
 
 
-def rejected(margin: float = MARGIN, min_bytes: int = MIN_BYTES) -> Column:
+def rejected(margin: float = MARGIN) -> Column:
     """Texts without an accepted language: ``und``, or a narrow margin.
 
-    Below ``min_bytes`` a size is a handful of bytes and a margin says nothing, so only longer
-    texts are rejected for it.
+    A block's size is off by about a byte, so the sum over n blocks is off by about the square
+    root of n; a text must save at least ``margin`` times that.  One rule for all lengths: a
+    text of any length that ties is rejected.
     """
-    narrow = (F.col("score") < margin) & (F.col("n_seen") >= min_bytes)
-    return (F.col("lang_pred") == UNKNOWN) | narrow
+    needed = F.lit(margin) * F.sqrt(F.col("n_seen") / F.lit(float(BLOCK)))
+    return (F.col("lang_pred") == UNKNOWN) | (F.col("n_saved") < needed)
 
 
 def accepted(docs: DataFrame, dictionaries: dict[str, bytes], text: str = "text", level: int = LEVEL,
-             margin: float = MARGIN, min_bytes: int = MIN_BYTES) -> DataFrame:
+             margin: float = MARGIN) -> DataFrame:
     """Documents of an accepted language, columns as they were."""
     own = docs.columns
-    found = judged(docs, dictionaries, text, own, level).where(~rejected(margin, min_bytes))
+    found = judged(docs, dictionaries, text, own, level).where(~rejected(margin))
     return found.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(own)])

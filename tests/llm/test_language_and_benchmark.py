@@ -159,3 +159,36 @@ def test_op4_nulls_beside_texts_in_any_number_of_parts(spark):
     assert results[0] == results[1] == results[2]
     assert [x for x in results[0] if x[:2] == ("alpha", "None")] == [("alpha", "None", 0, "[]", "[]")]
     assert sum(x == ("None", "alpha", 1, "[[0, 1]]", "['1']") for x in results[0]) == 2
+
+
+def test_op10_sizes_and_rejection_by_plain_python(spark, sf_dir):
+    """Sum of block sizes per language, margin, and one rejection rule for texts of all lengths."""
+    import math
+
+    import zstandard
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    learnt = language.fit(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    short = [(-1, "a b"), (-2, "zzz"), (-3, "the house"), (-4, "x " * 40), (-5, "q" * 5000)]
+    rows = docs.union(spark.createDataFrame(short, docs.schema))
+
+    def coder(name):
+        kind = zstandard.DICT_TYPE_RAWCONTENT
+        return zstandard.ZstdCompressor(level=3, write_content_size=False, write_dict_id=False,
+                                        dict_data=zstandard.ZstdCompressionDict(learnt[name], dict_type=kind))
+
+    coders = {name: coder(name) for name in learnt}
+    found = language.predict(rows, learnt, keep=["doc_id", "text"]).withColumn("gone", language.rejected())
+    got = found.collect()
+    assert len(got) == docs.count() + len(short)
+    for r in got:
+        data = language.seen(r.text or "")
+        if not any(c.isalpha() for c in r.text or ""):
+            assert (r.lang_pred, r.score, r.gone) == ("und", 0.0, True)
+            continue
+        cut = [data[i:i + 500] for i in range(0, len(data), 500)]
+        sizes = sorted((sum(len(c.compress(b)) for b in cut), name) for name, c in coders.items())
+        saved = sizes[1][0] - sizes[0][0]
+        assert (r.lang_pred, r.n_seen, r.n_saved) == (sizes[0][1], len(data), saved)
+        assert abs(r.score - saved / sizes[1][0]) < 1e-12
+        assert r.gone == (saved < math.sqrt(len(data) / 500))
