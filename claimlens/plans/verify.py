@@ -90,8 +90,8 @@ def verify_answers(df: DataFrame, strategy: str = "drop", threshold: float = 0.8
 def verify_answers_with_corpus(df: DataFrame, corpus: DataFrame, key: str,
                                strategy: str = "drop", threshold: float = 0.85,
                                scorer: LexicalScorer = LexicalScorer(), k: int = 3,
-                               max_chars: int | None = None, **lists) -> DataFrame:
-    """Verify answers against evidence searched per claim in a corpus.
+                               max_chars: int | None = None, index=None, **lists) -> DataFrame:
+    """Verify answers against evidence searched per claim in a corpus, or in its written ``index``.
 
     ``key`` is unique per answer row.  Claims leave the row for the search and come back
     grouped by it, so a group never holds more than one answer's claims.
@@ -103,7 +103,7 @@ def verify_answers_with_corpus(df: DataFrame, corpus: DataFrame, key: str,
     claims = cut_lineage(exploded.withColumn(
         "claim_id", F.concat_ws("#", F.col(key).cast("string"), F.col("claim_index"))
     ), "claims")
-    found = retrieve_local(claims, corpus, k, max_chars)
+    found = retrieve_local(claims, corpus, k, max_chars, index=index)
     judged = claims.join(found, "claim_id").select(
         key, "claim_index",
         lexical_claim_verdict(
