@@ -14,6 +14,7 @@ from claimlens.catalog.decision_queries import DETECT_COLUMNS, DETECT_SQL
 from claimlens.catalog.registry import query
 from claimlens.session import work_dir
 from claimlens.streaming import late as lt
+from claimlens.streaming import late_scores as ls
 from claimlens.streaming import requests as st
 
 ROUNDS = 8
@@ -38,6 +39,50 @@ def _(spark, d):
     return run(spark, found.select(*DETECT_COLUMNS), "detect")
 
 
+def answers_in_time(rows, seconds, columns, came):
+    """Answers of one scorer: withheld where ``came`` does not hold, ``seconds`` after the request."""
+    at = F.timestamp_micros(F.unix_micros("ts") + seconds.cast("long") * 1_000_000)
+    return rows.where(came).select("event_id", at.alias("answered"), *columns)
+
+
+@query("stream_detect_late_scores", q.with_views(DETECT_SQL.replace("event_detections", "timed"), timed="""
+  select * replace (case when event_id % 11 <> 0 then label end as label,
+    case when event_id % 7 <> 0 then sup end as sup, case when event_id % 7 <> 0 then con end as con,
+    case when event_id % 17 <> 0 and event_id % 7 <> 0 then any_contra end as any_contra,
+    case when event_id % 17 <> 0 and event_id % 7 <> 0 then any_unsupp end as any_unsupp)
+  from event_detections"""))
+def _(spark, d):
+    """Three streams in three rounds: the earlier half by time, the later half, and an end of the streams.
+
+    The classifier answers after 5 s, exactly at the limit of 40 s, or after 60 s; the entailment model
+    after 20 s or 50 s; some answers never come.
+    """
+    out = work_dir(spark, "late-scores")
+    rows, i = v.event_detections(v.table(spark, d, "events")), F.col("event_id")
+    delay = F.when(i % 11 == 0, 60).when(i % 11 == 1, 40).otherwise(5)
+    sent = {
+        "requests": (rows.select("event_id", "ts", "context", "answer", "gold_label", "mode"), "ts"),
+        "classifier": (answers_in_time(rows, delay, ls.CLASSIFIER, F.col("label").isNotNull()), "answered"),
+        "entailment": (answers_in_time(rows, F.when(i % 7 == 0, 50).otherwise(20), ls.ENTAILMENT,
+                                       F.col("sup").isNotNull()), "answered"),
+    }
+    ends = rows.agg(F.min("ts").alias("lo"), F.max("ts").alias("hi")).select(
+        F.timestamp_micros(F.expr("(unix_micros(lo) + unix_micros(hi)) div 2")).alias("mid"),
+        (F.col("hi") + F.expr("interval 1 day")).alias("end"))
+    middle = ends.select("mid").scalar()
+    for k in range(3):
+        streams = []
+        for name, (df, at) in sent.items():
+            # the end is a row one day later that meets no other: it moves the watermark past all bounds
+            marks = {at: F.col("end"), "event_id": F.lit(-1 - len(streams))}
+            last = ends.select(*[marks.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in df.schema])
+            part = [df.where(F.col(at) < middle), df.where(F.col(at) >= middle), last][k]
+            part.write.mode("append").parquet(f"{out}/{name}")
+            streams.append(spark.readStream.schema(df.schema).parquet(f"{out}/{name}"))
+        st.run_to_table(ls.stream_detect_with_scores(*streams), f"{out}/table", f"{out}/checkpoint")
+    return spark.read.parquet(f"{out}/table").select(*DETECT_COLUMNS)
+
+
 _WINDOWS = q.with_views(
     f"""select date_trunc('day', ts) as window_start, decision, count(*) as n,
         {q.rnd(q.mean('hallucination_score'), 6)} as avg_score,
