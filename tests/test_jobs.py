@@ -205,3 +205,11 @@ def test_windowed_stream_equals_batch(spark, sf_dir):
     # append mode holds back the windows that the watermark has not passed
     assert emitted <= full and {k for k in full if k[0] < last} <= emitted | {
         k for k in full if (last - k[0]).days <= 1}
+
+
+def test_distributions_run_the_rules_once(spark, sf_dir):
+    from claimlens.catalog import views as v
+    from claimlens.operators import validation as va
+
+    plan = va.distributions(v.examples(spark, sf_dir))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [") == 1
