@@ -22,9 +22,12 @@ LATE = "7 days"
 
 
 def stream(spark, d, name):
-    """One table of the folder as a file stream."""
+    """One table of the folder as a file stream, be it a file or a folder of files.
+
+    A stream's path must be a folder or a pattern; this pattern matches the table's own name only.
+    """
     schema = v.table(spark, d, name).schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(d)
+    return spark.readStream.schema(schema).parquet(f"{d}/{name}.parque[t]")
 
 
 def run(spark, df, name):

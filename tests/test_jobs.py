@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from claimlens.catalog import views as v
+from claimlens.catalog.registry import QUERIES
 from claimlens.catalog.streaming_queries import run, stream
 from claimlens.operators import alignment as al
 from claimlens.operators import splits as sp
@@ -213,3 +214,16 @@ def test_distributions_run_the_rules_once(spark, sf_dir):
 
     plan = va.distributions(v.examples(spark, sf_dir))._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Relation [") == 1
+
+
+def test_a_table_that_is_a_folder_of_files_streams(spark, sf_dir):
+    """Larger tables are folders; a stream over them used to find no file and write no table."""
+    folder = work_dir(spark, "folder")
+    table = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    table.repartition(3).write.parquet(f"{folder}/documents.parquet")
+    table.limit(5).write.parquet(f"{folder}/documents.parquet.old")  # another table
+    got = QUERIES["stream_validate"](spark, folder)
+    want = QUERIES["stream_validate"](spark, sf_dir)
+    key = lambda r: tuple(r)
+    assert sorted(map(key, got.collect())) == sorted(map(key, want.collect()))
+    assert got.count() == table.count()
