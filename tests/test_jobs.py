@@ -57,6 +57,25 @@ def test_top_k_is_exact_with_hot_words(spark, seed):
     assert found == brute_top_k(claims, docs, 3)
 
 
+def shuffled(spark):
+    """MB that all stages so far have written to shuffles."""
+    none = spark._jvm.java.util.ArrayList()
+    stages = spark.sparkContext._jsc.sc().statusStore().stageList(
+        None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), none)
+    return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size())) / 1e6
+
+
+def test_search_does_not_shuffle_the_pairs_that_share_a_word(spark):
+    """Four million pairs share a word here; as rows they took far over 20 MB."""
+    n = F.col("id").cast("string")
+    claims = spark.range(2000).select(n.alias("claim_id"), F.concat(F.lit("hot one"), n).alias("claim"))
+    docs = spark.range(2000).select(F.col("id").alias("doc_id"), F.concat(F.lit("hot two"), n).alias("text"))
+    before = shuffled(spark)
+    got = top_k_evidence(claims, docs, 3).groupBy("doc_id", "rank", "score").count().collect()
+    assert sorted(map(tuple, got)) == [(i, i + 1, 1 / 3, 2000) for i in range(3)]
+    assert shuffled(spark) - before < 5
+
+
 def test_retrieve_errors_and_padding(spark):
     claims = spark.createDataFrame(
         [("a", "ankara başkent"), ("b", "a b"), ("c", "zzz yyy")], "claim_id string, claim string"
