@@ -26,12 +26,12 @@ def sentence_spans(text: Column) -> Column:
     """array<struct<start,end,sentence>> with 0-based, end-exclusive offsets.
 
     Matches tile the text after its leading terminators, so every offset is the
-    length of what came before.
+    length of what came before.  The length of those is bound: inside the lambda the whole
+    text would be read again for every sentence.
     """
-    lead = F.length(F.regexp_extract(text, "^[.!?]*", 0))
     raw = F.regexp_extract_all(text, F.lit(SENTENCE), F.lit(0))
 
-    def build(parts: Column) -> Column:
+    def build(lead: Column, parts: Column) -> Column:
         before = running_sum(F.transform(parts, F.length))
         zipped = F.arrays_zip(parts.alias("part"), before.alias("at"))
         spans = F.transform(
@@ -50,7 +50,8 @@ def sentence_spans(text: Column) -> Column:
         )
         return F.filter(spans, lambda s: s["sentence"] != "")
 
-    return let(raw, build)
+    first = F.length(F.regexp_extract(text, "^[.!?]*", 0))
+    return let(first, lambda lead: let(raw, lambda parts: build(lead, parts)))
 
 
 def _ws_chars() -> str:
