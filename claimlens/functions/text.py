@@ -16,6 +16,11 @@ from claimlens.functions.numbers import ratio, round_to
 
 # Unicode white space spelled out: Java's \s is ASCII only, and trim() only strips blanks.
 WS = r"\t-\r\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+# All else, spelled out with the common characters first: a negated class asks every range for each character.
+NOT_WS = (
+    r"[!-\x{84}\x{0}-\x08\x0E-\x1B\x{86}-\x{9F}\x{A1}-\x{167F}\x{1681}-\x{1FFF}\x{200B}-\x{2027}"
+    r"\x{202A}-\x{202E}\x{2030}-\x{205E}\x{2060}-\x{2FFF}\x{3001}-\x{10FFFF}]"
+)
 WS_CHARS = "".join(
     chr(c)
     for c in [*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B),
@@ -33,11 +38,11 @@ def is_blank(c: Column) -> Column:
 
 
 def words(c: Column) -> Column:
-    return F.regexp_extract_all(c, F.lit(f"[^{WS}]+"), F.lit(0))
+    return F.regexp_extract_all(c, F.lit(f"{NOT_WS}+"), F.lit(0))
 
 
 def word_count(c: Column) -> Column:
-    return F.regexp_count(c, F.lit(f"[^{WS}]+"))
+    return F.regexp_count(c, F.lit(f"{NOT_WS}+"))
 
 
 def turkish_lower(c: Column) -> Column:
