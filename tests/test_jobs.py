@@ -16,6 +16,7 @@ from claimlens.operators import training as tr
 from claimlens.operators import validation as va
 from claimlens.operators.ranking import exact_rank, key_thresholds
 from claimlens.operators.retrieval import retrieve_local, top_k_evidence
+from claimlens.operators.scorers import with_tokenizer
 from claimlens.plans.verify import verify_answers
 from claimlens.session import work_dir
 from claimlens.sources import jsonl
@@ -246,3 +247,21 @@ def test_a_table_that_is_a_folder_of_files_streams(spark, sf_dir):
     key = lambda r: tuple(r)
     assert sorted(map(key, got.collect())) == sorted(map(key, want.collect()))
     assert got.count() == table.count()
+
+
+def test_tokenizer_takes_texts_by_few(spark):
+    """Ten thousand texts of any length used to be one Arrow batch in a Python worker."""
+    rows = spark.createDataFrame([(1, "a b"), (2, ""), (3, None), (4, "c")], "i int, t string")
+    counted = with_tokenizer(rows, "t", lambda: lambda text: len(text.split()))
+    assert sorted(map(tuple, counted.select("i", "n_tokens").collect())) == [(1, 2), (2, 0), (3, 0), (4, 1)]
+    assert dict(counted.dtypes)["n_tokens"] == "int"
+    assert "Arrow" not in counted._jdf.queryExecution().executedPlan().toString()
+
+
+def test_records_are_stripped_before_their_sentences(spark):
+    rows = spark.createDataFrame([("q ", " c ", "One is. Two are.", [])],
+                                 "question string, context string, answer string, labels array<struct<start:int,end:int,label:string>>")
+    made = al.nli_dataset(rows)
+    assert sorted(map(tuple, made.collect())) == [("q", "c", "One is.", "supported"), ("q", "c", "Two are.", "supported")]
+    above = made._jdf.queryExecution().optimizedPlan().toString().split("Generate")[0]
+    assert "trim" not in above
