@@ -97,11 +97,11 @@ def label_sentences(df: DataFrame, text: str = "answer", spans: str = "labels")
 
 def nli_dataset(df: DataFrame) -> DataFrame:
     """Span-labelled records -> (question, context, claim, label) rows."""
-    rows = label_sentences(df)
+    # stripped in the records, as an array element: a plain column would move behind the explode
+    pair = F.array(*[strip(F.coalesce(c, F.lit(""))) for c in ("question", "context")])
+    rows = label_sentences(df.select("answer", "labels", pair.alias("__pair")))
     return rows.select(
-        strip(F.coalesce("question", F.lit(""))).alias("question"),
-        strip(F.coalesce("context", F.lit(""))).alias("context"), "claim", "label",
-    )
+        F.col("__pair")[0].alias("question"), F.col("__pair")[1].alias("context"), "claim", "label")
 
 
 def last_by_id(df: DataFrame, id_col: str = "id", seq: str = "seq") -> DataFrame:
