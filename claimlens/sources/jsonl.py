@@ -80,10 +80,10 @@ def read_jsonl(spark: SparkSession, path: str, schema: T.StructType,
     lines = lines.where(~is_blank(F.col("value")))
     place = ["file", "line"] if numbered else []
     wide = T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType())])
-    parsed = lines.select(
-        F.from_json("value", wide, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT})
-        .alias("r"), *place
-    ).select(*place, "r.*")
+    record = F.from_json("value", wide, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT})
+    # generated, not projected: a filter on the fields would be pushed below a projection and then
+    # parse the line anew for every field it reads.  The outer form adds no filter of its own.
+    parsed = lines.select(*place, F.inline_outer(F.array(record)))
     if not strict:
         return parsed
     broken = F.concat(F.lit("Invalid JSON line: "), F.substring(CORRUPT, 1, 200))

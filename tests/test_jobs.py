@@ -265,3 +265,14 @@ def test_records_are_stripped_before_their_sentences(spark):
     assert sorted(map(tuple, made.collect())) == [("q", "c", "One is.", "supported"), ("q", "c", "Two are.", "supported")]
     above = made._jdf.queryExecution().optimizedPlan().toString().split("Generate")[0]
     assert "trim" not in above
+
+
+def test_a_json_line_is_parsed_once(spark):
+    """The filter on the parsed fields used to parse the line for every field it reads."""
+    path = work_dir(spark, "parsed-once")
+    spark.createDataFrame([('{"id": "trrag_1", "label": "odd"}',), ("{broken",), (" ",)], "v string").write.text(path)
+    good, bad = jsonl.load_examples(spark, path, strict=False)
+    assert good.count() == 0
+    assert sorted((r.id, r[jsonl.CORRUPT]) for r in bad.collect() if r.id) == [("trrag_1", None)]
+    assert [r[jsonl.CORRUPT] for r in bad.collect() if not r.id] == ["{broken"]
+    assert bad._jdf.queryExecution().optimizedPlan().toString().count("from_json") == 1
