@@ -9,18 +9,22 @@ an unknown key is told apart, and where the documents of that key are in the pay
 
 from __future__ import annotations
 
+import string
 import zlib
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import filterfalse
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from claimlens.llm import bpe
 from claimlens.llm.bpe import PieceEncoder, Store
+from claimlens.llm.texts import slices, text_bytes
 from claimlens.session import work_dir
 
 SHARD_BYTES = 4 << 20
@@ -78,34 +82,111 @@ def find_slot(seeds: np.ndarray, slots: np.ndarray, key: bytes) -> int:
 class LibraryEncoder(PieceEncoder):
     """The tokenizers library encodes each distinct piece of a worker once, many in one text.
 
-    Pieces neither begin nor end with white space, so a form feed between " a" and " b" is a
-    pre-token of its own and one id; pieces that hold one are cut into pre-tokens here.
+    A line feed between two characters that are not white space is a pre-token of its own, so texts
+    fall into pieces there too; such a piece begins with the line feed, others with a space that is
+    not written.  Marks after a letter or number begin a pre-token, so a piece that ends in marks is
+    made of the ids of what is before them and of theirs.  Arrow cuts the texts and numbers their
+    pieces; Python sees each distinct piece of a call once.
     """
 
-    GAP = "\f"
     RUN = 512
+    MARKS = string.punctuation
 
     def __init__(self, tokenizer):
         self.tokenizer = tokenizer
-        self.gap, = self.ids([self.GAP])[0]
-        super().__init__(lambda words: [w.tobytes() for w in self.ids(words)],
-                         {t.content: i for i, t in tokenizer.get_added_tokens_decoder().items()})
+        special = {t.content: i for i, t in tokenizer.get_added_tokens_decoder().items()}
+        super().__init__(lambda words: [w.tobytes() for w in self.ids(words)], special)
+        vocabulary = tokenizer.get_vocab(with_added_tokens=True)
+        # bytes that an id stands for; an added token, which no piece holds, counts as none
+        self.widths = np.zeros(1 + max(vocabulary.values()), np.int64)
+        for token, i in vocabulary.items():
+            self.widths[i] = 0 if token in special else len(token)
         self.pieces = Store(2 * bpe.STORE_BYTES)  # few words are met outside of pieces
 
     def ids(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def encode_pieces(self, missing: list[str]) -> dict[str, bytes]:
-        odd = [p for p in missing if self.GAP in p] if self.GAP in "".join(missing) else []
-        plain = [p for p in missing if self.GAP not in p] if odd else missing
-        found = super().encode_pieces(odd) if odd else {}
-        runs = [plain[i:i + self.RUN] for i in range(0, len(plain), self.RUN)]
-        for run, ids in zip(runs, self.ids([" " + f"{self.GAP} ".join(r) for r in runs]), strict=True):
-            data, at = ids.tobytes(), (np.flatnonzero(ids == self.gap) * 4).tolist()
-            found.update(zip(run, [data[a:b] for a, b in zip([0, *(a + 4 for a in at)], [*at, len(data)],
-                                                             strict=True)], strict=True))
+        marked, whole = {}, [*filter(str.isalpha, missing)]
+        for p in filterfalse(str.isalpha, missing):
+            body = p.rstrip(self.MARKS)
+            if len(body) < len(p) and body and body[-1] < "\u0250" and body[-1].isalnum():
+                marked[p] = body
+            else:
+                whole.append(p)
+        bodies = {b: self.pieces.get(b) for b in marked.values()}
+        found = self.encode_runs([*{b for b, ids in bodies.items() if ids is None}.union(whole)])
+        ends = [p[len(b):] for p, b in marked.items()]
+        tails = {e: self.words.get(e) for e in ends}
+        new = [e for e, ids in tails.items() if ids is None]
+        learnt = dict(zip(new, self.encode_words(new), strict=True))
+        self.words.keep(learnt)
+        tails.update(learnt)
+        found.update([(p, (bodies[b] or found[b]) + tails[e]) for (p, b), e in zip(marked.items(), ends, strict=True)])
         return found
 
+    def encode_runs(self, pieces: list[str]) -> dict[str, bytes]:
+        """Pieces end to end, many in one text; its ids are dealt out by the bytes they stand for."""
+        found = {}
+        full = [p if p[0] == "\n" else " " + p for p in pieces]
+        places = text_bytes(pa.array(full, pa.large_string()))[1]
+        for at in range(0, len(pieces), self.RUN):
+            run, stops = pieces[at:at + self.RUN], places[at + 1:at + self.RUN + 1] - places[at]
+            ids, = self.ids(["".join(full[at:at + self.RUN])])
+            reach = np.cumsum(self.widths[ids])
+            cuts = np.searchsorted(reach, stops)
+            if len(reach) and reach[-1] == stops[-1] and (reach[cuts] == stops).all():
+                data, cuts = ids.tobytes(), (4 * cuts + 4).tolist()
+                found.update(zip(run, [data[a:b] for a, b in zip([0, *cuts[:-1]], cuts, strict=True)], strict=True))
+            else:  # an added token came up where two pieces meet
+                found.update(zip(run, self.encode_words(full[at:at + self.RUN]), strict=True))
+        return found
+
+    def odd(self, pieces: list[str]) -> set[str]:
+        """Pieces that are empty, or begin or end with white space: the cut beside them is none."""
+        joined = " ".join(pieces)
+        words = joined.split()
+        spaces = joined.count(" ") + joined.count("\n")
+        if len(words) == len(pieces) and sum(map(len, words)) == len(joined) - spaces:
+            return set()  # no white space but a line feed before a word
+        return {p for p in pieces if not p or p[-1].isspace() or p[p[0] == "\n"].isspace()}
+
+    def plain(self, texts: list[str]) -> list[bytes]:
+        cut = pc.split_pattern(pc.replace_substring(pa.array(texts, pa.large_string()), "\n", " \n"), " ")
+        offsets = cut.offsets.to_numpy()
+        own = np.ones(offsets[-1], bool)
+        own[offsets[:-1]] = False  # what begins a text has no space before it
+        heads = strings(cut.values.take(cut.offsets[:-1]))
+        coded = cut.values.filter(pa.array(own)).dictionary_encode()
+        codes, wanted = coded.indices.to_numpy(), strings(coded.dictionary)
+        offsets = offsets - np.arange(len(offsets))
+        parts = [*map(self.pieces.get, wanted)]
+        missing = [p for p, ids in zip(wanted, parts, strict=True) if ids is None]
+        careful = {i for i, (h, more) in enumerate(zip(heads, np.diff(offsets).tolist(), strict=True))
+                   if more and (not h or h[-1].isspace())}
+        if odd := self.odd(missing):
+            at = np.flatnonzero(np.array([p in odd for p in wanted])[codes])
+            careful.update((np.searchsorted(offsets, at, "right") - 1).tolist())
+        if careful:
+            rest = [i for i in range(len(texts)) if i not in careful]
+            done = dict(zip(careful, super().plain([texts[i] for i in careful]), strict=True))
+            done.update(zip(rest, self.plain([texts[i] for i in rest]) if rest else [], strict=True))
+            return [done[i] for i in range(len(texts))]
+        found = self.encode_pieces(missing)
+        self.pieces.keep(found)
+        parts = [found[p] if ids is None else ids for p, ids in zip(wanted, parts, strict=True)]
+        ids = np.frombuffer(b"".join(parts), "<u4")
+        sizes = np.array([*map(len, parts)], np.int64) // 4
+        first, many = np.cumsum(sizes) - sizes, sizes[codes]
+        ends = np.concatenate(([0], np.cumsum(many)))
+        out = ids[np.repeat(first[codes] - ends[:-1], many) + np.arange(ends[-1])].tobytes()
+        ends = (4 * ends[offsets]).tolist()
+        return [h + out[a:b] for h, a, b in zip(self.heads(heads), ends[:-1], ends[1:], strict=True)]
+
+
+def strings(array: pa.Array) -> list[str]:
+    return array.to_numpy(zero_copy_only=False).tolist()
+
 
 @lru_cache(maxsize=2)
 def library_encoder(file: str) -> LibraryEncoder:
@@ -172,19 +253,17 @@ def write_shards(docs: DataFrame, file: str, end_id: int = 0, doc_id: str = "doc
                 {k: pa.array([row[k]], pa.list_(kind) if k == "keys" else
                              pa.binary() if isinstance(row[k], bytes) else pa.int64()) for k in names})
 
-        for batch in batches:
-            kind = batch.schema.field(0).type
-            for at in range(0, batch.num_rows, 200):
-                piece = batch.slice(at, 200)
-                own = encoder.encode([t or "" for t in piece.column(1).to_pylist()])
-                for key, data in zip(piece.column(0).to_pylist(), own, strict=True):
-                    if ids and size + len(data) > shard_bytes:
-                        yield close()
-                        inside += size // 4
-                        keys, ids, size, seq = [], [], 0, seq + 1
-                    keys.append(key)
-                    ids.append(data + end)
-                    size += len(data) + 4
+        for piece, _, _ in slices(batches, "text"):
+            kind = piece.schema.field(0).type
+            own = encoder.encode([t or "" for t in piece.column(1).to_pylist()])
+            for key, data in zip(piece.column(0).to_pylist(), own, strict=True):
+                if ids and size + len(data) > shard_bytes:
+                    yield close()
+                    inside += size // 4
+                    keys, ids, size, seq = [], [], 0, seq + 1
+                keys.append(key)
+                ids.append(data + end)
+                size += len(data) + 4
         if ids:
             yield close()
 

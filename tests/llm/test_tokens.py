@@ -70,6 +70,37 @@ def test_stores_are_bounded_by_bytes(library, monkeypatch, make):
             assert store.held == bpe.weight(store) <= store.limit and max(map(len, store), default=0) <= bpe.LONG
 
 
+def test_library_encodes_a_word_once_whatever_follows_it(library):
+    class Counting:
+        seen = 0
+
+        def __getattr__(self, name):
+            return getattr(library, name)
+
+        def encode_batch_fast(self, texts, **how):
+            self.seen += sum(map(len, texts))
+            return library.encode_batch_fast(texts, **how)
+
+    own = Counting()
+    encoder = token_shards.LibraryEncoder(own)
+    words = [f"{a}{b}{c}onder" for a in "klmnprst" for b in "aeiou" for c in "klmnprst"]
+    texts = [f"Text {w}{end} more" for end in (".", ",", "***", "\nSo", "") for w in words]
+    for text in texts:
+        got, = encoder.encode([text])
+        assert np.frombuffer(got, "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
+    assert own.seen < 2 * sum(len(w) + 5 for w in words) + 4 * len(texts)  # and the heads
+
+
+def test_library_encoder_cuts_odd_texts_as_the_library(library):
+    rng = random.Random(3)
+    parts = [*" \n\t\f\x1c\x85\u2009.,'€", " ", "  ", "'s", "a", "word", "é", "字", "²", "\u0301", "***", "<|endoftext|>", "<|end"]
+    encoder = token_shards.library_encoder(queries.byte_bpe())
+    for _ in range(400):
+        texts = ["".join(rng.choices(parts, k=rng.choice((0, 1, 3, 30)))) for _ in range(5)]
+        got = [np.frombuffer(x, "<u4").tolist() for x in encoder.encode(texts)]
+        assert got == [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+
+
 def test_op8_query(spark, sf_dir, library):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").collect()
     got = {r[0]: tuple(r)[1:] for r in queries.op8(spark, sf_dir).collect()}
