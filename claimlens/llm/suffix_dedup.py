@@ -365,6 +365,7 @@ def compare_contexts(length: int, size: int, many: int):
         rank, lefts = rank.tolist(), found["left"].tolist()
         text: list[int] = []
         owner: list[int] = []
+        least: list[int] = []  # a match counts if the anchor's symbol is in it
         marks: list[tuple] = []  # (context, place of its symbol, letters before it, shared before, after)
         hits: list[tuple[int, int, int]] = []
         for a, b in zip(edges, [*edges[1:], len(found)], strict=True):
@@ -382,19 +383,20 @@ def compare_contexts(length: int, size: int, many: int):
                 text += [x + 1 for x in tail]
                 text.append(0)
                 owner += [rank[i]] * (len(head) + len(tail) + 2)
+                least += [*range(len(head) + 1, 0, -1), *[0] * (len(tail) + 1)]
             if len(text) > SYMBOLS:
-                hits += judge(text, owner, marks)
-                text, owner, marks = [], [], []
+                hits += judge(text, owner, least, marks)
+                text, owner, least, marks = [], [], [], []
         if text:
-            hits += judge(text, owner, marks)
+            hits += judge(text, owner, least, marks)
         if hits:
             who = found[[i for i, _, _ in hits]]
             pos = who["pos"].astype(np.int64)
             yield from doc_rows(who, pos - [o for _, o, _ in hits], pos + length - [o for _, _, o in hits], many)
 
-    def judge(text: list[int], owner: list[int], marks: list[tuple]) -> list[tuple[int, int, int]]:
+    def judge(text: list[int], owner: list[int], least: list[int], marks: list[tuple]) -> list[tuple[int, int, int]]:
         """(context, first, last offset) of strings that start earlier: so many bytes before the anchor."""
-        best = earlier_matches(text, owner)
+        best = earlier_matches(text, owner, least)
         hits = []
         for n, (i, at, letters, core_l, core_r) in enumerate(marks):
             stop = (marks[n + 1][1] - marks[n + 1][2] if n + 1 < len(marks) else len(text)) - 1

@@ -7,6 +7,7 @@ import random
 import re
 from collections import defaultdict
 
+import numpy as np
 import numpy as np
 import pytest
 
@@ -96,6 +97,21 @@ def test_suffix_array():
             max((shared(i, j) for j in range(n) if owner[j] < owner[i]), default=0) for i in range(n)]
 
 
+def test_earlier_matches_where_they_count():
+    rng = random.Random(11)
+    for many in (1, 2, 7, 40):
+        text, owner, least = [], [], []
+        for who in rng.sample(range(many), many):
+            head, tail = ([rng.randint(1, 2) for _ in range(rng.randint(0, 6))] for _ in "ab")
+            text += [*head, 1000 + rng.randint(0, 2), *tail, 0]
+            owner += [who // 2] * (len(head) + len(tail) + 2)
+            least += [*range(len(head) + 1, 0, -1)] + [0] * (len(tail) + 1)
+        every, some = suffix_array.earlier_matches(text, owner), suffix_array.earlier_matches(text, owner, least)
+        assert [x if least[i] and x >= least[i] else 0 for i, x in enumerate(every)] == some
+    own, low = np.array([3, 3, 5, 4, 2, 9, 9]), np.array([0, 4, 7, 5, 6, 0, 8])
+    assert suffix_array.nearest_smaller(own, low).tolist() == [0, 0, 7, 5, 0, 0, 0]
+
+
 def test_op2_query(spark, sf_dir):
     docs = sorted((r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect())
     want = {k[0]: v for k, v in brute_removed(docs).items()}
