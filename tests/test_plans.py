@@ -135,6 +135,26 @@ def test_claim_sets_of_a_long_answer(spark):
     assert got[2] == (0.0, 0.0, 0.0, 0, 0, 0) and got[3] == (0.0, 0.0, 0.0, 1, 0, 0)
 
 
+def test_short_claim_sets_stay_in_their_row(spark, monkeypatch):
+    claims = ["the cat sat", "a dog sat here", "", "cat sat", "here sat a dog", None, "one two three four", "two three"]
+    rows = [(i, [claims[(i * 3 + j) % 8] for j in range(i % 5)], [claims[(i + j * 5) % 8] for j in range(i % 4)])
+            for i in range(40)] + [(40, None, ["x"]), (41, ["x"], None)]
+    df = spark.createDataFrame(rows, "k int, g array<string>, e array<string>")
+    written = []
+
+    def keep(rows, purpose):
+        written.append(cut_lineage(rows, purpose))
+        return written[-1]
+
+    monkeypatch.setattr(al, "cut_lineage", keep)
+    got = {r["k"]: tuple(r)[1:] for r in al.compare_claim_sets(df, "k", F.col("g"), F.col("e")).collect()}
+    assert "_lists" in written[0].columns and written[0].where("_lists IS NOT NULL").count() == 0
+    spread = {r["k"]: tuple(r)[1:] for r in al.compare_claim_sets(df, "k", F.col("g"), F.col("e"), in_row=-1).collect()}
+    assert written[1].where("_lists IS NULL").count() == 0
+    assert got == spread and len(got) == 42 and got[40] == (0.0, 0.0, 0.0, 0, 0, 0)
+    assert {m[5] for m in got.values()} >= {0, 1, 2}
+
+
 def test_open_windows_are_kept_over_several_batches(spark):
     path, out = work_dir(spark, "events"), work_dir(spark, "windows")
     schema = "ts timestamp, decision string, hallucination_score double, is_correct boolean"
