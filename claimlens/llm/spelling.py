@@ -174,7 +174,8 @@ def near_pairs(words: DataFrame, windows: int = WINDOWS, block: int = BLOCK) ->
     words.  A pair is found once: only in the window where its edit lies.
     """
     rows = meeting(words, windows)
-    sizes = rows.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
+    # Spark sizes these rows, and the files read back below, far too low: it must not broadcast them
+    sizes = rows.groupBy("key").agg(F.count("*").alias("size")).where("size > 1").hint("merge")
     cells = F.greatest(F.char_length("word") + 1, F.lit(BLOCK_CHARS // block))
     sized = rows.join(sizes, "key").withColumn("blocks", F.least(
         F.col("size"), F.ceil(F.col("size") * cells / F.lit(BLOCK_CHARS))).cast("int"))
@@ -204,7 +205,7 @@ def variants(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", thin:
         F.when(-F.col("best.least") >= times * F.col("n"), F.col("best")).alias("best"))
     judged = stored(joined.select("word", "n", "n_near", F.col("best.near").alias("form"),
                                   (-F.col("best.least")).alias("form_n")), "forms")
-    return judged.join(roots(judged), "word", "left").select(
+    return judged.join(roots(judged).hint("merge"), "word", "left").select(
         "word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
 
 
@@ -213,6 +214,6 @@ def roots(judged: DataFrame) -> DataFrame:
     way = judged.where(F.col("form").isNotNull()).select("word", F.col("form").alias("root"))
     for _ in range(DOUBLINGS):
         way = stored(way.alias("a").join(
-            way.select(F.col("word").alias("root"), F.col("root").alias("further")), "root", "left").select(
+            way.select(F.col("word").alias("root"), F.col("root").alias("further")).hint("merge"), "root", "left").select(
             "word", F.coalesce("further", "root").alias("root")), "roots")
     return way

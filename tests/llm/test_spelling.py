@@ -108,3 +108,13 @@ def test_op12_very_long_run(spark):
     long = "ab" * 1_500
     rows = [(1, long), (2, long), (3, long + "c"), (4, long + "c"), (5, "x" + long[1:])] * 2
     assert found(spelling.variants(spark.createDataFrame(rows, "doc_id long, text string"))) == brute(rows)
+
+
+def test_op12_joins_broadcast_no_table(spark):
+    def broadcasts(df):
+        return df._jdf.queryExecution().executedPlan().toString().count("Broadcast")
+
+    words = spark.createDataFrame([("spelling", 20), ("speling", 2)], "word string, n long")
+    assert not broadcasts(spelling.near_pairs(words))
+    docs = spark.createDataFrame([(i, "spelling" if i % 11 else "speling") for i in range(40)], "doc_id long, text string")
+    assert not broadcasts(spelling.variants(docs, thin=10**9))
