@@ -11,6 +11,7 @@ from claimlens.catalog import views as v
 from claimlens.catalog.registry import QUERIES
 from claimlens.catalog.streaming_queries import run, stream
 from claimlens.operators import alignment as al
+from claimlens.operators import blocks
 from claimlens.operators import splits as sp
 from claimlens.operators import training as tr
 from claimlens.operators import validation as va
@@ -276,3 +277,29 @@ def test_a_json_line_is_parsed_once(spark):
     assert sorted((r.id, r[jsonl.CORRUPT]) for r in bad.collect() if r.id) == [("trrag_1", None)]
     assert [r[jsonl.CORRUPT] for r in bad.collect() if not r.id] == ["{broken"]
     assert bad._jdf.queryExecution().optimizedPlan().toString().count("from_json") == 1
+
+
+def test_what_a_round_finds_bounds_the_next(spark, monkeypatch):
+    """A floor from the first block alone let a query reach every later block."""
+    docs = [(0, "zero"), (1, "zilch")] + [(2 + i, f"apple pear plum d{i:04}") for i in range(5)]
+    docs += [(100 + i, "apple " + " ".join(f"w{i:04}x{j:04}" for j in range(20 + i))) for i in range(40)]
+    claims = [("a", "apple pear plum"), ("b", "unknown"), ("c", "apple zero")]
+    seen, met = [], blocks._met
+    monkeypatch.setattr(blocks, "_met", lambda asks, *rest: seen.append((asks, rest[1])) or met(asks, *rest))
+    found = top_k_evidence(spark.createDataFrame(claims, "claim_id string, claim string"),
+                           spark.createDataFrame(docs, "doc_id int, text string"), 3, champions=2)
+    assert {(r.claim_id, r.doc_id, r["rank"]) for r in found.collect()} == {
+        ("a", 2, 1), ("a", 3, 2), ("a", 4, 3), ("c", 0, 1), ("c", 2, 2), ("c", 3, 3)}
+    assert [len(units) for _, units in seen[:3]] == [1, 4, 19]
+    assert [r.i0 for r in seen[0][0].collect()] == [None] * 3
+    # 3 of 4 words, and 1 of 5: queries of 3 and 2 words meet no document of over 4 and 10 words any more
+    assert sorted((r.i0, r.u0) for r in seen[2][0].collect() if r.i0) == [(1, 5), (3, 4)]
+
+
+def test_contexts_do_not_meet_claims_by_id(spark):
+    claims = spark.createDataFrame([("a", "apple"), ("b", ""), ("c", None), ("d", "none")], "claim_id string, claim string")
+    found = retrieve_local(claims, spark.createDataFrame([(1, "apple pear")], "doc_id int, text string"))
+    assert sorted((r.claim_id, r.context, bool(r.error)) for r in found.collect()) == [
+        ("a", "apple pear", False), ("b", "", True), ("c", "", True), ("d", "", True)]
+    assert "partitioning(claim_id" not in found._jdf.queryExecution().executedPlan().toString()
+    assert "Join" in found._jdf.queryExecution().executedPlan().toString()
