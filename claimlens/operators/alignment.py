@@ -16,6 +16,7 @@ from claimlens.session import cut_lineage
 
 
 OPEN_END = 2**31 - 1
+PART_BYTES = 512 << 10  # of contexts in a partition of nli_dataset
 # Pairs of claims up to which two claim lists are compared in their row.
 IN_ROW = 4_096
 
@@ -98,10 +99,16 @@ def label_sentences(df: DataFrame, text: str = "answer", spans: str = "labels")
 
 
 def nli_dataset(df: DataFrame) -> DataFrame:
-    """Span-labelled records -> (question, context, claim, label) rows."""
+    """Span-labelled records -> (question, context, claim, label) rows.
+
+    Every row repeats its record's whole context.  Parquet writes a repeated value once as long as
+    the values of a file fit its dictionary (1 MB), so records are dealt out to partitions of less.
+    """
+    size = df.agg(F.sum(F.octet_length("context"))).first()[0] or 0
+    dealt = df.select("question", "context", "answer", "labels").repartition(1 + size // PART_BYTES)
     # stripped in the records, as an array element: a plain column would move behind the explode
     pair = F.array(*[strip(F.coalesce(c, F.lit(""))) for c in ("question", "context")])
-    rows = label_sentences(df.select("answer", "labels", pair.alias("__pair")))
+    rows = label_sentences(dealt.select("answer", "labels", pair.alias("__pair")))
     return rows.select(
         F.col("__pair")[0].alias("question"), F.col("__pair")[1].alias("context"), "claim", "label")
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
 import random
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -303,3 +305,16 @@ def test_contexts_do_not_meet_claims_by_id(spark):
         ("a", "apple pear", False), ("b", "", True), ("c", "", True), ("d", "", True)]
     assert "partitioning(claim_id" not in found._jdf.queryExecution().executedPlan().toString()
     assert "Join" in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_context_is_written_once_a_file(spark):
+    """One file of contexts beyond Parquet's dictionary repeated each in full for every sentence."""
+    contexts = ["".join(hashlib.md5(f"{i} {j}".encode()).hexdigest() for j in range(3_000)) for i in range(30)]
+    rows = spark.createDataFrame(
+        [("q", c, "One is. " * 20, []) for c in contexts],
+        "question string, context string, answer string, labels array<struct<start:int,end:int,label:string>>").coalesce(1)
+    path = work_dir(spark, "nli-dataset")
+    al.nli_dataset(rows).write.parquet(path)
+    back = spark.read.parquet(path)
+    assert back.count() == 600 and {r.context for r in back.select("context").distinct().collect()} == set(contexts)
+    assert sum(f.stat().st_size for f in Path(path.removeprefix("file://")).glob("*.parquet")) < 2 * sum(map(len, contexts))
